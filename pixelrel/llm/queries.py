@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, packing, simhash, substring
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash}
+    return {
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_language_id": langid.op5_language_id,
+        "op6_substring_dedup": substring.op6_substring_dedup,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
