@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, packing, simhash, substring
+from . import langid, packing, simhash, substring, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_exact_topk": topk.op3_exact_topk,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_language_id": langid.op5_language_id,
         "op6_substring_dedup": substring.op6_substring_dedup,
