@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, packing, simhash, substring, topk, toxicity
+from . import html, langid, packing, simhash, substring, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_language_id": langid.op5_language_id,
         "op6_substring_dedup": substring.op6_substring_dedup,
+        "op7_html_extraction": html.op7_html_extraction,
         "op9_simhash": simhash.op9_simhash,
     }
 
