@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, packing, simhash, substring, topk, toxicity, warc
+from . import decontaminate, html, langid, lines, packing, simhash, substring, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,9 +14,11 @@ def queries() -> dict:
         "op5_language_id": langid.op5_language_id,
         "op6_substring_dedup": substring.op6_substring_dedup,
         "op7_html_extraction": html.op7_html_extraction,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
+        "op10_line_dedup": lines.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontaminate.ORACLE_SQL}
