@@ -1,0 +1 @@
+"""Astronomical images as relations, on Spark."""
