@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import pixel, rng
 from ..operators import crops, defects, degrade, inject, integral, mask, merging, metrics, splits, stars, stencil, stretch
+from ..storage import materialize
 from . import combos
 
 P, N_CROPS, SEED, TRIES = 8, 12, 42, 10
@@ -447,9 +448,10 @@ def _(spark, d):
 
 def field(spark, d) -> tuple[DataFrame, DataFrame]:
     listed, cut = library(spark, d)
-    base = stretched(spark, d)
-    where = inject.valid_pixels(model.dims(base), valid(spark, d))
-    counts = inject.expected_counts(where, _densities(spark, d), seed=SEED)
+    listed, valid_pixels = materialize(listed, "stars"), materialize(valid(spark, d), "valid")
+    where = inject.valid_pixels(model.dims(raw(spark, d)), valid_pixels)
+    density = stars.densities(listed, mask.valid_fraction(valid_pixels).select("image_id", "valid_area"))
+    counts = inject.expected_counts(where, density, seed=SEED)
     return inject.place(where, counts, inject.pool(listed, seed=SEED), seed=SEED), cut
 
 
@@ -460,11 +462,13 @@ def _(spark, d):
 
 # combinations -------------------------------------------------------------------------------------------------------
 def _branches(spark, d) -> tuple[dict[str, DataFrame], DataFrame]:
-    original = stretched(spark, d)
-    clean = defects.correct(found(spark, d)).persist()  # used by all branches
+    """The seven branches; what several of them share is written once."""
+    original = materialize(stretched(spark, d), "original")
+    where = materialize(valid(spark, d), "valid")
+    clean = materialize(defects.correct(defects.detect(original, where, SIGMA)), "clean")
     placed, cut = field(spark, d)
-    starred = inject.paste(clean, placed, cut, model.dims(clean)).persist()
-    return combos.branches(clean, starred, original, clean), clean
+    starred = materialize(inject.paste(clean, materialize(placed, "placed"), cut, model.dims(clean)), "starred")
+    return {k: materialize(v, k) for k, v in combos.branches(clean, starred, original, clean).items()}, clean
 
 
 @query("combo_names", "SELECT CAST(mask AS INTEGER) AS mask, rtrim((CASE WHEN mask & 1 = 1 THEN 'stars_' ELSE '' END) || (CASE WHEN mask & 2 = 2 THEN 'defects_' ELSE '' END) || (CASE WHEN mask & 4 = 4 THEN 'lowres_' ELSE '' END), '_') AS combo FROM (SELECT unnest(range(1, 8)) AS mask)")
