@@ -31,6 +31,8 @@ _BOILERPLATE = re.compile(
     r"nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|signup|"
     r"social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I
 )
+#: A tag that the end of the page cuts off.
+_UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*$")
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
@@ -99,7 +101,7 @@ class Lines(HTMLParser):
 def main_text(html: str | None) -> str:
     """The kept blocks in page order, joined by one space; empty for null or empty pages and pages without content."""
     page = Lines()
-    page.feed(html or "")
+    page.feed(_UNFINISHED.sub("", html or ""))
     page.close()
     page.flush()
     lines = page.lines
@@ -112,14 +114,18 @@ def main_text(html: str | None) -> str:
     weight = np.convolve(np.ones(len(ratio)), _KERNEL)[RADIUS:-RADIUS]
     smooth = np.convolve(ratio, _KERNEL)[RADIUS:-RADIUS] / weight
     least = THRESHOLD * smooth.std() if len(smooth) > 1 else 0.0
-    keep, at = np.zeros(len(lines), bool), 0
-    while at < len(lines):
-        end = at + 1
-        while end < len(lines) and region[end] == region[at]:
-            end += 1
-        if region[at] is not None and smooth[at:end].max() >= least:
-            keep[at:end] = True
-        at = end
+    # an article is one region whatever stands in between; outside of articles, runs of neighbouring lines are
+    runs = np.cumsum([0, *(a != b for a, b in zip(region, region[1:]))])
+    names = [(r, 0 if r else int(run)) for r, run in zip(region, runs)]
+    peak: dict[tuple, float] = {}
+    for name, s in zip(names, smooth):
+        peak[name] = max(peak.get(name, 0.0), float(s))
+    keep = np.array([r is not None and peak[name] >= least for r, name in zip(region, names)])
+    for run in set(runs[[r == 0 for r in region]].tolist()):  # a run outside of articles: from its first to its last line of content
+        at = np.flatnonzero(runs == run)
+        content = at[smooth[at] >= least]
+        if len(content):
+            keep[at] = (at >= content[0]) & (at <= content[-1])
     return " ".join(t for (t, _, _), k in zip(lines, keep) if k)
 
 
