@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Bound of the labelled sample, terms kept, toxic documents a term needs, how often likelier it must be in them.
 SAMPLE, LEXICON, MIN_TOXIC, LIFT = 12_000, 512, 4, 5
 VOTERS, PREFIXES = 16, (4, 5, 6)
-ROUNDS, RIDGE, CUT = 25, 1.0, 0.7
+ROUNDS, RIDGE, CUT = 25, 0.1, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _BURST = re.compile(r"[!?]{2,}")
 
@@ -93,6 +93,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, dict]:
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             inside += np.abs(cov / np.outer(sd, sd)) * w.mean()
         np.fill_diagonal(inside, 0)
+        inside[inside < 3 / np.sqrt(len(v))] = 0  # what chance alone would show
         discount = 1 / (1 + inside.sum(axis=1))
         hit, miss = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
         logit = np.log(post.mean() / (1 - post.mean())) + v @ (discount * hit) + (1 - v) @ (discount * miss)
@@ -155,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x, gold = np.zeros((len(got), len(lexicon) + PATTERNS), np.float32), np.array([r.toxic for r in got])
     for i, r in enumerate(got):
         x[i, r.hits] = 1
-    owner = np.arange(len(lexicon)) % VOTERS
+    roots = {r: i for i, r in enumerate(dict.fromkeys(t[: PREFIXES[0]] for t in lexicon))}  # terms of one root share a voter
+    owner = np.array([roots[t[: PREFIXES[0]]] % VOTERS for t in lexicon])
     votes = np.column_stack([x[:, : len(lexicon)][:, owner == k].any(axis=1) for k in range(VOTERS) if (owner == k).any()] + [x[:, len(lexicon) :]])
     post, voters = label_model(votes, gold)
     return Model(lexicon, fit_linear(x, post), voters)
