@@ -95,6 +95,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, dict]:
         np.fill_diagonal(inside, 0)
         inside[inside < 3 / np.sqrt(len(v))] = 0  # what chance alone would show
         discount = 1 / (1 + inside.sum(axis=1))
+        discount[-1] = 1  # the given label
         hit, miss = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
         logit = np.log(post.mean() / (1 - post.mean())) + v @ (discount * hit) + (1 - v) @ (discount * miss)
         post = np.clip(1 / (1 + np.exp(-logit)), 1e-4, 1 - 1e-4)
