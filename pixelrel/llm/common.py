@@ -1,40 +1,20 @@
-"""What the training-data operators share: the shared folder, lineage cuts, grouped Arrow streams, components."""
+"""What the training-data operators share: lineage cuts, grouped Arrow streams, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Python tasks hand rows back to Spark in batches of this many rows.
-BATCH_ROWS = 20_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        os.makedirs(root := os.path.join(tempfile.gettempdir(), "checkpoints"), exist_ok=True)
-        path = f"file://{tempfile.mkdtemp(dir=root)}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..storage import materialize, new_path, shared_dir
 
+__all__ = ["materialize", "new_path", "shared_dir", "sorted_runs", "runs", "connected_components"]
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Python tasks hand rows back to Spark in batches of this many rows.
+BATCH_ROWS = 20_000
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -71,27 +51,33 @@ def runs(keys: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, component): the smallest node that can be reached.
 
-    Contraction: in each round every label moves to the neighbour of the smallest salted hash, links are
-    relabelled and loops dropped, so the number of links falls by a constant factor a round whatever the ids
-    are. Each round is written to the shared folder. Nodes without links aren't in the result.
+    Contraction: in each round every label moves to its neighbour of smallest salted hash and on to that one's own,
+    links are relabelled and loops dropped, so the number of links falls by a constant factor a round whatever the
+    ids are. What a round needs is written to the shared folder. Nodes without links aren't in the result.
     """
     live = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = materialize(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+
+    def relabel(df: DataFrame, move: DataFrame, c: str) -> DataFrame:
+        return df.join(move.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+
     salt = 0
     while not live.isEmpty():
         salt += 1
+        hash_of = lambda c, salt=salt: F.xxhash64(c, F.lit(salt))
         both = live.union(live.select("b", "a"))
-        best = both.groupBy("a").agg(F.min(F.xxhash64("b", F.lit(salt))).alias("h"))
-        own = F.xxhash64("a", F.lit(salt))
-        # the neighbour itself is found again by its hash; of equal hashes any one will do
-        move = (
-            both.join(best, "a").where((F.xxhash64("b", F.lit(salt)) == F.col("h")) & (F.col("h") < own))
-            .groupBy("a").agg(F.min("b").alias("to"))
-        )
-        move = materialize(move, "moves")
-        relabel = lambda df, c: df.join(move.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        live = relabel(relabel(live, "a"), "b").where("a <> b")
+        best = both.groupBy("a").agg(F.min_by("b", hash_of("b")).alias("to"), F.min(hash_of("b")).alias("h"))
+        move = best.where(F.col("h") < hash_of("a")).select("a", "to")
+        move = materialize(_twice(move), "moves")
+        live = relabel(relabel(live, move, "a"), move, "b").where("a <> b")
         live = materialize(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        labels = materialize(relabel(labels, "label").select("node", "label"), "labels")
+        labels = relabel(labels, move, "label").select("node", "label")
+    labels = materialize(labels, "labels")
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
+
+
+def _twice(move: DataFrame) -> DataFrame:
+    """(a, to) followed once more where to moves as well."""
+    on = move.select(F.col("a").alias("to"), F.col("to").alias("further"))
+    return move.join(on, "to", "left").select("a", F.coalesce("further", "to").alias("to"))
