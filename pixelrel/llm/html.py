@@ -1,7 +1,9 @@
 """Main-text extraction: parser events, text-to-tag ratio per block, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events; each block-level boundary ends a line, whose ratio is its characters
-over its tags. Lines inside boilerplate containers (by element or by class, id and role words) have ratio zero.
+over its tags. Lines inside boilerplate containers (by element, role or being a comment section) have ratio zero. Class
+and id words only make a container doubtful: its lines go if enough of the page's text stands outside of it, so a
+wrapper named after a part of the page ("has-sidebar") loses nothing.
 Ratios are smoothed, and regions (an article or main element; else runs of neighbouring lines) whose smoothed peak
 reaches the threshold are content. A region is kept whole, short paragraphs included.
 """
@@ -26,23 +28,28 @@ HIDDEN = frozenset("aside button canvas datalist dialog footer form head iframe
 MAIN = frozenset(("article", "main"))
 #: Elements that the next of their kind, or the end of their parent, closes.
 LOOSE = frozenset("dd dt li option p td th tr".split())
+#: The share of the page's ratios that text must have for text inside of more doubtful containers to go.
+ENOUGH = 0.25
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|signup|"
     r"social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I
 )
+_COMMENTS = re.compile(r"(?:^|\s|(?<!has)(?<!with)(?<!no)(?<!without)[_-])(?:comments?|disqus|replies)(?=$|[\s_-])", re.I)
+#: Words that inside an article name its own head.
+_HEAD = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
 #: A tag that the end of the page cuts off.
 _UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*$")
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, region (None: boilerplate, 0: no article, n: the n-th article)."""
+    """Lines of a page: text, tags, region (None: boilerplate, 0: no article, n: the n-th article), doubtful containers around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int | None]] = []
-        self.lines: list[tuple[str, int, int | None]] = []
+        self.stack: list[tuple[str, int | None, int]] = []
+        self.lines: list[tuple[str, int, int | None, int]] = []
         self.text: list[str] = []
         self.tags = self.mains = 0
 
@@ -50,9 +57,13 @@ class Lines(HTMLParser):
     def region(self) -> int | None:
         return self.stack[-1][1] if self.stack else 0
 
+    @property
+    def doubts(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.lines.append((text, self.tags, self.region))
+            self.lines.append((text, self.tags, self.region, self.doubts))
             self.tags = 0
         self.text = []
 
@@ -64,19 +75,21 @@ class Lines(HTMLParser):
             return
         if tag in LOOSE and self.stack and self.stack[-1][0] == tag:
             self.stack.pop()
-        region = self.region
+        region, doubts = self.region, self.doubts
         if attrs and region is not None and tag not in ("html", "body"):
             known = dict(attrs)
             named = f"{known.get('class') or ''} {known.get('id') or ''}"
-            if (tag not in MAIN or "comment" in named.lower()) and _BOILERPLATE.search(named) or (known.get("role") or "").lower() in _ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", ""):
+            if _COMMENTS.search(named) or (known.get("role") or "").lower() in _ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", ""):
                 region = None
+            elif tag not in MAIN and _BOILERPLATE.search(_HEAD.sub("", named) if region else named):
+                doubts += 1
         if tag in HIDDEN or tag == "header" and region == 0:
             region = None
         elif tag in MAIN and region == 0:
             self.mains += 1
             region = self.mains
-        if tag in BLOCKS or tag in HIDDEN or region != self.region:
-            self.stack.append((tag, region))
+        if tag in BLOCKS or tag in HIDDEN or (region, doubts) != (self.region, self.doubts):
+            self.stack.append((tag, region, doubts))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -107,10 +120,14 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    region = [r if r is not None and (r or not page.mains) else None for _, _, r in lines]
+    region = [r if r is not None and (r or not page.mains) else None for _, _, r, _ in lines]
     if all(r is None for r in region):  # an empty article: what stands outside of it
-        region = [r for _, _, r in lines]
-    ratio = np.array([len(t) / max(1, tags) if r is not None else 0.0 for (t, tags, _), r in zip(lines, region)])
+        region = [r for _, _, r, _ in lines]
+    plain = np.array([len(t) / max(1, tags) if r is not None else 0.0 for (t, tags, _, _), r in zip(lines, region)])
+    doubts = np.array([d for *_, d in lines])
+    most = min((d for d in set(doubts.tolist()) if plain[doubts <= d].sum() >= ENOUGH * plain.sum()), default=0)
+    region = [r if d <= most else None for r, d in zip(region, doubts)]
+    ratio = np.where(doubts <= most, plain, 0.0)
     weight = np.convolve(np.ones(len(ratio)), _KERNEL)[RADIUS:-RADIUS]
     smooth = np.convolve(ratio, _KERNEL)[RADIUS:-RADIUS] / weight
     least = THRESHOLD * smooth.std() if len(smooth) > 1 else 0.0
@@ -126,7 +143,7 @@ def main_text(html: str | None) -> str:
         content = at[smooth[at] >= least]
         if len(content):
             keep[at] = (at >= content[0]) & (at <= content[-1])
-    return " ".join(t for (t, _, _), k in zip(lines, keep) if k)
+    return " ".join(t for (t, *_), k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

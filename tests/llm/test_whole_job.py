@@ -1,9 +1,29 @@
 """Cases in which an operator once did less than its whole job."""
 
-from pixelrel.llm import lines
+import pytest
+
+from pixelrel.llm import html, lines
 
 
 def test_repeated_rows_keep_a_line(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (2, "x y z\nx y z"), (2, "x y z\nx y z")]
     got = sorted((r.doc_id, r.text) for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, "a b c"), (1, "a b c"), (2, ""), (2, "x y z"), (2, "x y z")]
+
+
+ARTICLE = "<p>The first paragraph of an ordinary page, long enough to count as text.</p><p>Short end.</p>"
+
+
+@pytest.mark.parametrize("wrapper", ['class="has-sidebar"', 'class="layout-with-sidebar"', 'class="no-sidebar wide"', 'class="sticky-header"', 'id="search-page"', 'class="has-comments"'])
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_html_wrappers_named_after_a_part(wrapper, tag):
+    page = f'<body><nav>Menu</nav><div {wrapper}><{tag}>{ARTICLE}</{tag}><div class="sidebar"><a>Some</a> <a>other</a></div></div><footer>Imprint</footer></body>'
+    assert html.main_text(page) == "The first paragraph of an ordinary page, long enough to count as text. Short end."
+
+
+def test_html_head_of_an_article():
+    for name in ("entry-header", "post-header", "header"):
+        assert html.main_text(f'<article><div class="{name}"><h1>Title</h1></div>{ARTICLE}<div class="share">Share this</div></article>').startswith("Title The first")
+        assert "Share" not in html.main_text(f'<article><div class="{name}"><h1>Title</h1></div>{ARTICLE}<div class="share">Share this</div></article>')
+    hidden = f'<article>{ARTICLE}</article><section class="comment-list"><article><p>{"Remarks of a reader. " * 20}</p></article></section><aside><article>{ARTICLE}</article></aside>'
+    assert html.main_text(hidden).count("Short end.") == 1 and "Remarks" not in html.main_text(hidden)
