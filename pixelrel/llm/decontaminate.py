@@ -4,10 +4,17 @@ Fixed masks of SPAN tokens ignore some positions, so a seed still matches where
 seeds of every position of every document are joined with those of the benchmark items; around each hit the item is
 laid over the document along the hit's diagonal, and the overlap is verified: in some window of WINDOW tokens (the
 whole item, if shorter) at least the share AGREE must be equal.
+
+From WHOLE tokens on no accepted overlap is without a seed. Shorter items have masks of their own, laid over the whole
+item: it is cut into more parts than tokens may differ, and each mask leaves out as many parts as that.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +25,8 @@ MASKS = ("11101001", "11010011", "10100111")
 SPAN, WINDOW, AGREE = len(MASKS[0]), 13, 0.8
 #: Benchmark seeds are broadcast up to so many rows (24 bytes each), beyond that both sides are shuffled by seed.
 BROADCAST_SEEDS = 500_000
+#: Items under so many tokens have masks of their own.
+WHOLE = 12
 
 
 def tokens(text: Column) -> Column:
@@ -41,6 +50,41 @@ def _seed_rows(rows: DataFrame, key: str, at: str) -> DataFrame:
     return found.select(key, "seed", F.expr(f"cast(p div {len(MASKS)} as int)").alias(at))
 
 
+def short_masks(n: int) -> list[tuple[int, str]]:
+    """(place, mask) over an item of n tokens, such that any tokens that may differ are all outside of some mask."""
+    may = n - math.ceil(n * AGREE)
+    parts = min(n, may + 2) if may else 1
+    cuts = [k * n // parts for k in range(parts + 1)]
+    found = []
+    for left in combinations(range(parts), may):
+        used = [k for p in range(parts) if p not in left for k in range(cuts[p], cuts[p + 1])]
+        found.append((used[0], "".join("01"[k in used] for k in range(used[0], used[-1] + 1))))
+    return found
+
+
+def _short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, diagonal) where a mask of an item under WHOLE tokens agrees; only masks of lengths that occur are sought."""
+    lengths = sorted(r.n for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {WHOLE - 1}").distinct().collect())
+    masks = sorted({mask for n in lengths for _, mask in short_masks(n)})
+    if not masks:
+        return None
+    seed = lambda mask, at: F.xxhash64(F.lit(mask), *(F.get("words", at + j) for j, used in enumerate(mask) if used == "1"))
+    theirs = reduce(DataFrame.union, [
+        items.where(F.size("words") == n).select("item_id", F.lit(n).alias("n"), F.explode(F.array(*[F.struct(seed(mask, F.lit(at)).alias("seed"), F.lit(at).alias("at")) for at, mask in short_masks(n)])).alias("s")).select("item_id", "n", "s.*")
+        for n in lengths
+    ]).distinct()
+    if theirs.count() <= BROADCAST_SEEDS:
+        theirs = F.broadcast(theirs)
+    # a mask that goes beyond the document's end has no seed
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*[F.when(i + len(mask) <= F.size("words"), seed(mask, i)) for mask in masks]))
+    ours = docs.where(F.size("words") > 0).select("doc_id", F.posexplode(F.flatten(every)).alias("p", "seed")).where("seed is not null")
+    met = ours.join(theirs, "seed").select("doc_id", "item_id", "n", (F.expr(f"cast(p div {len(masks)} as int)") - F.col("at")).alias("diagonal"))
+    # where no token may differ, one hit tells as much as all
+    exact = F.col("n") == F.ceil(F.col("n") * AGREE)
+    first = met.where(exact).groupBy("doc_id", "item_id").agg(F.min("diagonal").alias("diagonal"))
+    return first.union(met.where(~exact).select("doc_id", "item_id", "diagonal").distinct())
+
+
 def _named(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
 
@@ -48,15 +92,18 @@ def _named(rows: DataFrame, key: str) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched int, compared int): the best verified overlap of each document and benchmark item.
 
-    Rows with a null id or text match nothing, nor do items under SPAN tokens. Rows that repeat a doc_id count as one
+    Rows with a null id or text match nothing, nor do texts without a token. Rows that repeat a doc_id count as one
     document with several texts. The whole of every text is read.
     """
     items = materialize(_named(benchmark, "item_id").select("item_id", tokens(F.col("text")).alias("words")), "items")
-    theirs = _seed_rows(items, "item_id", "at").distinct()
-    ours = _seed_rows(_named(docs, "doc_id").select("doc_id", tokens(F.col("text")).alias("words")), "doc_id", "i")
+    theirs = _seed_rows(items.where(F.size("words") >= WHOLE), "item_id", "at").distinct()
+    texts = _named(docs, "doc_id").select("doc_id", tokens(F.col("text")).alias("words"))
+    ours = _seed_rows(texts, "doc_id", "i")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     hits = ours.join(theirs, "seed").select("doc_id", "item_id", (F.col("i") - F.col("at")).alias("diagonal")).distinct()
+    short = _short_hits(texts, items)
+    hits = hits.union(short) if short is not None else hits
     hits = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits")), "hits")
 
     # only documents with a hit are tokenised again; each hit takes along its stretch of the document
