@@ -1,11 +1,12 @@
-"""Removal of repeated word sequences by prefix-partitioned suffix groups.
-
-Every suffix starts at a word. A suffix belongs to the group of a variable-length prefix: the words up to the end of
-its anchor, the k-gram of smallest hash among its first WINDOW words (k to WINDOW words, set by content, so equal
-windows always agree). Prefix groups that hold a single document are leaves and are dropped before any suffix is
-shipped. The suffixes of the others are dealt out and sorted; neighbours that agree on WINDOW words lie below one
-deep internal node, whose smallest doc_id is its first row, so a task holds one row a node however large it is.
-Runs of such nodes along a document are its maximal repeats.
+"""Removal of repeated word sequences by hashed windows.
+
+Every window of WINDOW words has an anchor: the ANCHOR-gram of smallest hash in it, set by content, so equal windows
+always agree. Windows whose anchor a single document holds are dropped before any is shipped. The others are dealt out
+by the hash of their words and sorted by doc_id; rows after the first doc_id of an equal hash are repeats. A task holds
+one row a window however often it occurs. Runs of such windows along a document are its repeats.
+
+This takes the place of suffix trees by prefix: repeats of fewer words aren't removed, longer ones are runs of
+windows, so no suffix is sorted beyond WINDOW words and no tree is built.
 
 Word sequences are compared by 64-bit hashes of the words and of the windows.
 """
