@@ -1,29 +1,34 @@
-"""Removal of repeated word sequences by hashed windows.
-
-Every window of WINDOW words has an anchor: the ANCHOR-gram of smallest hash in it, set by content, so equal windows
-always agree. Windows whose anchor a single document holds are dropped before any is shipped. The others are dealt out
-by the hash of their words and sorted by doc_id; rows after the first doc_id of an equal hash are repeats. A task holds
-one row a window however often it occurs. Runs of such windows along a document are its repeats.
-
-This takes the place of suffix trees by prefix: repeats of fewer words aren't removed, longer ones are runs of
-windows, so no suffix is sorted beyond WINDOW words and no tree is built.
-
-Word sequences are compared by 64-bit hashes of the words and of the windows.
+"""Removal of repeated word sequences by suffix trees, partitioned by prefix.
+
+A suffix starts at every word that WINDOW words follow; only its first WINDOW words matter here. Suffixes are grouped by
+the anchor of that prefix: the ANCHOR-gram of smallest hash in it, set by content, so equal prefixes always share a
+group, and a group is a bundle of subtrees. Groups that one document fills are dropped before any text is shipped;
+neighbouring suffixes of one group travel as one passage. In a group the suffixes are sorted word by word; those that
+share their first WINDOW words are an internal node of that depth, and whatever starts in it after the node's smallest
+doc_id is a repeat. Runs of such starts along a document are its maximal repeats.
+
+Groups of more than GROUP suffixes don't fit a task: they are split by the longest prefix, all WINDOW words, and by
+document, and the smallest doc_ids of the parts are compared in a second step. Words are compared, not hashes; hashes
+only deal the suffixes out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BATCH_ROWS, materialize
+from .common import BATCH_ROWS, materialize, runs, sorted_runs
 
 WINDOW, ANCHOR = 13, 5
+#: Suffixes of a group that a task sorts at most; suffixes in a passage; parts by document of a larger group's node.
+GROUP, PASSAGE, SALTS = 65_536, 64, 32
 _ODD = np.array([xxhash.xxh64_intdigest(f"word {i}") | 1 for i in range(WINDOW)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _word = xxhash.xxh64_intdigest
@@ -54,70 +59,91 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (anchor, doc_id, suffixes): how many suffixes of a document each anchor has."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part, ids, out = batch.slice(at, 256), [], []
+            part, cols = batch.slice(at, 256), []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
                 grams, place = anchors(_hashes(text.as_py().encode().split()))
-                out.append(np.unique(grams[place]))
-                ids.append(np.full(len(out[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
+                found, counts = np.unique(grams[place], return_counts=True)
+                cols.append((found.view(np.int64), np.full(len(found), doc, np.int64), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], ["anchor", "doc_id", "suffixes"])
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (anchor, doc_id) to the rows of anchors that two documents hold; keeps one row between batches."""
-    last: tuple[int, int, bool] | None = None  # anchor, doc_id, whether it went out
-    for batch in batches:
-        a, d = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy()
-        if not len(a):
-            continue
-        back = np.r_[last is not None and last[0] == a[0], a[1:] == a[:-1]]
-        ahead = np.r_[back[1:], False]
-        keep = back | ahead
-        oa, od = a[keep], d[keep]
-        if back[0] and last is not None and not last[2]:
-            oa, od = np.r_[last[0], oa], np.r_[last[1], od]
-        last = (a[-1], d[-1], bool(keep[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(oa), pa.array(od)], ["anchor", "doc_id"])
-
-
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their shared anchors to the suffixes whose prefix group holds several documents."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part, out = batch.slice(at, 64), []
-            for doc, row, text, shared in zip(part.column("doc_id").to_pylist(), part.column("row").to_pylist(), part.column("text"), part.column("anchors")):
-                words = _hashes(text.as_py().encode().split())
-                grams, place = anchors(words)
-                at_ = np.flatnonzero(np.isin(grams[place], shared.values.to_numpy().view(np.uint64)))
-                deep = _grams(words, WINDOW)[at_]
-                out.append((deep.view(np.int64), np.full(len(at_), doc, np.int64), np.full(len(at_), row, np.int32), at_.astype(np.int32)))
-            cols = [pa.array(np.concatenate(c)) for c in zip(*out)]
-            rows = pa.RecordBatch.from_arrays(cols, ["node", "doc_id", "row", "start"])
-            for i in range(0, rows.num_rows, BATCH_ROWS):
-                yield rows.slice(i, BATCH_ROWS)
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (node, doc_id) suffixes to those of documents that aren't the node's first."""
-    node = first = None
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their shared anchors to passages of up to PASSAGE neighbouring suffixes of one group."""
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    names = ["anchor", "large", "doc_id", "row", "start", "suffixes", "words"]
     for batch in batches:
-        n, d = batch.column("node").to_numpy(), batch.column("doc_id").to_numpy()
-        if not len(n):
-            continue
-        new = np.r_[n[0] != node, n[1:] != n[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
-        least = np.where(at >= 0, d[at], first if first is not None else 0)
-        node, first = n[-1], least[-1]
-        keep = pa.array(d > least)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("doc_id", "row", "start")], ["doc_id", "row", "start"])
-
-
-def covered(starts: np.ndarray, n: int) -> np.ndarray:
-    """Which of n words the windows at these starts cover."""
+        out: list[tuple] = []
+        for doc, row, text, shared in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), batch.column("anchors")):
+            words = text.as_py().encode().split()
+            grams, place = anchors(_hashes(words))
+            mine = grams[place].view(np.int64)
+            known, large = shared.values.field("anchor").to_numpy(), shared.values.field("large").to_numpy(zero_copy_only=False)
+            order = np.argsort(known)
+            known, large = known[order], large[order]
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            edges = runs(mine)
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if known[at[s]] == mine[s]:
+                    for i in range(s, e, PASSAGE):
+                        n = min(PASSAGE, e - i)
+                        out.append((int(mine[s]), bool(large[at[s]]), doc, row, i, n, b" ".join(words[i : i + n + WINDOW - 1]).decode()))
+            if len(out) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def repeated_suffixes(passages: list[str], docs: list[int], counts: list[int]) -> list[int]:
+    """The suffixes of one group that also start in a smaller doc_id: 2 * PASSAGE times the passage's number, plus the place in it."""
+    suffixes = []
+    for i, (text, doc, n) in enumerate(zip(passages, docs, counts)):
+        words = text.split(" ")
+        suffixes += [(words[k : k + WINDOW], doc, 2 * PASSAGE * i + k) for k in range(n)]
+    suffixes.sort(key=itemgetter(0, 1))
+    out, node, first = [], None, 0
+    for prefix, doc, code in suffixes:
+        if prefix != node:  # the next internal node of depth WINDOW; its smallest doc_id comes first
+            node, first = prefix, doc
+        elif doc > first:
+            out.append(code)
+    return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages sorted by anchor to their repeats: (doc_id, row, start, suffixes), a row a run."""
+    for part in sorted_runs(batches, "anchor"):
+        at, codes = runs(part["anchor"]), []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            found = repeated_suffixes(part["words"][s:e].tolist(), part["doc_id"][s:e].tolist(), part["suffixes"][s:e].tolist())
+            codes.append(np.array(found, np.int64) + 2 * PASSAGE * s)
+        code = np.sort(np.concatenate(codes))
+        edge = np.flatnonzero(np.diff(code, prepend=-2) != 1)
+        length = np.diff(np.r_[edge, len(code)])
+        i, k = code[edge] // (2 * PASSAGE), code[edge] % (2 * PASSAGE)
+        yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"][i]), pa.array(part["row"][i]), pa.array((part["start"][i] + k).astype(np.int32)), pa.array(length.astype(np.int32))], ["doc_id", "row", "start", "suffixes"])
+
+
+def _large_groups(passages: DataFrame) -> DataFrame:
+    """(doc_id, row, start, suffixes) of the repeats in groups that are dealt by whole prefix and document."""
+    words = F.split("words", " ")
+    prefixes = F.transform(F.sequence(F.lit(0), F.col("suffixes") - 1), lambda k: F.array_join(F.slice(words, k + 1, F.lit(WINDOW)), " "))
+    rows = passages.select("doc_id", "row", "start", F.posexplode(prefixes).alias("k", "prefix")).select("doc_id", "row", (F.col("start") + F.col("k")).alias("start"), "prefix")
+    part = Window.partitionBy("prefix", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows = materialize(rows.withColumn("first", F.min("doc_id").over(part)), "large")
+    later = rows.where("doc_id > first")
+    firsts = rows.where("doc_id = first").withColumn("first", F.min("doc_id").over(Window.partitionBy("prefix"))).where("doc_id > first")
+    return later.union(firsts).select("doc_id", "row", "start", F.lit(1).alias("suffixes"))
+
+
+def covered(starts: np.ndarray, suffixes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words the windows cover that begin in these runs of starts."""
     delta = np.zeros(n + 1, np.int32)
     np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + WINDOW, -1)
+    np.add.at(delta, starts + suffixes - 1 + WINDOW, -1)
     return np.cumsum(delta[:-1]) > 0
 
 
@@ -125,11 +151,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, texts, n_words, spans = batch.slice(at, 256), [], [], []
-            for text, copy, starts in zip(part.column("text"), part.column("copy").to_pylist(), part.column("starts")):
+            for text, row, copy, found in zip(part.column("text"), part.column("row").to_pylist(), part.column("copy").to_pylist(), part.column("found")):
                 words = (text.as_py() or "").encode().split()
                 gone = np.full(len(words), bool(copy) and len(words) >= WINDOW)
-                if not copy and starts.is_valid and len(starts):
-                    gone = covered(starts.values.to_numpy(), len(words))
+                if not copy and found.is_valid:
+                    mine, start, suffixes = (found.values.field(c).to_numpy() for c in ("row", "start", "suffixes"))
+                    gone = covered(start[mine == row], suffixes[mine == row], len(words))
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False])).reshape(-1, 2)
                 spans.append([{"start": int(s), "end": int(e)} for s, e in edge])
                 texts.append(b" ".join(w for w, g in zip(words, gone) if not g).decode() if len(edge) else b" ".join(words).decode())
@@ -138,6 +165,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())], ["doc_id", "n_words", "spans", "text"])
 
 
+def _copies(named: DataFrame) -> DataFrame:
+    """(doc_id, copied array<long>): the rows of a document whose whole text a smaller doc_id has; all their windows start there."""
+    prints = materialize(named.select("doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("row")), "prints")
+    # the copies of one text may be a third of all rows: judged by part first, then the first of each part
+    part = Window.partitionBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    dealt = prints.withColumn("first", F.min("doc_id").over(part))
+    firsts = dealt.where("doc_id = first").withColumn("first", F.min("doc_id").over(Window.partitionBy("digest")))
+    later = dealt.where("doc_id > first").union(firsts.where("doc_id > first"))
+    return materialize(later.groupBy("doc_id").agg(F.collect_set("row").alias("copied")), "copies")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """documents to (doc_id, n_words long, spans array<struct<start,end>>, text): a row for each row of the input.
 
@@ -147,25 +185,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = src.where("doc_id is not null and text is not null")
-    # whole copies of a smaller doc_id's text: all their windows start there
-    prints = materialize(named.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2")), "prints")
-    originals = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = prints.join(originals, ["h1", "h2"]).where("doc_id > first").select("doc_id", F.col("h1").alias("row"))
-    pairs = named.mapInArrow(_anchor_rows, "anchor long, doc_id long")
-    shared = pairs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared_anchors, "anchor long, doc_id long")
-    known = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    copied = copies.groupBy("doc_id").agg(F.collect_set("row").alias("copied"))
-    marked = (
-        src.join(known, "doc_id", "left").join(copied, "doc_id", "left")
-        .select("doc_id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"), "anchors", F.hash("text").alias("row"))
+    rest = src.where("doc_id is null or text is null")
+    copied = _copies(named)
+    texts = named.repartition("doc_id").join(copied, "doc_id", "left").select(
+        "doc_id", "text", F.xxhash64("text").alias("row"), F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy")
     )
-    marked = materialize(marked.withColumn("anchors", F.when(F.col("copy"), None).otherwise(F.col("anchors"))), "marked")
-    suffixes = marked.where("anchors is not null and text is not null").mapInArrow(_suffix_rows, "node long, doc_id long, row int, start int")
-    repeats = suffixes.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(_repeats, "doc_id long, row int, start int")
-    starts = repeats.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"))
-    hit = marked.where("anchors is not null").select("doc_id", "row", "text", "copy").join(starts, ["doc_id", "row"], "left")
-    rest = marked.where("anchors is null").select("doc_id", "row", "text", "copy").withColumn("starts", F.lit(None).cast("array<int>"))
-    return hit.unionByName(rest).mapInArrow(_cut, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, text string")
+    sources = texts.where("not copy").select("doc_id", "row", "text")
+    pairs = sources.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, suffixes long")
+    group = Window.partitionBy("anchor")
+    shared = pairs.select("anchor", "doc_id", F.min("doc_id").over(group).alias("lo"), F.max("doc_id").over(group).alias("hi"), F.sum("suffixes").over(group).alias("n")).where("lo < hi")
+    known = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", (F.col("n") > GROUP).alias("large"))).alias("anchors"))
+    passages = materialize(sources.join(known, "doc_id").mapInArrow(_passages, "anchor long, large boolean, doc_id long, row long, start int, suffixes int, words string"), "passages")
+    small = passages.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor")
+    repeats = small.mapInArrow(_subtrees, "doc_id long, row long, start int, suffixes int").union(_large_groups(passages.where("large")))
+    found = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "suffixes")).alias("found"))
+    cut = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, text string"
+    whole = rest.select("doc_id", "text", F.lit(0).cast("long").alias("row"), F.lit(False).alias("copy"), F.lit(None).cast("array<struct<row:long,start:int,suffixes:int>>").alias("found"))
+    return texts.join(found, "doc_id", "left").select(*whole.columns).union(whole).mapInArrow(_cut, cut)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -139,7 +139,10 @@ def slow_removal(rows):
     return out
 
 
-def test_substring_removal(docs, rows):
+@pytest.mark.parametrize("group", [substring.GROUP, 3])
+def test_substring_removal(docs, rows, monkeypatch, group):
+    monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "PASSAGE", 64 if group > 3 else 2)
     got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.text) for r in substring.remove_repeats(docs).collect()}
     want = slow_removal(rows)
     assert got == want
