@@ -12,6 +12,7 @@ are shuffled are packs times annuli, and a task scores one block against one pac
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ PACK, PACKS, PROBES = 256, 64, 4
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, x array<long>): floor(scale * component), computed in double. Vectors that are null, empty, or hold a
-    null or non-finite component take no part, nor do rows without vec_id. All vectors have one length."""
+    null or non-finite component take no part, nor do rows without vec_id."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
@@ -85,8 +86,12 @@ def build_index(rows: DataFrame, top: float, pivots: np.ndarray) -> DataFrame:
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256) -> DataFrame:
     """(query_id, rank int, vec_id, score): for each query row (vec_id, embedding) its k highest inner products among
-    all rows of another vec_id, ties to the smaller vec_id; fewer if there are fewer. Repeated query rows count once."""
+    all rows of another vec_id, ties to the smaller vec_id; fewer if there are fewer. Repeated query rows count once.
+    Vectors and queries of another length than the vectors' commonest (the longer of equally common ones) take no part."""
     rows = materialize(entries(integers(vectors, scale), k), "entries")
+    lengths = rows.groupBy(F.size("x").alias("n")).agg(F.sum(F.size("ids")).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    if lengths:
+        rows = rows.where(F.size("x") == lengths.n)
     top = rows.agg(F.max(F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v))).first()[0]
     if top is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -96,7 +101,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
     annuli = index.groupBy("pivot", "ring", "block").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n")).orderBy("pivot", "ring", "block").toPandas()
     ap, lo, hi, n = (annuli[c].to_numpy() for c in ("pivot", "lo", "hi", "n"))
     keys = (annuli["pivot"].to_numpy(np.int64) << 40) | (annuli["ring"].to_numpy(np.int64) << 20) | annuli["block"].to_numpy(np.int64)
-    asked = materialize(integers(queries, scale).select(F.col("vec_id").alias("query_id"), "x").distinct(), "queries")
+    asked = materialize(integers(queries, scale).where(F.size("x") == lengths.n).select(F.col("vec_id").alias("query_id"), "x").distinct(), "queries")
     parts = max(1, -(-asked.count() // (PACK * PACKS)))
 
     def bounds(x: np.ndarray) -> np.ndarray:
@@ -119,13 +124,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
                     some = np.arange(len(n)) < (np.cumsum(n[order], axis=1) < k + 1).sum(axis=1)[:, None] + PROBES
                     go = np.zeros(up.shape, bool)
                     np.put_along_axis(go, order, some, axis=1)
-                ids, short, part = f["query_id"].to_numpy(), x.astype("<i2" if np.abs(x).max() < 32_000 else "<i8"), int(f["query_id"].iloc[0]) % parts
+                ids, short, part = f["query_id"].to_numpy(), x.astype("<i2" if np.abs(x).max() < 32_000 else "<i8"), zlib.crc32(str(f["query_id"].iloc[0]).encode()) % parts
                 hit = np.flatnonzero(go.any(axis=0))
                 yield pd.DataFrame({"key": keys[hit], "part": part, "qids": [ids[go[:, j]].tolist() for j in hit], "qx": [short[go[:, j]].tobytes() for j in hit]})
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
+            right = right.iloc[right["ids"].str[0].argsort(kind="stable")]  # by smallest id: of equal scores the first ones count
             e, ids = np.array(right["x"].tolist(), np.int64), right["ids"].tolist()
             for qids, qx in zip(left["qids"], left["qx"]):
                 q = np.frombuffer(qx, f"<i{len(qx) // len(qids) // e.shape[1]}").reshape(len(qids), -1)
@@ -133,18 +139,20 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
                 s = q.astype(float) @ e.T.astype(float) if small else q.astype(np.int64) @ e.T
                 at = max(0, s.shape[1] - k - 1)
                 least = np.partition(s, at, axis=1)[:, at]
-                for a, b in zip(*np.nonzero(s >= least[:, None])):
-                    out += [(qids[a], v, int(s[a, b])) for v in ids[b] if v != qids[a]]
+                for a, row in enumerate(s):
+                    best = np.r_[np.flatnonzero(row > least[a]), np.flatnonzero(row == least[a])[: k + 1]]
+                    out += [(qids[a], v, int(row[b])) for b in best for v in ids[b] if v != qids[a]]
         found = pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["query_id", "vec_id", "score"])
         return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     key = F.shiftleft(F.col("pivot").cast("long"), 40) + F.shiftleft(F.col("ring").cast("long"), 20) + F.col("block")
-    held = index.select(key.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "x", "ids").groupBy("key", "part")
+    held = index.select(key.alias("key"), "x", "ids")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def visit(some: DataFrame) -> DataFrame:
-        routed = some.mapInPandas(route, "key long, part int, qids array<long>, qx binary").groupBy("key", "part")
-        found = routed.cogroup(held).applyInPandas(score, "query_id long, vec_id long, score long")
+        routed = materialize(some.mapInPandas(route, "key long, part int, qids array<long>, qx binary"), "routed")
+        asked_of = held.join(routed.select("key", "part").distinct(), "key").groupBy("key", "part")  # annuli go where queries ask for them
+        found = routed.groupBy("key", "part").cogroup(asked_of).applyInPandas(score, "query_id long, vec_id long, score long")
         return found.withColumn("rank", F.row_number().over(best))
 
     least = visit(asked).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))

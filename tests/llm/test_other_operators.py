@@ -76,6 +76,13 @@ def test_topk_is_exact(spark, monkeypatch, n):
     assert got == slow_topk(rows)
 
 
+def test_topk_of_uneven_lengths_and_ties(spark):
+    rows = [(50 * i, [0.0, 0.0]) for i in range(3)] + [(1 + i, [float(i % 7), 1.0]) for i in range(40)] + [(500, [1.0]), (501, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.search(df.where("vec_id % 50 = 0"), df).collect()}
+    assert got == slow_topk([r for r in rows if len(r[1]) == 2])
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, df).count() == 0
