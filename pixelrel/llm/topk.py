@@ -151,7 +151,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
 
     def visit(some: DataFrame) -> DataFrame:
         routed = materialize(some.mapInPandas(route, "key long, part int, qids array<long>, qx binary"), "routed")
-        asked_of = held.join(routed.select("key", "part").distinct(), "key").groupBy("key", "part")  # annuli go where queries ask for them
+        asked = routed.select(F.col("key").alias("asked"), F.col("part").alias("of")).distinct()  # annuli go where queries ask for them
+        asked_of = held.join(asked, F.col("key") == F.col("asked")).select(F.col("asked").alias("key"), F.col("of").alias("part"), "x", "ids").groupBy("key", "part")
         found = routed.groupBy("key", "part").cogroup(asked_of).applyInPandas(score, "query_id long, vec_id long, score long")
         return found.withColumn("rank", F.row_number().over(best))
 
