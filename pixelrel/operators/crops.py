@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pixel, rng
+from ..model import dims
 from .integral import candidates, good, patch_stats, patch_sums
 
 PATCH, CROPS, SEED, RETRIES, DEFECT_RATIO, MIN_DEFECTS = 256, 50, 42, 10, 0.8, 1
@@ -66,7 +67,16 @@ def defect_biased_crops(frame: DataFrame, defect: DataFrame, mask: DataFrame, p:
 
 def extract(pixels: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
     """(image_id, crop_index, y, x, c, v), y and x inside the turned patch. Crops go to the p x p cells they touch (at most
-    four), so the range join is an equi-join; crops that leave the frame keep only what is inside, see rejected()."""
+    four), so the range join is an equi-join. Crops that leave the frame are left out, see rejected()."""
+    return _cut(pixels, within(crops, pixels, p), p)
+
+
+def within(crops: DataFrame, pixels: DataFrame, p: int = PATCH) -> DataFrame:
+    """The crops that lie whole inside their frame."""
+    return crops.join(rejected(crops, dims(pixels), p), ["image_id", "crop_index"], "left_anti")
+
+
+def _cut(pixels: DataFrame, crops: DataFrame, p: int) -> DataFrame:
     k = lambda a: F.floor(F.col(a) / p).cast("int")
     spread = lambda a: F.explode(F.array_distinct(F.array(k(a), F.floor((F.col(a) + p - 1) / p).cast("int"))))
     placed = crops.withColumnsRenamed({"y": "y0", "x": "x0"}).withColumn("cell_y", spread("y0")).withColumn("cell_x", spread("x0"))
@@ -92,11 +102,33 @@ def patches(pixels: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
     return rows.groupBy("image_id", "crop_index").agg(data.alias("data")).select("image_id", "crop_index", name.alias("name"), "data")
 
 
-def same_shape(a: DataFrame, b: DataFrame) -> Column | DataFrame:
+def same_shape(a: DataFrame, b: DataFrame) -> DataFrame:
     """image_ids whose (image_id, height, width) agree."""
     return a.join(b, ["image_id", "height", "width"]).select("image_id")
 
 
+def shape_rejects(source: DataFrame, p: int = PATCH, **others: DataFrame) -> DataFrame:
+    """(image_id, reason) of source images that a builder skips: under p pixels, without one of the others (relations with
+    image_id, y and x: the target, a mask), or of another height or width than it. The first reason found counts."""
+    size = dims(source)
+    reason = F.when((F.col("height") < p) | (F.col("width") < p), "too small")
+    for name, other in others.items():
+        size = size.join(dims(other).select("image_id", F.col("height").alias(f"h_{name}"), F.col("width").alias(f"w_{name}")), "image_id", "left")
+        differs = (F.col(f"h_{name}") != F.col("height")) | (F.col(f"w_{name}") != F.col("width"))
+        reason = reason.when(F.col(f"h_{name}").isNull(), f"no {name}").when(differs, f"{name} of another shape")
+    return size.select("image_id", reason.alias("reason")).where("reason is not null")
+
+
 def pairs(source: DataFrame, target: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
-    """(image_id, crop_index, side, y, x, c, v): the same crops, turned alike, from input and target."""
-    return extract(source, crops, p).withColumn("side", F.lit("input")).unionByName(extract(target, crops, p).withColumn("side", F.lit("target")))
+    """(image_id, crop_index, side, y, x, c, v): the same crops, turned alike, from input and target. Images whose shapes
+    differ and crops that leave the frame are left out on both sides."""
+    kept = within(crops, source, p).join(same_shape(dims(source), dims(target)), "image_id", "left_semi")
+    return _cut(source, kept, p).withColumn("side", F.lit("input")).unionByName(_cut(target, kept, p).withColumn("side", F.lit("target")))
+
+
+def built_pairs(source: DataFrame, target: DataFrame, mask: DataFrame, p: int = PATCH, crops: int = CROPS, seed: int = SEED, retries: int = RETRIES) -> DataFrame:
+    """A builder of one degradation (stars to starless, degraded to full resolution): images of source, target and mask of
+    one shape, crops whose target passes the quality gate, both sides cut and turned alike."""
+    skipped = shape_rejects(source, p, target=target, mask=mask)
+    usable = target.join(skipped, "image_id", "left_anti").join(source.select("image_id").distinct(), "image_id", "left_semi")
+    return pairs(source, target, crop_manifest(usable, mask, p, crops, seed, retries), p)

@@ -53,3 +53,10 @@ def cosine(vectors: DataFrame) -> DataFrame:
     dot = a.join(b, ["param", "idx"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
     named = lambda c: norm.select(F.col("task").alias(c), F.col("norm").alias(f"n{c}"))
     return dot.join(named("a"), "a").join(named("b"), "b").select("a", "b", (F.col("dot") / F.col("na") / F.col("nb")).alias("cosine"))
+
+
+def without_prefix(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Strips a prefix off the keys if all of them have it, else none."""
+    every = rows.agg(F.min(F.col(key).startswith(prefix)).alias("every"))  # one row
+    stripped = F.when(F.col("every"), F.substr(F.col(key), F.lit(len(prefix) + 1))).otherwise(F.col(key))
+    return rows.crossJoin(every).withColumn(key, stripped).drop("every")

@@ -64,6 +64,11 @@ def preferred(files: DataFrame, stem: str, suffix: str, order: list[str]) -> Dat
     return files.withColumn("rank", rank).where(F.col("rank") > 0).withColumn("n", F.row_number().over(best)).where(F.col("n") == 1).drop("rank", "n")
 
 
+def composites(files: DataFrame, stem: str, suffix: str) -> DataFrame:
+    """The listing of composites: NPY files, then TIF files, so the TIF of a stem that has both is what stays."""
+    return preferred(files, stem, suffix, ["tif", "npy"])
+
+
 def wrapped(files: DataFrame, indices: DataFrame, order: str) -> DataFrame:
     """(i, ...) the file at each index modulo the number of files, in order: a fixed preview set."""
     numbered = files.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)  # a directory listing

@@ -330,6 +330,29 @@ def _(spark, d):
     return cut.groupBy("image_id", "crop_index").agg(F.sum((F.col("x") + F.col("y") * 10).cast("long")).alias("total"), F.count_distinct("y", "x").alias("cells"))
 
 
+block("moved", "SELECT image_id, crop_index, y + 3 * (crop_index % 4) AS y, x FROM crops")
+
+
+@query("crop_rejects", f"SELECT image_id, crop_index, 'out of bounds' AS reason FROM moved JOIN (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY image_id) USING (image_id) WHERE y + {P} > h OR x + {P} > w")
+def _(spark, d):
+    moved = manifest(spark, d).withColumn("y", F.col("y") + 3 * (F.col("crop_index") % 4))
+    return crops.rejected(moved, model.dims(raw(spark, d)), P)
+
+
+@query(
+    "shape_rejects",
+    "SELECT image_id, CASE WHEN t IS NULL THEN 'no target' WHEN t <> h THEN 'target of another shape' END AS reason FROM (SELECT image_id, max(y) AS h, max(y) FILTER (y < 45 AND image_id <> '3') AS t FROM pixels GROUP BY image_id) WHERE t IS NULL OR t <> h",
+)
+def _(spark, d):
+    rows = raw(spark, d)
+    return crops.shape_rejects(rows, P, target=rows.where((F.col("y") < 45) & (F.col("image_id") != "3")))
+
+
+@query("without_prefix", "SELECT page_id, CASE WHEN (SELECT bool_and(starts_with(url, 'http')) FROM pages) THEN url[5:] ELSE url END AS url FROM pages")
+def _(spark, d):
+    return merging.without_prefix(table(spark, d, "pages").select("page_id", "url"), "url", "http")
+
+
 @query("pairs_ir", f"SELECT image_id, crop_index, y, x, c, {s6('v')}, 'input' AS side FROM cut UNION ALL SELECT image_id, crop_index, y, x, c, {s6('v')}, 'target' FROM cutfixed")
 def _(spark, d):
     return crops.pairs(stretched(spark, d), defects.correct(found(spark, d)), manifest(spark, d), P).select("image_id", "crop_index", "y", "x", "c", *r6("v"), "side")
@@ -547,6 +570,13 @@ def _(spark, d):
     return splits.preferred(files, "stem", "suffix", ["npy", "tif"])
 
 
+@query("composite_listing", "SELECT stem, suffix, page_id FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY CASE suffix WHEN 'tif' THEN 1 ELSE 2 END, page_id) AS n FROM files WHERE suffix IN ('npy', 'tif')) WHERE n = 1")
+def _(spark, d):
+    suffix = F.when(F.col("page_id") % 3 == 0, "tif").when(F.col("page_id") % 3 == 1, "npy").otherwise("png")
+    files = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("stem"), suffix.alias("suffix"), "page_id")
+    return splits.composites(files, "stem", "suffix")
+
+
 @query("path_stem", "SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/]*$'), '[.][^./]*$', '') AS stem FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", model.stem(F.regexp_replace("url", "[?#].*", "")).alias("stem"))
@@ -634,8 +664,8 @@ def _(spark, d):
     return metrics.forward_noise(rows, metrics.noise_schedule(spark), "s", "e").select("image_id", "y", "x", "c", *r6("noisy", "v_target"))
 
 
-# merging: labels 0 to 2 as tasks ------------------------------------------------------------------------------------
-block("tasks", "SELECT image_id AS task, y AS param, x * 3 + c AS idx, v AS value FROM pixels WHERE image_id IN ('0', '1', '2') AND y < 20")
+# merging: labels as tasks ------------------------------------------------------------------------------------
+block("tasks", "SELECT image_id AS task, y AS param, x * 3 + c AS idx, v AS value FROM pixels")
 block("trimmed", "SELECT t.* FROM tasks t JOIN (SELECT task, quantile_cont(abs(value), 0.8) AS cut FROM tasks GROUP BY task) USING (task) WHERE abs(value) >= cut")
 _ELECT = "SELECT param, idx, round(avg(value), 6) AS value FROM {0} JOIN (SELECT param, idx, sign(sum(value)) AS s FROM {0} GROUP BY ALL) USING (param, idx) WHERE sign(value) = s AND s <> 0 GROUP BY ALL"
 block("dropped", f"SELECT task, param, idx, value / 0.5 AS value FROM tasks WHERE NOT {_key('dare', 'task', 'param', 'idx')} / 4294967296.0 < 0.5")
@@ -643,8 +673,7 @@ block("droptrim", "SELECT t.* FROM dropped t JOIN (SELECT task, quantile_cont(ab
 
 
 def tasks(spark, d) -> DataFrame:
-    rows = raw(spark, d).where(F.col("image_id").isin("0", "1", "2") & (F.col("y") < 20))
-    return rows.select(F.col("image_id").alias("task"), F.col("y").alias("param"), (F.col("x") * 3 + F.col("c")).alias("idx"), F.col("v").alias("value"))
+    return raw(spark, d).select(F.col("image_id").alias("task"), F.col("y").alias("param"), (F.col("x") * 3 + F.col("c")).alias("idx"), F.col("v").alias("value"))
 
 
 @query("task_arithmetic", "SELECT param, idx, round(0.3 * sum(value), 6) AS value FROM tasks GROUP BY ALL")
@@ -662,6 +691,9 @@ def _(spark, d):
     return merging.dare_ties(tasks(spark, d), drop=0.5).select("param", "idx", *r6("value"))
 
 
-@query("task_cosine", "SELECT a.task AS a, b.task AS b, round(sum(a.value * b.value) / sqrt(sum(a.value ** 2)) / sqrt(sum(b.value ** 2)), 6) AS cosine FROM tasks a JOIN tasks b ON a.param = b.param AND a.idx = b.idx AND a.task < b.task GROUP BY ALL")
+block("norms", "SELECT task, sqrt(sum(value ** 2)) AS norm FROM tasks GROUP BY task")
+
+
+@query("task_cosine", "SELECT a, b, round(dot / na.norm / nb.norm, 6) AS cosine FROM (SELECT a.task AS a, b.task AS b, sum(a.value * b.value) AS dot FROM tasks a JOIN tasks b ON a.param = b.param AND a.idx = b.idx AND a.task < b.task GROUP BY ALL) JOIN norms na ON na.task = a JOIN norms nb ON nb.task = b")
 def _(spark, d):
     return merging.cosine(tasks(spark, d)).select("a", "b", *r6("cosine"))

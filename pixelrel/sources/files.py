@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixel
@@ -93,6 +93,11 @@ def missing_keys(text: str, required: list[str]) -> list[str]:
     return sorted(set(required) - set(json.loads(text)))
 
 
+def keys_missing(value: Column, required: list[str]) -> Column:
+    """As missing_keys, for a column of JSON objects; null where a value is no object."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.json_object_keys(value)))
+
+
 def quantised(pixels: DataFrame, how: str) -> DataFrame:
     """v as stored: trunc16, rint16, u8 or mask (0/255)."""
     v = F.col("v")

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder in spark.checkpoint.dir; on a local master, where it may be unset, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         os.makedirs(root := os.path.join(tempfile.gettempdir(), "checkpoints"), exist_ok=True)
         path = f"file://{tempfile.mkdtemp(dir=root)}"

@@ -324,3 +324,20 @@ def test_arrivals_skip_what_is_done(spark, tmp_path):
     run(0)
     run(1)  # a new stream sees all files again
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", 2.0), ("b", 4.0), ("c", 6.0)]
+
+
+def test_crops_over_the_edge_and_uneven_shapes_are_rejected(spark):
+    grid = lambda name, h, w: [(name, y, x, 0, float(y * w + x)) for y in range(h) for x in range(w)]
+    frame = spark.createDataFrame(grid("a", 6, 6) + grid("b", 6, 6) + grid("c", 2, 2), model.PIXELS)
+    target = spark.createDataFrame(grid("a", 6, 6) + grid("b", 5, 6), model.PIXELS)
+    manifest = spark.createDataFrame([("a", 0, 2, 2, False, False, 0), ("a", 1, 3, 2, False, False, 0), ("b", 0, 0, 0, True, False, 1), ("z", 0, 0, 0, False, False, 0)], model.CROPS)
+    got = crops.extract(frame, manifest, 4)
+    assert {(r.image_id, r.crop_index, r.n) for r in got.groupBy("image_id", "crop_index").agg(F.count("*").alias("n")).collect()} == {("a", 0, 16), ("b", 0, 16)}
+    assert {(r.image_id, r.side) for r in crops.pairs(frame, target, manifest, 4).collect()} == {("a", "input"), ("a", "target")}
+    assert {tuple(r) for r in crops.rejected(manifest, model.dims(frame), 4).collect()} == {("a", 1, "out of bounds"), ("z", 0, "no frame")}
+    assert {tuple(r) for r in crops.shape_rejects(frame, 4, target=target).collect()} == {("b", "target of another shape"), ("c", "too small")}
+
+
+def test_keys_missing_in_json(spark):
+    rows = spark.createDataFrame([('{"b": 1}',), ('{"a": 1, "b": 2, "z": 3}',), ("no json",)], "value string")
+    assert [r.m for r in rows.select(files.keys_missing(F.col("value"), ["b", "c", "a"]).alias("m")).collect()] == [["a", "c"], ["c"], None]
