@@ -128,7 +128,8 @@ def pairs(source: DataFrame, target: DataFrame, crops: DataFrame, p: int = PATCH
 
 def built_pairs(source: DataFrame, target: DataFrame, mask: DataFrame, p: int = PATCH, crops: int = CROPS, seed: int = SEED, retries: int = RETRIES) -> DataFrame:
     """A builder of one degradation (stars to starless, degraded to full resolution): images of source, target and mask of
-    one shape, crops whose target passes the quality gate, both sides cut and turned alike."""
+    one shape, crops whose input passes the quality gate (a manifest for all degradations looks at the clean side instead),
+    both sides cut and turned alike."""
     skipped = shape_rejects(source, p, target=target, mask=mask)
-    usable = target.join(skipped, "image_id", "left_anti").join(source.select("image_id").distinct(), "image_id", "left_semi")
+    usable = source.join(skipped, "image_id", "left_anti")
     return pairs(source, target, crop_manifest(usable, mask, p, crops, seed, retries), p)

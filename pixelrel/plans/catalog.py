@@ -358,6 +358,32 @@ def _(spark, d):
     return crops.pairs(stretched(spark, d), defects.correct(found(spark, d)), manifest(spark, d), P).select("image_id", "crop_index", "y", "x", "c", *r6("v"), "side")
 
 
+_SIDES = "SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0 AS v, 'input' AS side FROM {a} WHERE image_id <> '3' UNION ALL SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0, 'target' FROM {b} WHERE image_id <> '3'"
+PAIR = ["image_id", "crop_index", "y", "x", "c"]
+
+
+@query("pairs_sr", _SIDES.format(a="cut", b="cutfixed"))
+def _(spark, d):
+    """Image 3 has no target, so it is skipped."""
+    target = defects.correct(found(spark, d)).where("image_id <> '3'")
+    return crops.built_pairs(stretched(spark, d), target, valid(spark, d), P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
+
+
+block("sustat", f"SELECT p.image_id, p.y, p.x, avg(q.v) AS mean, var_pop(q.v) AS var FROM mask p JOIN dims d USING (image_id) JOIN blurred q ON q.image_id = p.image_id AND {_SQUARE} WHERE p.y <= height - {P} AND p.x <= width - {P} GROUP BY ALL")
+block("suaccepted", f"SELECT t.image_id, crop_index, arg_min(r.y, attempt) AS y, arg_min(r.x, attempt) AS x FROM tries t JOIN ranked r ON r.image_id = t.image_id AND r.k = {_key('position', 't.image_id', 'crop_index', 'attempt')} % t.n JOIN sustat s ON s.image_id = r.image_id AND s.y = r.y AND s.x = r.x WHERE mean >= 0.05 AND var >= 1e-5 GROUP BY ALL")
+block("sucrops", f"SELECT *, {_AUG} & 1 = 1 AS flip_h, ({_AUG} >> 1) & 1 = 1 AS flip_v, CAST(({_AUG} >> 2) & 3 AS INTEGER) AS rot_k FROM suaccepted")
+block("sulow", _CUT.replace("FROM crops k", "FROM sucrops k").format(m=P - 1, fx=_FX, fy=_FY, src="blurred", p=P))
+block("sufull", _CUT.replace("FROM crops k", "FROM sucrops k").format(m=P - 1, fx=_FX, fy=_FY, src="stretched", p=P))
+
+
+@query("pairs_su", _SIDES.format(a="sulow", b="sufull"))
+def _(spark, d):
+    """The gate looks at the blurred side; image 3 has no mask, so it is skipped."""
+    low = stencil.gaussian(stretched(spark, d), 1.5)
+    mask = valid(spark, d).where("image_id <> '3'")
+    return crops.built_pairs(low, stretched(spark, d), mask, P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
+
+
 @query("patch_names", "SELECT image_id, crop_index, image_id || '_' || lpad(CAST(crop_index AS VARCHAR), 4, '0') AS name, CAST(count(*) AS INTEGER) AS n, round(sum(v), 3) AS total FROM cut GROUP BY ALL")
 def _(spark, d):
     made = crops.patches(stretched(spark, d), manifest(spark, d), P)

@@ -11,7 +11,7 @@ TABLES = "events documents embeddings pages labels".split()
 #: One query for each kind of block; all of them are held against their SQL at sf0.01 outside of the tests.
 CHOSEN = """stretch_params_linked stretch_paired mask_margin patch_sum patch_quality defect_counts dilated_mask quantise_rint gaussian_blur
 match_shape crop_extract star_catalogue paste_field split_exact leakage incremental_pending format_pref best_so_far topk_two_stage noise_schedule
-dare_ties task_cosine task_arithmetic ties_merge pairs_ir crop_rejects shape_rejects composite_listing without_prefix""".split()
+dare_ties task_cosine task_arithmetic ties_merge pairs_ir pairs_sr pairs_su crop_rejects shape_rejects composite_listing without_prefix""".split()
 
 
 @pytest.fixture(scope="module")
