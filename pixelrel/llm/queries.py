@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, langid, lines, packing, simhash, substring, topk, toxicity, warc
+from . import centroids, decontaminate, divergence, html, langid, lines, mixing, packing, simhash, substring, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_centroid_clustering": centroids.op11_centroid_clustering,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_source_mixing": mixing.op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op8_decontamination": decontaminate.ORACLE_SQL,
+        "op11_centroid_clustering": centroids.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_source_mixing": mixing.ORACLE_SQL,
+    }
