@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import dims
+from ..storage import materialize
+from .quantiles import quantiles
 from .stencil import dilate, local_median
 
 MAD, SIGMA, SIZE, EPS = 1.4826, 6.0, 5, 1e-6
@@ -22,9 +24,10 @@ def residuals(pixels: DataFrame, mask: DataFrame | None = None, size: int = SIZE
 
 def robust_sigma(res: DataFrame) -> DataFrame:
     """(image_id, c, sigma): 1.4826 x the median distance to the median over valid pixels; 0 without any."""
-    mid = res.groupBy("image_id", "c").agg(F.expr("median(res) FILTER (WHERE valid)").alias("mid"))
-    far = res.join(mid, ["image_id", "c"]).groupBy("image_id", "c").agg(F.expr("median(abs(res - mid)) FILTER (WHERE valid)").alias("mad"))
-    return far.select("image_id", "c", F.coalesce(F.col("mad") * MAD, F.lit(0.0)).alias("sigma"))
+    by, valid = ["image_id", "c"], res.where("valid")
+    mid = quantiles(valid, by, F.col("res"), [0.5]).select(*by, F.col("p")[0].alias("mid"))
+    mad = quantiles(valid.join(mid, by), by, F.abs(F.col("res") - F.col("mid")), [0.5]).select(*by, F.col("p")[0].alias("mad"))
+    return res.select(*by).distinct().join(mad, by, "left").select(*by, F.coalesce(F.col("mad") * MAD, F.lit(0.0)).alias("sigma"))
 
 
 def flags(res: DataFrame, sigma: float = SIGMA) -> DataFrame:
@@ -35,7 +38,7 @@ def flags(res: DataFrame, sigma: float = SIGMA) -> DataFrame:
 
 def detect(pixels: DataFrame, mask: DataFrame | None = None, sigma: float = SIGMA, grow: int = 0, size: int = SIZE) -> DataFrame:
     """(image_id, y, x, c, v, med, bad) with the flags grown by a cross grow times (not cut back to valid pixels)."""
-    found = flags(residuals(pixels, mask, size), sigma)
+    found = flags(materialize(residuals(pixels, mask, size), "residuals"), sigma)  # read five times
     if grow > 0:
         grown = dilate(found.where("bad"), grow, dims(pixels)).withColumn("grown", F.lit(True))
         found = found.join(grown, [*AT, "c"], "left").withColumn("bad", F.coalesce("grown", F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from .quantiles import quantiles
 
 KEEP, DROP, SCALE = 0.2, 0.9, 1.0
 
@@ -20,7 +21,7 @@ def task_arithmetic(vectors: DataFrame, weights: dict[str, float] | None = None,
 
 def trim(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
     """The share keep of largest magnitudes of each task, by the exact quantile (ties at it stay)."""
-    cut = vectors.groupBy("task").agg(F.percentile(F.abs("value"), 1 - keep).alias("cut"))
+    cut = quantiles(vectors, ["task"], F.abs("value"), [1 - keep]).select("task", F.col("p")[0].alias("cut"))
     return vectors.join(cut, "task").where(F.abs("value") >= F.col("cut")).drop("cut")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel
+from .quantiles import quantiles
 
 BLACK, WHITE = 1.0, 99.7
 
@@ -13,11 +14,9 @@ BLACK, WHITE = 1.0, 99.7
 def stretch_params(pixels: DataFrame, black: float = BLACK, white: float = WHITE, linked: bool = False) -> DataFrame:
     """(image_id, c, black, white): exact percentiles of the cleaned values; linked: the image's own for each channel."""
     clean = pixels.select("image_id", "c", pixel.finite_or_zero(F.col("v")).alias("v"))
-    both = F.percentile("v", F.array(F.lit(black / 100), F.lit(white / 100)))
+    found = quantiles(clean, ["image_id"] if linked else ["image_id", "c"], F.col("v"), [black / 100, white / 100])
     if linked:
-        found = clean.groupBy("image_id").agg(both.alias("p")).crossJoin(pixels.sparkSession.range(3).select(F.col("id").cast("int").alias("c")))
-    else:
-        found = clean.groupBy("image_id", "c").agg(both.alias("p"))
+        found = found.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     lo, hi = F.col("p")[0], F.col("p")[1]
     return found.select("image_id", "c", lo.alias("black"), F.when(hi <= lo, lo + 1e-10).otherwise(hi).alias("white"))
 
