@@ -2,53 +2,44 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+from . import numbering
+from .graph import connected_components
+
 THRESHOLD, MIN_AREA, PAD = 0.1, 4, 2
+#: Pixels of a cell in which runs meet; roots of a block in which they are numbered.
+CELL, BLOCK = 64, 4_096
 AT = ["image_id", "y", "x"]
 
 
-def label_pixels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 4-connected pixels, in raster order of their first pixel: union of row runs."""
-    order = np.lexsort((x, y))
-    ys, xs = y[order], x[order]
-    start = np.flatnonzero(np.r_[True, (ys[1:] != ys[:-1]) | (xs[1:] != xs[:-1] + 1)])
-    end = np.r_[start[1:], len(ys)] - 1
-    parent = list(range(len(start)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    above = 0
-    for i in range(len(start)):
-        while above < i and (ys[start[above]] < ys[start[i]] - 1 or ys[start[above]] == ys[start[i]] - 1 and xs[end[above]] < xs[start[i]]):
-            above += 1
-        j = above
-        while j < i and ys[start[j]] == ys[start[i]] - 1 and xs[start[j]] <= xs[end[i]]:
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-            j += 1
-    roots = np.array([root(i) for i in range(len(start))])
-    rank = np.unique(roots, return_inverse=True)[1] + 1
-    out = np.empty(len(ys), np.int32)
-    out[order] = np.repeat(rank, end - start + 1)
-    return out
+def row_runs(pixels: DataFrame) -> DataFrame:
+    """Adds x0, where the run of neighbouring pixels of the row begins that a pixel belongs to."""
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    begins = F.coalesce(F.lag("x").over(row) != F.col("x") - 1, F.lit(True))
+    start = F.last(F.when(begins, F.col("x")), ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    return pixels.withColumn("x0", start)
 
 
 def components(soft: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(image_id, y, x, alpha) to the pixels over the threshold with their label. One image's star pixels meet in a task."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(label=label_pixels(pdf["y"].to_numpy(), pdf["x"].to_numpy()))
-
-    return soft.where(F.col("alpha") > threshold).select(*AT, "alpha").groupBy("image_id").applyInPandas(label, "image_id string, y int, x int, alpha double, label int")
+    """(image_id, y, x, alpha, label) of the pixels over the threshold: labels from 1 of 4-connected pixels, in raster
+    order of their first pixel. Runs of a row are nodes, numbered in raster order; runs of neighbouring rows that overlap
+    are links, found by the CELL-wide cells that both touch. No image meets in one task."""
+    bright = materialize(row_runs(soft.where(F.col("alpha") > threshold).select(*AT, "alpha")), "bright")
+    spans = bright.groupBy("image_id", "y", "x0").agg(F.max("x").alias("x1"))
+    runs = materialize(numbering.numbered(spans, ["image_id", "y", "x0"], name="run"), "runs")
+    cell = F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor(F.col("x1") / CELL)))
+    lower = runs.select("image_id", "y", "run", "x0", "x1", cell.alias("cell"))
+    upper = lower.select("image_id", (F.col("y") + 1).alias("y"), "cell", F.col("run").alias("above"), F.col("x0").alias("l"), F.col("x1").alias("r"))
+    links = lower.join(upper, ["image_id", "y", "cell"]).where((F.col("l") <= F.col("x1")) & (F.col("r") >= F.col("x0"))).select(F.col("above").alias("a"), F.col("run").alias("b"))
+    rooted = runs.join(connected_components(links).withColumnRenamed("node", "run"), "run", "left").withColumn("root", F.coalesce("component", "run"))
+    roots = rooted.where("root = run").select("image_id", "root")  # a component's smallest run number is its first
+    labels = numbering.numbered(roots, ["root"], ["image_id"], F.floor(F.col("root") / BLOCK), "label")
+    named = rooted.join(labels, ["image_id", "root"]).select("image_id", "y", "x0", (F.col("label") + 1).cast("int").alias("label"))
+    return bright.join(named, ["image_id", "y", "x0"]).select(*AT, "alpha", "label")
 
 
 def boxes(labelled: DataFrame, size: DataFrame, mask: DataFrame | None = None, min_area: int = MIN_AREA, pad: int = PAD) -> DataFrame:
