@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,14 +27,3 @@ def choice(k: Column, n: Column) -> Column:
 
 def bits(k: Column, at: int, n: int = 1) -> Column:
     return F.shiftright(k, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-
-
-def poisson(k: Column, rate: Column) -> Column:
-    """Poisson counts, each from a generator of its own seeded by the row's key."""
-    import numpy as np
-
-    @F.pandas_udf("long")
-    def draw(keys: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([int(np.random.Generator(np.random.Philox(int(a))).poisson(max(0.0, b))) for a, b in zip(keys, rates.fillna(0.0))])
-
-    return draw(k, rate)

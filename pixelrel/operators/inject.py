@@ -1,24 +1,25 @@
-"""Synthetic star fields: placement is greedy inside an image, pasting is a join and a sum."""
+"""Synthetic star fields: greedy placement as rounds of joins, pasting as a join and a sum."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel, rng
+from ..storage import materialize
+from . import numbering
 
 MIN_SEP, ATTEMPTS, JITTER, POOL, SEED = 0.55, 30, 0.15, 5_000, 43
 AT = ["image_id", "y", "x"]
 PLACED = "image_id string, seq int, star_id long, cy int, cx int, radius double, flip_h boolean, flip_v boolean, rot_k int, scale double"
+PLACED_COLUMNS = [c.split()[0] for c in PLACED.split(", ")]
+#: Gaps of a block in which they are summed.
+BLOCK = 4_096
 
 
 def pool(stars: DataFrame, size: int = POOL, seed: int = SEED) -> DataFrame:
-    """At most size stars, drawn without replacement by hash; numbered i from 0, with n of them."""
-    drawn = stars.withColumn("k", rng.key(seed, "pool", "star_id")).orderBy("k", "star_id").limit(size).toPandas()
-    drawn["i"], drawn["n"] = range(len(drawn)), len(drawn)
-    return stars.sparkSession.createDataFrame(drawn[["i", "n", "star_id", "h", "w"]], "i int, n int, star_id long, h int, w int")  # bounded by size
+    """(star_id, h, w) of at most size stars, drawn without replacement by hash."""
+    return stars.withColumn("k", rng.key(seed, "pool", "star_id")).orderBy("k", "star_id").limit(size).select("star_id", "h", "w")
 
 
 def valid_pixels(size: DataFrame, mask: DataFrame | None = None) -> DataFrame:
@@ -31,37 +32,71 @@ def valid_pixels(size: DataFrame, mask: DataFrame | None = None) -> DataFrame:
 
 
 def expected_counts(valid: DataFrame, densities: DataFrame, scale: float = 1.0, seed: int = SEED) -> DataFrame:
-    """(image_id, n_stars): Poisson counts at a density drawn from the empirical ones."""
-    order = F.sort_array(F.collect_list(F.struct("source", "density")))
-    all_ = densities.agg(order.alias("d"))  # a row for each source image
-    area = valid.groupBy("image_id").agg(F.count("*").alias("area")).crossJoin(all_)
-    chosen = F.get("d", rng.choice(rng.key(seed, "density", "image_id"), F.size("d")).cast("int"))["density"]
-    return area.select("image_id", rng.poisson(rng.key(seed, "count", "image_id"), chosen * scale * F.col("area")).alias("n_stars"))
+    """(image_id, n_stars): Poisson counts at a density drawn from the empirical ones (none without densities)."""
+    listed = numbering.numbered(densities.select("source", "density"), ["source", "density"])
+    n = max(1, listed.count())
+    area = valid.groupBy("image_id").agg(F.count("*").alias("area")).withColumn("k", rng.choice(rng.key(seed, "density", "image_id"), F.lit(n)))
+    rated = area.join(listed.select("k", "density"), "k", "left").select("image_id", (F.coalesce("density", F.lit(0.0)) * scale * F.col("area")).alias("rate"))
+    return arrivals(rated, seed)
+
+
+def arrivals(rated: DataFrame, seed: int = SEED) -> DataFrame:
+    """(image_id, n_stars): how many exponential gaps, drawn by hash, fit into the rate, which is a Poisson count. Gaps
+    are made for ten deviations over the rate, beyond which less than one in 1e20 counts lies."""
+    most = F.ceil(F.col("rate") + F.sqrt("rate") * 10 + 20).cast("int")
+    gaps = rated.select("image_id", "rate", F.explode(F.sequence(F.lit(0), most)).alias("i"))
+    gap = -F.log((rng.key(seed, "arrival", "image_id", "i") + 1) / F.lit(float(1 << 32)))
+    at = numbering.running(gaps.withColumn("gap", gap), ["i"], ["image_id"], F.floor(F.col("i") / BLOCK), at=F.col("gap"))
+    return at.groupBy("image_id").agg(F.count_if(F.col("at") <= F.col("rate")).alias("n_stars"))
+
+
+def tries(valid: DataFrame, counts: DataFrame, stars: DataFrame, attempts: int = ATTEMPTS, jitter: float = JITTER, seed: int = SEED) -> DataFrame:
+    """PLACED and attempt: for each star of a field what it is and how it is turned, and the places it tries in turn, all
+    drawn by hash from the image's whole name."""
+    listed = numbering.numbered(stars.select("star_id", "h", "w"), ["star_id"], name="i")
+    n = max(1, listed.count())
+    k = lambda purpose, *more: rng.key(seed, purpose, "image_id", "seq", *more)
+    wanted = counts.where("n_stars > 0").select("image_id", F.explode(F.sequence(F.lit(0), (F.col("n_stars") - 1).cast("int"))).alias("seq"))
+    turn, radius = k("turn"), F.greatest("h", "w") / 2
+    drawn = wanted.withColumn("i", rng.choice(k("stamp"), F.lit(n))).join(listed, "i").select(
+        "image_id", "seq", "star_id", radius.alias("radius"), (rng.bits(turn, 0) == 1).alias("flip_h"), (rng.bits(turn, 1) == 1).alias("flip_v"), rng.bits(turn, 2, 2).alias("rot_k"),
+        (1 + (rng.uniform(k("light")) * 2 - 1) * jitter).alias("scale"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"),
+    )
+    area = valid.groupBy("image_id").agg(F.count("*").alias("area"))
+    at = drawn.join(area, "image_id").withColumn("k", rng.choice(k("place", "attempt"), F.col("area"))).drop("area")
+    places = numbering.numbered(valid.select(*AT), ["y", "x"], ["image_id"], F.col("y"))
+    return at.join(places, ["image_id", "k"]).select(*[F.col({"cy": "y", "cx": "x"}.get(c, c)).alias(c) for c in PLACED_COLUMNS], "attempt")
 
 
 def place(valid: DataFrame, counts: DataFrame, stars: DataFrame, min_sep: float = MIN_SEP, attempts: int = ATTEMPTS, jitter: float = JITTER, seed: int = SEED) -> DataFrame:
-    """PLACED rows: each star takes the first of its tries that keeps min_sep x (r1 + r2) from all placed before it."""
-    catalogue = stars.select("star_id", "h", "w").toPandas()  # a pool of at most POOL rows
-    radius = np.maximum(catalogue["h"], catalogue["w"]).to_numpy(float) / 2
-    cell = max(16, int(np.ceil(2 * max(1.0, min_sep) * radius.max())) + 1) if len(radius) else 16
-
-    def field(key, pixels: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out, grid, n = [], {}, int(wanted["n_stars"].iloc[0]) if len(wanted) else 0
-        if len(pixels) and len(catalogue):
-            at = pixels.sort_values(["y", "x"])[["y", "x"]].to_numpy()
-            own = np.random.Generator(np.random.Philox(int.from_bytes(f"{seed}|{key[0]}".encode()[:16], "little")))
-            for seq in range(n):
-                i, turn, light = int(own.integers(len(catalogue))), own.integers(0, [2, 2, 4]), own.uniform(-jitter, jitter)
-                for cy, cx in at[own.integers(len(at), size=attempts)]:
-                    near = [s for a in (-1, 0, 1) for b in (-1, 0, 1) for s in grid.get((cy // cell + a, cx // cell + b), ())]
-                    if all((cy - y) ** 2 + (cx - x) ** 2 >= (min_sep * (radius[i] + r)) ** 2 for y, x, r in near):
-                        grid.setdefault((cy // cell, cx // cell), []).append((cy, cx, radius[i]))
-                        out.append((key[0], seq, int(catalogue["star_id"].iloc[i]), int(cy), int(cx), radius[i], bool(turn[0]), bool(turn[1]), int(turn[2]), 1 + light))
-                        break
-        return pd.DataFrame(out, columns=[f.split()[0] for f in PLACED.split(", ")])
-
-    wanted = counts.select(F.col("image_id").alias("image"), "n_stars")  # counts may come from valid itself
-    return valid.groupBy("image_id").cogroup(wanted.groupBy("image")).applyInPandas(field, PLACED)
+    """PLACED rows: each star takes the first of its tries that keeps min_sep x (r1 + r2) from all placed before it.
+
+    The rule has one solution, and it is found in rounds: with a choice for every star, each star chooses anew, the first
+    of its tries that keeps its distance to the choices of the stars before it. After n rounds the first n stars of every
+    image are right, so the choices stop changing, in practice after as many rounds as stars hang on each other in a row.
+    A round is one join of tries with choices by grid cell."""
+    all_ = tries(valid, counts, stars, attempts, jitter, seed)
+    cell = F.greatest(F.lit(1.0), F.ceil(F.lit(2 * min_sep) * (stars.agg(F.max(F.greatest("h", "w") / 2)).first()[0] or 0)))
+    made = materialize(all_.withColumn("gy", F.floor(F.col("cy") / cell)).withColumn("gx", F.floor(F.col("cx") / cell)), "tries")
+    step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    a, b = made.alias("a"), F.col
+    d2 = F.pow(b("a.cy") - b("b.by"), 2) + F.pow(b("a.cx") - b("b.bx"), 2)
+    same = (b("a.image_id") == b("b.image_of")) & (b("a.gy") == b("b.ny")) & (b("a.gx") == b("b.nx"))
+    close = same & (b("b.before") < b("a.seq")) & (d2 < F.pow((b("a.radius") + b("b.rb")) * min_sep, 2))
+
+    def chosen(open_: DataFrame) -> DataFrame:
+        first = open_.groupBy("image_id", "seq").agg(F.min_by(F.struct("attempt", "cy", "cx", "radius", "gy", "gx"), "attempt").alias("t"))
+        return materialize(first.select("image_id", "seq", "t.*"), "choices")
+
+    choices = chosen(made)
+    while True:
+        near = choices.withColumn("dy", step).withColumn("dx", step)
+        around = near.select(F.col("image_id").alias("image_of"), F.col("seq").alias("before"), F.col("cy").alias("by"), F.col("cx").alias("bx"), F.col("radius").alias("rb"), (F.col("gy") + F.col("dy")).alias("ny"), (F.col("gx") + F.col("dx")).alias("nx"))
+        again = chosen(a.join(around.alias("b"), close, "left_anti"))
+        settled = again.count() == choices.count() and again.join(choices, ["image_id", "seq", "attempt"], "left_anti").isEmpty()
+        choices = again
+        if settled:
+            return made.join(choices.select("image_id", "seq", "attempt"), ["image_id", "seq", "attempt"]).select(*PLACED_COLUMNS)
 
 
 def conflicts(placements: DataFrame, min_sep: float = MIN_SEP) -> DataFrame:
