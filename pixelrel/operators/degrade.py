@@ -1,60 +1,58 @@
-"""The low-resolution model: Gaussian blur, cubic-spline zoom down and up, each a weighted sum over a weight relation."""
+"""The low-resolution model: Gaussian blur, then cubic-spline zoom down and up, all as windows along an axis."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel
 from ..model import dims
-from .stencil import gaussian
-
-SCALE, BLUR, LEAST_WEIGHT = 4, 1.5, 1e-12
-
+from .stencil import along, gaussian, pad_axis
 
-def spline_weights(n_in: int, n_out: int) -> np.ndarray:
-    """The n_out x n_in matrix of corner-aligned cubic-spline resampling with mirrored borders."""
-    if n_in == 1:
-        return np.ones((n_out, 1))
-    prefilter = np.diag(np.full(n_in, 4 / 6)) + np.diag(np.full(n_in - 1, 1 / 6), 1) + np.diag(np.full(n_in - 1, 1 / 6), -1)
-    prefilter[0, 1] = prefilter[-1, -2] = 2 / 6
-    at = np.arange(n_out) * ((n_in - 1) / (n_out - 1) if n_out > 1 else 0.0)
-    base = np.minimum(np.floor(at).astype(int), n_in - 1)
-    t, rows, taps = at - base, np.arange(n_out), np.zeros((n_out, n_in))
-    period = 2 * (n_in - 1)
-    for shift, weight in ((-1, (1 - t) ** 3 / 6), (0, (3 * t**3 - 6 * t**2 + 4) / 6), (1, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6), (2, t**3 / 6)):
-        i = (base + shift) % period
-        np.add.at(taps, (rows, np.where(i >= n_in, period - i, i)), weight)
-    return np.linalg.solve(prefilter.T, taps.T).T
+SCALE, BLUR = 4, 1.5
+#: The pole of the cubic spline's filter, and after how many pixels its powers are below a double's last digit.
+POLE, REACH = math.sqrt(3) - 2, 28
 
 
-def _weights(sizes: DataFrame) -> DataFrame:
-    """(n_in, n_out) to (n_in, n_out, j, i, w), a task for each distinct pair of sizes."""
+def coefficients(padded: DataFrame, axis: str) -> DataFrame:
+    """Spline coefficients in place of v, on an axis padded by whole-sample mirroring: a causal pass, then an anticausal
+    one, each a fold over the REACH pixels that a double can tell."""
+    w = along(axis)
+    fold = lambda c: F.aggregate(c, F.lit(0.0), lambda sum_, v: sum_ * POLE + v)
+    passed = padded.withColumn("v", F.collect_list("v").over(w.rowsBetween(-REACH, 0))).withColumn("v", fold(F.col("v")))
+    back = passed.withColumn("v", F.collect_list("v").over(w.rowsBetween(0, REACH))).withColumn("v", fold(F.reverse("v")))
+    return back.withColumn("v", F.col("v") * (-6 * POLE))
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_in, n_out = int(pdf["n_in"].iloc[0]), int(pdf["n_out"].iloc[0])
-        w = spline_weights(n_in, n_out)
-        j, i = np.nonzero(np.abs(w) >= LEAST_WEIGHT)
-        return pd.DataFrame({"n_in": n_in, "n_out": n_out, "j": j, "i": i, "w": w[j, i]})
 
-    return sizes.distinct().groupBy("n_in", "n_out").applyInPandas(rows, "n_in int, n_out int, j int, i int, w double")
+def _first(i: Column, n_in: Column, n_out: Column) -> Column:
+    """The first new pixel at or after old pixel i, when both grids have the same corners."""
+    return F.ceil(i * (n_out - 1) / (n_in - 1)).cast("int")
 
 
 def resize(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pixels at new sizes (image_id, height, width, new_height, new_width), values not clipped."""
+    """Pixels at new sizes (image_id, height, width, new_height, new_width), values not clipped: corner-aligned cubic
+    splines with mirrored borders. Each old pixel gives the new ones that follow it, from its own and three neighbouring
+    coefficients, so there is no join with weights."""
     out = pixels.select("image_id", "y", "x", "c", "v")
     for axis, size in (("y", "height"), ("x", "width")):
-        pair = sizes.select("image_id", F.col(size).alias("n_in"), F.col(f"new_{size}").alias("n_out"))
-        w = _weights(pair.select("n_in", "n_out"))
-        keys = ["image_id", "y", "x", "c"]
-        joined = out.join(pair, "image_id").withColumnRenamed(axis, "i").join(w, ["n_in", "n_out", "i"])
-        out = joined.withColumnRenamed("j", axis).groupBy(*keys).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        n_in, n_out, i = F.col(size), F.col(f"new_{size}"), F.col("i")
+        spread = coefficients(pad_axis(out.join(sizes, "image_id"), axis, REACH + 1, REACH + 2, whole=True), axis)
+        w = along(axis)
+        near = spread.withColumns({"before": F.lag("v", 1).over(w), "next": F.lead("v", 1).over(w), "later": F.lead("v", 2).over(w)}).where((i >= 0) & (i < n_in))
+        last = F.when(i == n_in - 1, n_out - 1).otherwise(_first(i + 1, n_in, n_out) - 1)
+        places = F.when((n_in == 1) | (n_out == 1), F.when(i == 0, F.sequence(F.lit(0), n_out - 1))).otherwise(F.when(last >= _first(i, n_in, n_out), F.sequence(_first(i, n_in, n_out), last)))
+        t = F.when((n_in == 1) | (n_out == 1), F.lit(0.0)).otherwise((F.col("j") * (n_in - 1) - i * (n_out - 1)) / (n_out - 1))
+        placed = near.withColumn("j", F.explode(places)).withColumn("t", t)
+        weights = {"before": "pow(1 - t, 3)", "v": "3 * pow(t, 3) - 6 * t * t + 4", "next": "-3 * pow(t, 3) + 3 * t * t + 3 * t + 1", "later": "pow(t, 3)"}
+        value = F.expr(" + ".join(f"{c} * ({weight})" for c, weight in weights.items())) / 6
+        kept = {"y": "x", "x": "y"}[axis]
+        out = placed.select("image_id", F.col("j").alias(axis), kept, "c", value.alias("v"))
     return out
 
 
-def _rounded(size: str, factor) -> F.Column:
+def _rounded(size: str, factor: float) -> Column:
     return F.greatest(F.lit(1), F.rint(F.col(size) * factor).cast("int"))
 
 

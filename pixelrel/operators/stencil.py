@@ -17,17 +17,20 @@ from pyspark.sql.window import Window
 from ..model import dims
 
 
-def pad_axis(pixels: DataFrame, axis: str, before: int, after: int) -> DataFrame:
-    """Adds i, the padded place on the axis, from -before to size + after - 1; needs height and width columns."""
+def pad_axis(pixels: DataFrame, axis: str, before: int, after: int, whole: bool = False) -> DataFrame:
+    """Adds i, the padded place on the axis, from -before to size + after - 1; needs height and width columns. Borders
+    reflect about the outer edge of the border pixel, or with whole about its centre."""
     n, at = F.col("height" if axis == "y" else "width"), F.col(axis)
-    reach = F.ceil(F.lit(max(before, after)) / (n * 2)).cast("int") + 1
-    images = F.flatten(F.transform(F.sequence(-reach, reach), lambda k: F.array(at + n * 2 * k, n * 2 * k - 1 - at)))
-    inner = (at >= before) & (at < n - after)
+    period, edge = (n * 2 - 2, 0) if whole else (n * 2, 1)
+    reach = F.ceil(F.lit(max(before, after)) / F.greatest(period, F.lit(1))).cast("int") + 1
+    images = F.flatten(F.transform(F.sequence(-reach, reach), lambda k: F.array(at + period * k, period * k - edge - at)))
+    images = F.when(period == 0, F.sequence(F.lit(-before), F.lit(after))).otherwise(F.array_distinct(images) if whole else images)
+    inner = (at >= before + 1 - edge) & (at < n - after - 1 + edge)
     places = F.when(inner, F.array(at)).otherwise(F.filter(images, lambda i: (i >= -before) & (i < n + after)))
     return pixels.withColumn("i", F.explode(places))
 
 
-def _along(axis: str) -> Window:
+def along(axis: str) -> Window:
     return Window.partitionBy("image_id", "x" if axis == "y" else "y", "c").orderBy("i")
 
 
@@ -37,7 +40,7 @@ def _inside(axis: str) -> Column:
 
 def along_axis(pixels: DataFrame, axis: str, before: int, after: int, **columns) -> DataFrame:
     """One pass along an axis: each column is made by a function of the ordered window."""
-    made = {name: make(_along(axis)) for name, make in columns.items()}
+    made = {name: make(along(axis)) for name, make in columns.items()}
     done = pad_axis(pixels, axis, before, after).withColumns(made).where(_inside(axis))
     return done.withColumn(axis, F.col("i")).drop("i")
 
