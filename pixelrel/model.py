@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .operators import numbering
+
+#: Ids of a block in which an image's rows are numbered.
+BLOCK = 4_096
 PIXELS = "image_id string, y int, x int, c int, v double"
 FRAMES = "image_id string, height int, width int, channels int, data array<float>"
 CROPS = "image_id string, crop_index int, y int, x int, flip_h boolean, flip_v boolean, rot_k int"
@@ -18,8 +21,8 @@ def stem(path: Column) -> Column:
 
 def pixels_from_vectors(vectors: DataFrame, values: int = 63, channels: int = 3) -> DataFrame:
     """(vec_id, embedding, label) as rasters: one image a label, one row of pixels a vector."""
-    y = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = vectors.select(F.col("label").cast("string").alias("image_id"), y.alias("y"), F.slice("embedding", 1, values).alias("row"))  # numbered before they are exploded
+    kept = vectors.select(F.col("label").cast("string").alias("image_id"), "vec_id", F.slice("embedding", 1, values).alias("row")).where("label is not null")
+    rows = numbering.numbered(kept, ["vec_id"], ["image_id"], F.expr(f"vec_id div {BLOCK}"), "y").withColumn("y", F.col("y").cast("int"))  # numbered before they are exploded
     flat = rows.select("image_id", "y", F.posexplode("row").alias("p", "v"))
     at = F.expr(f"cast(p div {channels} as int)")
     return flat.select("image_id", "y", at.alias("x"), (F.col("p") % channels).alias("c"), F.col("v").cast("double").alias("v"))

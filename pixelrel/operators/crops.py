@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import pixel, rng
 from ..model import dims
+from . import numbering
+from .defects import difference
 from .integral import candidates, good, patch_stats, patch_sums
 
 PATCH, CROPS, SEED, RETRIES, DEFECT_RATIO, MIN_DEFECTS = 256, 50, 42, 10, 0.8, 1
@@ -15,9 +16,8 @@ AT = ["image_id", "y", "x"]
 
 
 def numbered(origins: DataFrame) -> DataFrame:
-    """(image_id, y, x, k, n): candidates numbered row by row from 0, and how many the image has."""
-    image = Window.partitionBy("image_id")
-    return origins.select(*AT, (F.row_number().over(image.orderBy("y", "x")) - 1).alias("k"), F.count("*").over(image).alias("n"))
+    """(image_id, y, x, k): candidates numbered row by row from 0."""
+    return numbering.numbered(origins.select(*AT), ["y", "x"], ["image_id"], F.col("y"))
 
 
 def attempts(images: DataFrame, crops: int, retries: int) -> DataFrame:
@@ -29,10 +29,9 @@ def attempts(images: DataFrame, crops: int, retries: int) -> DataFrame:
 def first_good(tries: DataFrame, pool: DataFrame, stats: DataFrame, seed: int) -> DataFrame:
     """(image_id, crop_index, y, x): the first try whose hash-chosen origin passes the quality gate. Crops without one
     are absent and leave a gap in crop_index."""
-    ranked = numbered(pool)
-    sized = ranked.groupBy("image_id").agg(F.max("n").alias("n"))
+    sized = pool.groupBy("image_id").agg(F.count("*").alias("n"))
     chosen = tries.join(sized, "image_id").withColumn("k", rng.choice(rng.key(seed, "position", "image_id", "crop_index", "attempt"), F.col("n")))
-    placed = chosen.join(ranked.drop("n"), ["image_id", "k"]).join(stats, AT).where(good())
+    placed = chosen.join(numbered(pool), ["image_id", "k"]).join(stats, AT).where(good())
     best = placed.groupBy("image_id", "crop_index").agg(F.min_by(F.struct("y", "x"), "attempt").alias("at"))
     return best.select("image_id", "crop_index", "at.y", "at.x")
 
@@ -73,18 +72,21 @@ def extract(pixels: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
 
 def within(crops: DataFrame, pixels: DataFrame, p: int = PATCH) -> DataFrame:
     """The crops that lie whole inside their frame."""
-    return crops.join(rejected(crops, dims(pixels), p), ["image_id", "crop_index"], "left_anti")
+    held = crops.join(dims(pixels), "image_id")
+    inside = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") + p <= F.col("height")) & (F.col("x") + p <= F.col("width"))
+    return held.where(inside).drop("height", "width")
 
 
-def _cut(pixels: DataFrame, crops: DataFrame, p: int) -> DataFrame:
+def _cut(pixels: DataFrame, crops: DataFrame, p: int, *more: str) -> DataFrame:
+    """more: further columns of pixels that the patches keep, such as the combination they belong to."""
     k = lambda a: F.floor(F.col(a) / p).cast("int")
     spread = lambda a: F.explode(F.array_distinct(F.array(k(a), F.floor((F.col(a) + p - 1) / p).cast("int"))))
     placed = crops.withColumnsRenamed({"y": "y0", "x": "x0"}).withColumn("cell_y", spread("y0")).withColumn("cell_x", spread("x0"))
-    cells = pixels.select("image_id", "y", "x", "c", "v", k("y").alias("cell_y"), k("x").alias("cell_x"))
+    cells = pixels.select("image_id", "y", "x", "c", "v", *more, k("y").alias("cell_y"), k("x").alias("cell_x"))
     inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + p) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + p)
     cut = cells.join(placed, ["image_id", "cell_y", "cell_x"]).where(inside)
     y, x = pixel.turned(F.col("y") - F.col("y0"), F.col("x") - F.col("x0"), F.lit(p), F.lit(p), F.col("flip_h"), F.col("flip_v"), F.col("rot_k"))
-    return cut.select("image_id", "crop_index", y.alias("y"), x.alias("x"), "c", "v")
+    return cut.select("image_id", "crop_index", y.alias("y"), x.alias("x"), "c", "v", *more)
 
 
 def rejected(crops: DataFrame, size: DataFrame, p: int = PATCH) -> DataFrame:
@@ -119,17 +121,35 @@ def shape_rejects(source: DataFrame, p: int = PATCH, **others: DataFrame) -> Dat
     return size.select("image_id", reason.alias("reason")).where("reason is not null")
 
 
+def _sides(source: DataFrame, target: DataFrame, crops: DataFrame, p: int) -> DataFrame:
+    return _cut(source, crops, p).withColumn("side", F.lit("input")).unionByName(_cut(target, crops, p).withColumn("side", F.lit("target")))
+
+
 def pairs(source: DataFrame, target: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
     """(image_id, crop_index, side, y, x, c, v): the same crops, turned alike, from input and target. Images whose shapes
     differ and crops that leave the frame are left out on both sides."""
     kept = within(crops, source, p).join(same_shape(dims(source), dims(target)), "image_id", "left_semi")
-    return _cut(source, kept, p).withColumn("side", F.lit("input")).unionByName(_cut(target, kept, p).withColumn("side", F.lit("target")))
+    return _sides(source, target, kept, p)
+
+
+def combined_pairs(inputs: DataFrame, target: DataFrame, crops: DataFrame, p: int = PATCH) -> DataFrame:
+    """(combo, image_id, crop_index, side, y, x, c, v) of inputs (combo, image_id, y, x, c, v): one pass over all inputs
+    and one over the target, whose patches each combination of the same shape shares."""
+    shape = ["image_id", "height", "width"]
+    size = inputs.groupBy("combo", "image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    same = size.join(dims(target), shape).select("combo", "image_id")
+    kept = within(crops, target, p)
+    given = _cut(inputs.join(same, ["combo", "image_id"], "left_semi"), kept, p, "combo").withColumn("side", F.lit("input"))
+    return given.unionByName(_cut(target, kept, p).join(same, "image_id").withColumn("side", F.lit("target")))
 
 
-def built_pairs(source: DataFrame, target: DataFrame, mask: DataFrame, p: int = PATCH, crops: int = CROPS, seed: int = SEED, retries: int = RETRIES) -> DataFrame:
-    """A builder of one degradation (stars to starless, degraded to full resolution): images of source, target and mask of
-    one shape, crops whose input passes the quality gate (a manifest for all degradations looks at the clean side instead),
-    both sides cut and turned alike."""
+def built_pairs(source: DataFrame, target: DataFrame, mask: DataFrame, p: int = PATCH, crops: int = CROPS, seed: int = SEED, retries: int = RETRIES, defect_ratio: float | None = None, least: int = MIN_DEFECTS) -> DataFrame:
+    """A builder of one degradation: images of source, target and mask of one shape, crops whose input passes the quality
+    gate (a manifest for all degradations looks at the clean side instead), both sides cut and turned alike. With a
+    defect_ratio (defective to corrected frames) that share of the crops is drawn where the sides differ."""
     skipped = shape_rejects(source, p, target=target, mask=mask)
     usable = source.join(skipped, "image_id", "left_anti")
-    return pairs(source, target, crop_manifest(usable, mask, p, crops, seed, retries), p)
+    if defect_ratio is None:
+        return _sides(source, target, crop_manifest(usable, mask, p, crops, seed, retries), p)
+    drawn = defect_biased_crops(usable, difference(usable, target), mask, p, crops, seed, retries, defect_ratio, least)
+    return _sides(source, target, drawn.drop("from_rich"), p)

@@ -86,6 +86,11 @@ def valid(spark: SparkSession, d: str) -> DataFrame:
     return mask.validity_mask(raw(spark, d), THRESHOLD)
 
 
+def written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stretched frames and their masks as tables, for queries that read them more than once."""
+    return materialize(stretched(spark, d), "frames"), materialize(valid(spark, d), "masks")
+
+
 block("vectors", "SELECT CAST(label AS VARCHAR) AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS y, embedding FROM embeddings")
 block("places", "SELECT CAST(unnest(range(63)) AS INTEGER) AS p")
 block("pixels", "SELECT image_id, y, p // 3 AS x, p % 3 AS c, CAST(embedding[p + 1] AS DOUBLE) AS v FROM vectors, places")
@@ -196,6 +201,12 @@ def found(spark, d, grow: int = 0) -> DataFrame:
     return defects.detect(stretched(spark, d), valid(spark, d), SIGMA, grow)
 
 
+def repaired(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, masks and corrected frames, each written once."""
+    frame, where = written(spark, d)
+    return frame, where, materialize(defects.correct(defects.detect(frame, where, SIGMA)), "corrected")
+
+
 @query("local_median", f"SELECT image_id, y, x, c, {s6('med')} FROM medians")
 def _(spark, d):
     return stencil.local_median(stretched(spark, d)).select("image_id", "y", "x", "c", *r6("med"))
@@ -203,7 +214,7 @@ def _(spark, d):
 
 @query("robust_sigma", f"SELECT image_id, c, {s6('sigma')} FROM sigmas")
 def _(spark, d):
-    return defects.robust_sigma(defects.residuals(stretched(spark, d), valid(spark, d))).select("image_id", "c", *r6("sigma"))
+    return defects.robust_sigma(materialize(defects.residuals(stretched(spark, d), valid(spark, d)), "residuals")).select("image_id", "c", *r6("sigma"))
 
 
 @query("defect_flags", "SELECT image_id, y, x, c FROM flagged WHERE bad")
@@ -227,8 +238,7 @@ def _(spark, d):
 
 
 def _transplant(spark, d, how: str) -> DataFrame:
-    source = stretched(spark, d)
-    fixed = defects.correct(found(spark, d))
+    source, _, fixed = repaired(spark, d)
     return defects.transplant(fixed.withColumn("v", F.col("v") * 0.5), source, fixed, how).select("image_id", "y", "x", "c", *r6("v"))
 
 
@@ -277,14 +287,46 @@ def _(spark, d):
     return stencil.gaussian(stretched(spark, d), 1.5).select("image_id", "y", "x", "c", *r6("v"))
 
 
-@query("spline_down")
+def _mirror(i: str, n: str) -> str:
+    m = f"((({i}) % greatest(1, 2*{n} - 2)) + greatest(1, 2*{n} - 2)) % greatest(1, 2*{n} - 2)"
+    return f"CASE WHEN {n} = 1 THEN 0 WHEN {m} < {n} THEN {m} ELSE 2*{n} - 2 - {m} END"
+
+
+block("kernel", "SELECT d, -6 * z / (1 - z * z) * z ** abs(d) AS h FROM (SELECT CAST(unnest(range(-30, 31)) AS INTEGER) AS d, sqrt(3.0) - 2 AS z)")
+block("spots", "SELECT CAST(unnest(range(-1, 3)) AS INTEGER) AS s")
+
+
+def _zoom_blocks(name: str, source: str, sizes: str) -> None:
+    """Blocks name_cy, name_y, name_cx and name: source at new sizes (n_y, n_x to m_y, m_x), clipped."""
+    for axis, other, src, out in (("y", "x", source, f"{name}_y"), ("x", "y", f"{name}_y", f"{name}_x")):
+        n, m = f"z.n_{axis}", f"z.m_{axis}"
+        block(f"{name}_c{axis}", f"SELECT p.image_id, p.y, p.x, p.c, sum(q.v * h) AS v FROM {src} p JOIN {sizes} z USING (image_id) CROSS JOIN kernel JOIN {src} q ON q.image_id = p.image_id AND q.c = p.c AND q.{other} = p.{other} AND q.{axis} = {_mirror(f'p.{axis} + d', n)} GROUP BY ALL")
+        single = f"{n} = 1 OR {m} = 1"
+        block(f"{name}_j{axis}", f"SELECT *, CASE WHEN one THEN 0.0 ELSE (j * (n - 1) - b * (m - 1)) / (m - 1) END AS t FROM (SELECT *, CASE WHEN one THEN 0 ELSE j * (n - 1) // (m - 1) END AS b FROM (SELECT z.image_id, {n} AS n, {m} AS m, {single} AS one, CAST(unnest(range({m})) AS INTEGER) AS j FROM {sizes} z))")
+        weight = "CASE s WHEN -1 THEN (1 - t) ** 3 WHEN 0 THEN 3 * t ** 3 - 6 * t ** 2 + 4 WHEN 1 THEN -3 * t ** 3 + 3 * t ** 2 + 3 * t + 1 ELSE t ** 3 END / 6"
+        block(out, f"SELECT g.image_id, g.j AS {axis}, q.{other}, q.c, sum(q.v * {weight}) AS v FROM {name}_j{axis} g CROSS JOIN spots JOIN {name}_c{axis} q ON q.image_id = g.image_id AND q.{axis} = {_mirror('g.b + s', 'g.n')} GROUP BY g.image_id, g.j, q.{other}, q.c")
+    block(name, f"SELECT image_id, y, x, c, greatest(0, least(1, v)) AS v FROM {name}_x")
+
+
+def _degrade_blocks(name: str, blurred: str) -> None:
+    _zoom_blocks(f"{name}down", blurred, "shrunk")
+    _zoom_blocks(name, f"{name}down", "grown")
+
+
+block("shrunk", "SELECT image_id, height AS n_y, width AS n_x, CAST(greatest(1, round_even(height / 4, 0)) AS INTEGER) AS m_y, CAST(greatest(1, round_even(width / 4, 0)) AS INTEGER) AS m_x FROM dims")
+block("grown", "SELECT image_id, m_y AS n_y, m_x AS n_x, n_y AS m_y, n_x AS m_x FROM shrunk")
+_zoom_blocks("smaller", "stretched", "shrunk")
+_degrade_blocks("lowered", "blurred")
+
+
+@query("spline_down", f"SELECT image_id, y, x, c, {s6('v')} FROM smaller")
 def _(spark, d):
-    return degrade.zoom_down(stretched(spark, d)).select("image_id", "y", "x", "c", *r6("v"))
+    return degrade.zoom_down(materialize(stretched(spark, d), "frames")).select("image_id", "y", "x", "c", *r6("v"))
 
 
-@query("spline_roundtrip")
+@query("spline_roundtrip", f"SELECT image_id, y, x, c, {s6('v')} FROM lowered")
 def _(spark, d):
-    return degrade.degrade(stretched(spark, d)).select("image_id", "y", "x", "c", *r6("v"))
+    return degrade.degrade(materialize(stretched(spark, d), "frames")).select("image_id", "y", "x", "c", *r6("v"))
 
 
 @query("match_shape", f"SELECT g.image_id, g.y, g.x, g.c, round(coalesce(s.v, 0), 6) AS v FROM (SELECT image_id, y, x, c FROM (SELECT image_id, CAST(unnest(range(height + 2)) AS INTEGER) AS y FROM dims) JOIN (SELECT image_id, CAST(unnest(range(width - 3)) AS INTEGER) AS x FROM dims) USING (image_id) CROSS JOIN (SELECT CAST(unnest(range(3)) AS INTEGER) AS c)) g LEFT JOIN stretched s USING (image_id, y, x, c)")
@@ -310,23 +352,25 @@ block("cut", _CUT.format(m=P - 1, fx=_FX, fy=_FY, src="stretched", p=P))
 block("cutfixed", _CUT.format(m=P - 1, fx=_FX, fy=_FY, src="corrected", p=P))
 
 
-def manifest(spark, d) -> DataFrame:
-    return crops.crop_manifest(stretched(spark, d), valid(spark, d), P, N_CROPS, SEED, TRIES)
+def manifest(frame: DataFrame, where: DataFrame) -> DataFrame:
+    return crops.crop_manifest(frame, where, P, N_CROPS, SEED, TRIES)
 
 
 @query("crop_manifest", "SELECT image_id, crop_index, y, x, flip_h, flip_v, rot_k FROM crops")
 def _(spark, d):
-    return manifest(spark, d)
+    return manifest(*written(spark, d))
 
 
 @query("crop_extract", f"SELECT image_id, crop_index, y, x, c, {s6('v')} FROM cut")
 def _(spark, d):
-    return crops.extract(stretched(spark, d), manifest(spark, d), P).select("image_id", "crop_index", "y", "x", "c", *r6("v"))
+    frame, where = written(spark, d)
+    return crops.extract(frame, manifest(frame, where), P).select("image_id", "crop_index", "y", "x", "c", *r6("v"))
 
 
 @query("augment_remap", "SELECT image_id, crop_index, CAST(sum(x + 10 * y) AS BIGINT) AS total, CAST(count(DISTINCT (y, x)) AS BIGINT) AS cells FROM cut GROUP BY ALL")
 def _(spark, d):
-    cut = crops.extract(stretched(spark, d), manifest(spark, d), P)
+    frame, where = written(spark, d)
+    cut = crops.extract(frame, manifest(frame, where), P)
     return cut.groupBy("image_id", "crop_index").agg(F.sum((F.col("x") + F.col("y") * 10).cast("long")).alias("total"), F.count_distinct("y", "x").alias("cells"))
 
 
@@ -335,7 +379,7 @@ block("moved", "SELECT image_id, crop_index, y + 3 * (crop_index % 4) AS y, x FR
 
 @query("crop_rejects", f"SELECT image_id, crop_index, 'out of bounds' AS reason FROM moved JOIN (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY image_id) USING (image_id) WHERE y + {P} > h OR x + {P} > w")
 def _(spark, d):
-    moved = manifest(spark, d).withColumn("y", F.col("y") + 3 * (F.col("crop_index") % 4))
+    moved = manifest(*written(spark, d)).withColumn("y", F.col("y") + 3 * (F.col("crop_index") % 4))
     return crops.rejected(moved, model.dims(raw(spark, d)), P)
 
 
@@ -353,20 +397,14 @@ def _(spark, d):
     return merging.without_prefix(table(spark, d, "pages").select("page_id", "url"), "url", "http")
 
 
-@query("pairs_ir", f"SELECT image_id, crop_index, y, x, c, {s6('v')}, 'input' AS side FROM cut UNION ALL SELECT image_id, crop_index, y, x, c, {s6('v')}, 'target' FROM cutfixed")
-def _(spark, d):
-    return crops.pairs(stretched(spark, d), defects.correct(found(spark, d)), manifest(spark, d), P).select("image_id", "crop_index", "y", "x", "c", *r6("v"), "side")
-
-
-_SIDES = "SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0 AS v, 'input' AS side FROM {a} WHERE image_id <> '3' UNION ALL SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0, 'target' FROM {b} WHERE image_id <> '3'"
+_SIDES = "SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0 AS v, 'input' AS side FROM {a} UNION ALL SELECT image_id, crop_index, y, x, c, round(v, 6) + 0.0, 'target' FROM {b}"
 PAIR = ["image_id", "crop_index", "y", "x", "c"]
 
 
 @query("pairs_sr", _SIDES.format(a="cut", b="cutfixed"))
 def _(spark, d):
-    """Image 3 has no target, so it is skipped."""
-    target = defects.correct(found(spark, d)).where("image_id <> '3'")
-    return crops.built_pairs(stretched(spark, d), target, valid(spark, d), P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
+    frame, where, fixed = repaired(spark, d)
+    return crops.built_pairs(frame, fixed, where, P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
 
 
 block("sustat", f"SELECT p.image_id, p.y, p.x, avg(q.v) AS mean, var_pop(q.v) AS var FROM mask p JOIN dims d USING (image_id) JOIN blurred q ON q.image_id = p.image_id AND {_SQUARE} WHERE p.y <= height - {P} AND p.x <= width - {P} GROUP BY ALL")
@@ -378,15 +416,15 @@ block("sufull", _CUT.replace("FROM crops k", "FROM sucrops k").format(m=P - 1, f
 
 @query("pairs_su", _SIDES.format(a="sulow", b="sufull"))
 def _(spark, d):
-    """The gate looks at the blurred side; image 3 has no mask, so it is skipped."""
-    low = stencil.gaussian(stretched(spark, d), 1.5)
-    mask = valid(spark, d).where("image_id <> '3'")
-    return crops.built_pairs(low, stretched(spark, d), mask, P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
+    """The gate looks at the blurred side."""
+    frame, where = written(spark, d)
+    return crops.built_pairs(materialize(stencil.gaussian(frame, 1.5), "low"), frame, where, P, N_CROPS, SEED, TRIES).select(*PAIR, *r6("v"), "side")
 
 
 @query("patch_names", "SELECT image_id, crop_index, image_id || '_' || lpad(CAST(crop_index AS VARCHAR), 4, '0') AS name, CAST(count(*) AS INTEGER) AS n, round(sum(v), 3) AS total FROM cut GROUP BY ALL")
 def _(spark, d):
-    made = crops.patches(stretched(spark, d), manifest(spark, d), P)
+    frame, where = written(spark, d)
+    made = crops.patches(frame, manifest(frame, where), P)
     return made.select("image_id", "crop_index", "name", F.size("data").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
 
 
@@ -398,9 +436,21 @@ block("drawn", f"SELECT t.image_id, crop_index, attempt, from_rich, CASE WHEN fr
 
 @query("defect_biased_crops", "SELECT image_id, crop_index, from_rich, arg_min(d.y, attempt) AS y, arg_min(d.x, attempt) AS x FROM drawn d JOIN patchstat s USING (image_id, y, x) WHERE mean >= 0.05 AND var >= 1e-5 GROUP BY ALL")
 def _(spark, d):
-    frame = stretched(spark, d)
-    defect = defects.difference(frame, defects.correct(found(spark, d)))
-    return crops.defect_biased_crops(frame, defect, valid(spark, d), P, N_CROPS, SEED, TRIES).select("image_id", "crop_index", "from_rich", "y", "x")
+    frame, where, fixed = repaired(spark, d)
+    return crops.defect_biased_crops(frame, defects.difference(frame, fixed), where, P, N_CROPS, SEED, TRIES).select("image_id", "crop_index", "from_rich", "y", "x")
+
+
+block("iraccepted", "SELECT image_id, crop_index, arg_min(d.y, attempt) AS y, arg_min(d.x, attempt) AS x FROM drawn d JOIN patchstat s USING (image_id, y, x) WHERE mean >= 0.05 AND var >= 1e-5 GROUP BY ALL")
+block("ircrops", f"SELECT *, {_AUG} & 1 = 1 AS flip_h, ({_AUG} >> 1) & 1 = 1 AS flip_v, CAST(({_AUG} >> 2) & 3 AS INTEGER) AS rot_k FROM iraccepted")
+block("irbad", _CUT.replace("FROM crops k", "FROM ircrops k").format(m=P - 1, fx=_FX, fy=_FY, src="stretched", p=P))
+block("irfixed", _CUT.replace("FROM crops k", "FROM ircrops k").format(m=P - 1, fx=_FX, fy=_FY, src="corrected", p=P))
+
+
+@query("pairs_ir", _SIDES.format(a="irbad", b="irfixed"))
+def _(spark, d):
+    """Four fifths of the crops are drawn where defects are."""
+    frame, where, fixed = repaired(spark, d)
+    return crops.built_pairs(frame, fixed, where, P, N_CROPS, SEED, TRIES, crops.DEFECT_RATIO).select(*PAIR, *r6("v"), "side")
 
 
 # stars --------------------------------------------------------------------------------------------------------------
@@ -417,38 +467,38 @@ block("areas", "SELECT image_id AS source, count(*) FILTER (valid) AS area FROM
 block("dens", "SELECT a.source, count(s.star_id) / a.area AS density FROM areas a LEFT JOIN starlist s USING (source) WHERE a.area > 0 GROUP BY a.source, a.area")
 
 
-def soft(spark, d) -> DataFrame:
-    return stretched(spark, d).where("c = 0").select("image_id", "y", "x", F.col("v").alias("alpha"))
+def soft(frame: DataFrame) -> DataFrame:
+    return frame.where("c = 0").select("image_id", "y", "x", F.col("v").alias("alpha"))
 
 
-def library(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The star catalogue and its stamps (star_id, dy, dx, c, rgb, alpha)."""
-    frame = stretched(spark, d)
-    labelled = stars.components(soft(spark, d), STAR)
-    boxes = stars.boxes(labelled, model.dims(frame), valid(spark, d), AREA, PAD)
-    cut = stars.stamps(frame, labelled, boxes)
-    listed = stars.catalogue(cut, boxes)
+def library(frame: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The star catalogue and its stamps (star_id, dy, dx, c, rgb, alpha), each written once."""
+    labelled = materialize(stars.components(soft(frame), STAR), "labelled")
+    boxes = materialize(stars.boxes(labelled, model.dims(frame), where, AREA, PAD), "boxes")
+    cut = materialize(stars.stamps(frame, labelled, boxes), "stamps")
+    listed = materialize(stars.catalogue(cut, boxes), "stars")
     named = cut.join(listed.select("star_id", F.col("source").alias("image_id"), "label"), ["image_id", "label"])
     return listed, named.select("star_id", "dy", "dx", "c", "rgb", "alpha")
 
 
 @query("components", f"SELECT image_id, y, x, {s6('alpha')}, label FROM labelled")
 def _(spark, d):
-    return stars.components(soft(spark, d), STAR).select("image_id", "y", "x", *r6("alpha"), "label")
+    return stars.components(soft(stretched(spark, d)), STAR).select("image_id", "y", "x", *r6("alpha"), "label")
 
 
 @query("star_catalogue", f"SELECT star_id, h, w, {s6('peak', 'flux')}, source, label FROM starlist")
 def _(spark, d):
-    return library(spark, d)[0].select("star_id", "h", "w", *r6("peak", "flux"), "source", "label")
+    return library(*written(spark, d))[0].select("star_id", "h", "w", *r6("peak", "flux"), "source", "label")
 
 
 @query("star_stamps", f"SELECT star_id, dy, dx, c, {s6('rgb', 'alpha')} FROM stampcells t JOIN starlist s ON s.source = t.image_id AND s.label = t.label")
 def _(spark, d):
-    return library(spark, d)[1].select("star_id", "dy", "dx", "c", *r6("rgb", "alpha"))
+    return library(*written(spark, d))[1].select("star_id", "dy", "dx", "c", *r6("rgb", "alpha"))
 
 
 def _densities(spark, d) -> DataFrame:
-    return stars.densities(library(spark, d)[0], mask.valid_fraction(valid(spark, d)).select("image_id", "valid_area"))
+    frame, where = written(spark, d)
+    return stars.densities(library(frame, where)[0], mask.valid_fraction(where).select("image_id", "valid_area"))
 
 
 @query("field_density", f"SELECT source, {s6('density')} FROM dens")
@@ -461,10 +511,9 @@ def _(spark, d):
     return _densities(spark, d).agg(F.round(F.avg("density"), 6).alias("mean"), F.round(F.min("density"), 6).alias("lo"), F.round(F.max("density"), 6).alias("hi"))
 
 
-def _hashed(spark, d, listed: DataFrame) -> DataFrame:
+def _hashed(size: DataFrame, listed: DataFrame) -> DataFrame:
     """Ten placements an image, all drawn by hash, without separation."""
-    size, n = model.dims(raw(spark, d)), listed.agg(F.count("*").alias("n"))
-    rows = size.crossJoin(n).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq"))
+    rows = size.withColumn("n", F.lit(listed.count())).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq"))
     k = lambda purpose: rng.key(SEED, purpose, "image_id", "seq")
     turn = k("turn")
     drawn = rows.select(
@@ -479,45 +528,96 @@ block("nstars", "SELECT count(*) AS n FROM starlist")
 block("hashed", f"SELECT image_id, seq, {_key('star', 'image_id', 'seq')} % n AS star_id, {_key('cy', 'image_id', 'seq')} % height AS cy, {_key('cx', 'image_id', 'seq')} % width AS cx, {_T} & 1 = 1 AS flip_h, ({_T} >> 1) & 1 = 1 AS flip_v, ({_T} >> 2) & 3 AS rot_k, 1 + ({_key('light', 'image_id', 'seq')} / 4294967296.0 * 2 - 1) * 0.15 AS scale FROM dims CROSS JOIN nstars CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS seq)")
 block("placed", "SELECT p.*, s.h, s.w, greatest(s.h, s.w) / 2 AS radius FROM hashed p JOIN starlist s USING (star_id)")
 block("turnedcells", "SELECT p.image_id, p.cy, p.cx, p.h, p.w, p.rot_k, p.scale, t.c, t.rgb, t.alpha, CASE WHEN flip_v THEN p.h - 1 - dy ELSE dy END AS fy, CASE WHEN flip_h THEN p.w - 1 - dx ELSE dx END AS fx FROM placed p JOIN starlist s USING (star_id) JOIN stampcells t ON t.image_id = s.source AND t.label = s.label")
-block("light", "SELECT image_id, c, cy - (CASE WHEN rot_k % 2 = 1 THEN w ELSE h END) // 2 + (CASE rot_k WHEN 1 THEN w - 1 - fx WHEN 2 THEN h - 1 - fy WHEN 3 THEN fx ELSE fy END) AS y, cx - (CASE WHEN rot_k % 2 = 1 THEN h ELSE w END) // 2 + (CASE rot_k WHEN 1 THEN fy WHEN 2 THEN w - 1 - fx WHEN 3 THEN h - 1 - fy ELSE fx END) AS x, rgb * alpha * scale AS a FROM turnedcells")
+_LIGHT = "SELECT image_id, c, cy - (CASE WHEN rot_k % 2 = 1 THEN w ELSE h END) // 2 + (CASE rot_k WHEN 1 THEN w - 1 - fx WHEN 2 THEN h - 1 - fy WHEN 3 THEN fx ELSE fy END) AS y, cx - (CASE WHEN rot_k % 2 = 1 THEN h ELSE w END) // 2 + (CASE rot_k WHEN 1 THEN fy WHEN 2 THEN w - 1 - fx WHEN 3 THEN h - 1 - fy ELSE fx END) AS x, rgb * alpha * scale AS a FROM {cells}"
+block("light", _LIGHT.format(cells="turnedcells"))
 block("added", "SELECT image_id, y, x, c, sum(a) AS a FROM light GROUP BY ALL")
 
 
 @query("paste_field", "SELECT b.image_id, b.y, b.x, b.c, round(least(1, b.v + coalesce(a.a, 0)), 6) AS v FROM stretched b LEFT JOIN added a USING (image_id, y, x, c)")
 def _(spark, d):
-    listed, cut = library(spark, d)
-    base = stretched(spark, d)
-    return inject.paste(base, _hashed(spark, d, listed), cut, model.dims(base)).select("image_id", "y", "x", "c", *r6("v"))
+    base, where = written(spark, d)
+    listed, cut = library(base, where)
+    return inject.paste(base, _hashed(model.dims(base), listed), cut, model.dims(base)).select("image_id", "y", "x", "c", *r6("v"))
 
 
 @query("proximity_conflicts", "SELECT a.image_id, a.seq AS seq_a, b.seq AS seq_b FROM placed a JOIN placed b ON a.image_id = b.image_id AND a.seq < b.seq WHERE (a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2 < (0.55 * (a.radius + b.radius)) ** 2")
 def _(spark, d):
-    return inject.conflicts(_hashed(spark, d, library(spark, d)[0]))
+    frame, where = written(spark, d)
+    return inject.conflicts(_hashed(model.dims(frame), library(frame, where)[0]))
+
+
+def field(frame: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Placements of a synthetic star field on each image, and the stamps."""
+    listed, cut = library(frame, where)
+    open_ = inject.valid_pixels(model.dims(frame), where)
+    density = stars.densities(listed, mask.valid_fraction(where).select("image_id", "valid_area"))
+    counts = materialize(inject.expected_counts(open_, density, seed=SEED), "counts")
+    return inject.place(open_, counts, inject.pool(listed, seed=SEED), seed=SEED), cut
+
+
+block("openpix", "SELECT image_id, y, x FROM mask m WHERE valid OR NOT EXISTS (SELECT 1 FROM mask o WHERE o.image_id = m.image_id AND o.valid)")
+block("openranked", "SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM openpix")
+block("denslist", "SELECT density, row_number() OVER (ORDER BY source, density) - 1 AS k, count(*) OVER () AS n FROM dens")
+block("rates", f"SELECT image_id, density * o.n AS rate FROM (SELECT DISTINCT image_id, n FROM openranked) o JOIN denslist d ON d.k = {_key('density', 'image_id')} % d.n")
+block("gaps", f"SELECT image_id, rate, i, -ln(({_key('arrival', 'image_id', 'i')} + 1) / 4294967296.0) AS gap FROM (SELECT image_id, rate, unnest(range(CAST(ceil(rate + sqrt(rate) * 10 + 20) AS INTEGER) + 1)) AS i FROM rates)")
+block("starcounts", "SELECT image_id, count(*) FILTER (upto <= rate) AS n_stars FROM (SELECT image_id, rate, sum(gap) OVER (PARTITION BY image_id ORDER BY i) AS upto FROM gaps) GROUP BY image_id")
+block("poollist", f"SELECT star_id, h, w, row_number() OVER (ORDER BY star_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT * FROM starlist ORDER BY {_key('pool', 'star_id')}, star_id LIMIT 5000)")
+block("seqs", "SELECT image_id, CAST(unnest(range(n_stars)) AS INTEGER) AS seq FROM starcounts")
+block("trying", f"SELECT image_id, seq, attempt, star_id, greatest(h, w) / 2 AS radius, {_key('place', 'image_id', 'seq', 'attempt')} AS pick FROM (SELECT s.*, p.* FROM seqs s JOIN poollist p ON p.i = {_key('stamp', 's.image_id', 's.seq')} % p.n) CROSS JOIN (SELECT CAST(unnest(range(30)) AS INTEGER) AS attempt)")
+block("tried", "SELECT t.image_id, seq, list(struct_pack(y := o.y, x := o.x, r := radius, star_id := star_id) ORDER BY attempt) AS tries FROM trying t JOIN openranked o ON o.image_id = t.image_id AND o.k = t.pick % o.n GROUP BY t.image_id, seq")
+_NEAR = "(c.y - p.y) ** 2 + (c.x - p.x) ** 2 < (0.55 * (c.r + p.r)) ** 2"
+block(
+    "walk",
+    "SELECT DISTINCT image_id, -1 AS seq, list_slice(tries, 1, 0) AS held, tries[0] AS got FROM tried WHERE seq = 0 UNION ALL SELECT image_id, seq, CASE WHEN len(free) > 0 THEN list_append(held, free[1]) ELSE held END, free[1] FROM "
+    f"(SELECT w.image_id, t.seq, w.held, list_filter(t.tries, lambda c: len(list_filter(w.held, lambda p: {_NEAR})) = 0) AS free FROM walk w JOIN tried t ON t.image_id = w.image_id AND t.seq = w.seq + 1)",
+)
+_G = _key("turn", "image_id", "seq")
+block("greedy", f"SELECT image_id, seq, got.star_id AS star_id, got.y AS cy, got.x AS cx, got.r AS radius, {_G} & 1 = 1 AS flip_h, ({_G} >> 1) & 1 = 1 AS flip_v, CAST(({_G} >> 2) & 3 AS INTEGER) AS rot_k, 1 + ({_key('light', 'image_id', 'seq')} / 4294967296.0 * 2 - 1) * 0.15 AS scale FROM walk WHERE got IS NOT NULL")
 
 
-def field(spark, d) -> tuple[DataFrame, DataFrame]:
-    listed, cut = library(spark, d)
-    listed, valid_pixels = materialize(listed, "stars"), materialize(valid(spark, d), "valid")
-    where = inject.valid_pixels(model.dims(raw(spark, d)), valid_pixels)
-    density = stars.densities(listed, mask.valid_fraction(valid_pixels).select("image_id", "valid_area"))
-    counts = inject.expected_counts(where, density, seed=SEED)
-    return inject.place(where, counts, inject.pool(listed, seed=SEED), seed=SEED), cut
+@query("place_greedy", f"SELECT image_id, seq, star_id, cy, cx, radius, flip_h, flip_v, rot_k, {s6('scale')} FROM greedy")
+def _(spark, d):
+    placed = field(*written(spark, d))[0]
+    return placed.select(*[c for c in placed.columns if c != "scale"], *r6("scale"))
 
 
-@query("place_greedy")
+@query("star_counts", "SELECT image_id, n_stars FROM starcounts")
 def _(spark, d):
-    return field(spark, d)[0]
+    frame, where = written(spark, d)
+    density = stars.densities(library(frame, where)[0], mask.valid_fraction(where).select("image_id", "valid_area"))
+    return inject.expected_counts(inject.valid_pixels(model.dims(frame), where), density, seed=SEED)
 
 
 # combinations -------------------------------------------------------------------------------------------------------
-def _branches(spark, d) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The seven branches; what several of them share is written once."""
-    original = materialize(stretched(spark, d), "original")
-    where = materialize(valid(spark, d), "valid")
-    clean = materialize(defects.correct(defects.detect(original, where, SIGMA)), "clean")
-    placed, cut = field(spark, d)
+def _branches(spark, d) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The seven branches, the clean frames and the crops; what several of them share is written once."""
+    original, where, clean = repaired(spark, d)
+    placed, cut = field(original, where)
     starred = materialize(inject.paste(clean, materialize(placed, "placed"), cut, model.dims(clean)), "starred")
-    return {k: materialize(v, k) for k, v in combos.branches(clean, starred, original, clean).items()}, clean
+    return {k: materialize(v, k) for k, v in combos.branches(clean, starred, original, clean).items()}, clean, manifest(original, where)
+
+
+def _blur_blocks(name: str, source: str) -> None:
+    block(f"{name}_v", f"SELECT p.image_id, p.y, p.x, p.c, sum(q.v * t) AS v FROM {source} p JOIN dims s USING (image_id) CROSS JOIN taps JOIN {source} q ON q.image_id = p.image_id AND q.c = p.c AND q.x = p.x AND q.y = {_reflect('p.y + d', 's.height')} GROUP BY ALL")
+    block(name, f"SELECT p.image_id, p.y, p.x, p.c, sum(q.v * t) AS v FROM {name}_v p JOIN dims s USING (image_id) CROSS JOIN taps JOIN {name}_v q ON q.image_id = p.image_id AND q.c = p.c AND q.y = p.y AND q.x = {_reflect('p.x + d', 's.width')} GROUP BY ALL")
+
+
+block("greedycells", "SELECT p.image_id, p.cy, p.cx, s.h, s.w, p.rot_k, p.scale, t.c, t.rgb, t.alpha, CASE WHEN flip_v THEN s.h - 1 - dy ELSE dy END AS fy, CASE WHEN flip_h THEN s.w - 1 - dx ELSE dx END AS fx FROM greedy p JOIN starlist s USING (star_id) JOIN stampcells t ON t.image_id = s.source AND t.label = s.label")
+block("greedylight", _LIGHT.format(cells="greedycells"))
+block("greedyadded", "SELECT image_id, y, x, c, sum(a) AS a FROM greedylight GROUP BY ALL")
+block("starred", "SELECT b.image_id, b.y, b.x, b.c, least(1, greatest(0, least(1, b.v)) + coalesce(a.a, 0)) AS v FROM corrected b LEFT JOIN greedyadded a USING (image_id, y, x, c)")
+block("requantised", "SELECT image_id, y, x, c, floor(least(65535, greatest(0, v * 65535))) / 65535 AS v FROM starred")
+_blur_blocks("cleanblur", "corrected")
+_blur_blocks("starblur", "requantised")
+_degrade_blocks("cleanlow", "cleanblur")
+_degrade_blocks("starlow", "starblur")
+block("plainparts", " UNION ALL ".join(f"SELECT '{k}' AS combo, * FROM {v}" for k, v in {"": "corrected", "stars": "starred", "lowres": "cleanlow", "stars_lowres": "starlow"}.items()))
+_DEFECT = "CASE combo WHEN '' THEN 'defects' WHEN 'stars' THEN 'stars_defects' WHEN 'lowres' THEN 'defects_lowres' ELSE 'stars_defects_lowres' END"
+block("allparts", f"SELECT combo, image_id, y, x, c, v FROM plainparts WHERE combo <> '' UNION ALL SELECT {_DEFECT}, k.image_id, k.y, k.x, k.c, CASE WHEN t.image_id IS NOT NULL THEN o.v ELSE k.v END FROM plainparts k JOIN stretched o USING (image_id, y, x, c) LEFT JOIN differs t ON t.image_id = k.image_id AND t.y = k.y AND t.x = k.x")
+_CUTS = _CUT.replace("SELECT image_id, crop_index,", "SELECT combo, image_id, crop_index,").replace("SELECT k.image_id,", "SELECT q.combo, k.image_id,")
+block("combocut", _CUTS.format(m=P - 1, fx=_FX, fy=_FY, src="allparts", p=P))
+block("combopairs", "SELECT combo, image_id, crop_index, 'input' AS side, y, x, c, v FROM combocut UNION ALL SELECT combo, image_id, crop_index, 'target', y, x, c, v FROM cutfixed CROSS JOIN (SELECT DISTINCT combo FROM allparts)")
+block("targethash", "SELECT combo, image_id, crop_index, md5(string_agg(concat_ws(',', y, x, c, round(v, 9)), ';' ORDER BY y, x, c)) AS h FROM combopairs WHERE side = 'target' GROUP BY ALL")
 
 
 @query("combo_names", "SELECT CAST(mask AS INTEGER) AS mask, rtrim((CASE WHEN mask & 1 = 1 THEN 'stars_' ELSE '' END) || (CASE WHEN mask & 2 = 2 THEN 'defects_' ELSE '' END) || (CASE WHEN mask & 4 = 4 THEN 'lowres_' ELSE '' END), '_') AS combo FROM (SELECT unnest(range(1, 8)) AS mask)")
@@ -525,21 +625,21 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(combos.combo_names(), 1)), "mask int, combo string")
 
 
-@query("combo_union")
+@query("combo_union", "SELECT combo, image_id, count(*) AS n, round(avg(v), 6) AS mean, round(max(v), 6) AS hi FROM allparts GROUP BY ALL")
 def _(spark, d):
     return combos.union(_branches(spark, d)[0]).groupBy("combo", "image_id").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("hi"))
 
 
-@query("merged_crops")
+@query("merged_crops", f"SELECT combo, image_id, crop_index, side, y, x, c, {s6('v')} FROM combopairs")
 def _(spark, d):
-    parts, clean = _branches(spark, d)
-    return combos.merged_pairs(parts, clean, manifest(spark, d), P).select("combo", "image_id", "crop_index", "side", "y", "x", "c", *r6("v"))
+    parts, clean, chosen = _branches(spark, d)
+    return combos.merged_pairs(parts, clean, chosen, P).select("combo", "image_id", "crop_index", "side", "y", "x", "c", *r6("v"))
 
 
-@query("alignment_check", "SELECT image_id, crop_index, CAST(7 AS BIGINT) AS combos, CAST(1 AS BIGINT) AS targets FROM crops")
+@query("alignment_check", "SELECT image_id, crop_index, count(*) AS combos, count(DISTINCT h) AS targets FROM targethash GROUP BY ALL")
 def _(spark, d):
-    parts, clean = _branches(spark, d)
-    return combos.alignment(combos.merged_pairs(parts, clean, manifest(spark, d), P))
+    parts, clean, chosen = _branches(spark, d)
+    return combos.alignment(combos.merged_pairs(parts, clean, chosen, P))
 
 
 # splits and set operations ------------------------------------------------------------------------------------------
@@ -669,7 +769,8 @@ def _(spark, d):
 
 @query("mse_psnr", "SELECT image_id, round(m, 9) AS mse, CASE WHEN m > 0 THEN round(10 * log10(1 / m), 6) END AS psnr FROM (SELECT a.image_id, avg((a.v - b.v) ** 2) AS m FROM stretched a JOIN corrected b USING (image_id, y, x, c) GROUP BY ALL)")
 def _(spark, d):
-    return metrics.mse_psnr(stretched(spark, d), defects.correct(found(spark, d))).select("image_id", F.round("mse", 9).alias("mse"), *r6("psnr"))
+    frame, _, fixed = repaired(spark, d)
+    return metrics.mse_psnr(frame, fixed).select("image_id", F.round("mse", 9).alias("mse"), *r6("psnr"))
 
 
 # diffusion schedule -------------------------------------------------------------------------------------------------

@@ -42,7 +42,7 @@ def union(parts: dict[str, DataFrame]) -> DataFrame:
 
 def merged_pairs(parts: dict[str, DataFrame], clean: DataFrame, crops: DataFrame, p: int) -> DataFrame:
     """(combo, image_id, crop_index, side, y, x, c, v): every combo's input, and the clean target, on the same crops."""
-    return union({name: cropping.pairs(df, clean, crops, p) for name, df in parts.items()})
+    return cropping.combined_pairs(union(parts), clean, crops, p)
 
 
 def alignment(pairs: DataFrame) -> DataFrame:

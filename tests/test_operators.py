@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelrel import model
 from pixelrel.functions import pixel, rng
-from pixelrel.operators import crops, defects, degrade, inject, integral, mask, merging, metrics, splits, stars, stencil, stretch
+from pixelrel.operators import crops, defects, degrade, inject, integral, mask, merging, metrics, numbering, quantiles, splits, stars, stencil, stretch
 from pixelrel.plans import combos
 from pixelrel.sources import codecs, files
 from pixelrel.streaming import arrivals
@@ -134,15 +134,29 @@ def test_turns_are_those_of_numpy(spark):
                 assert (got == want).all()
 
 
-def test_spline_weights():
-    for a, b in ((12, 3), (3, 12), (7, 7), (1, 4), (2, 5), (21, 5)):
-        w = degrade.spline_weights(a, b)
-        assert np.allclose(w.sum(axis=1), 1)
-        assert np.allclose(w, np.eye(a)) if a == b else True
-        if a > 1 and b > 1:
-            assert np.allclose(w[0], np.eye(a)[0]) and np.allclose(w[-1], np.eye(a)[-1])
-    line = np.arange(9.0)
-    assert np.allclose(degrade.spline_weights(9, 5)[1:-1] @ line, np.linspace(0, 8, 5)[1:-1], atol=0.2)
+def spline_weights(n_in, n_out):
+    """The n_out x n_in matrix of corner-aligned cubic-spline resampling with mirrored borders, by a dense solve."""
+    if n_in == 1:
+        return np.ones((n_out, 1))
+    prefilter = np.diag(np.full(n_in, 4 / 6)) + np.diag(np.full(n_in - 1, 1 / 6), 1) + np.diag(np.full(n_in - 1, 1 / 6), -1)
+    prefilter[0, 1] = prefilter[-1, -2] = 2 / 6
+    taps = np.zeros((n_out, n_in))
+    for j in range(n_out):
+        at = j * (n_in - 1) / (n_out - 1) if n_out > 1 else 0.0
+        for i in range(math.floor(at) - 1, math.floor(at) + 3):
+            d = abs(at - i)
+            m = abs(i) % (2 * (n_in - 1))
+            taps[j, m if m < n_in else 2 * (n_in - 1) - m] += (4 - 6 * d * d + 3 * d**3) / 6 if d < 1 else (2 - d) ** 3 / 6 if d < 2 else 0.0
+    return np.linalg.solve(prefilter.T, taps.T).T
+
+
+@pytest.mark.parametrize("shape,new", [((12, 9), (3, 2)), ((3, 5), (12, 21)), ((7, 2), (7, 5)), ((1, 4), (4, 1)), ((40, 33), (10, 8)), ((2, 1), (1, 3))])
+def test_spline_zoom_equals_a_dense_solve(spark, shape, new):
+    image = np.random.default_rng(5).random((*shape, 2))
+    size = spark.createDataFrame([("a", *shape, *new)], "image_id string, height int, width int, new_height int, new_width int")
+    got = dense(degrade.resize(grid(spark, image), size))
+    want = np.einsum("ij,jkc,lk->ilc", spline_weights(shape[0], new[0]), image, spline_weights(shape[1], new[1]))
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-12)
 
 
 def test_degrade_keeps_the_shape(spark):
@@ -150,7 +164,7 @@ def test_degrade_keeps_the_shape(spark):
     got = dense(degrade.degrade(grid(spark, image)))
     assert got.shape == image.shape and got.min() >= 0 and got.max() <= 1 and got.var() < image.var()
     down = dense(degrade.zoom_down(grid(spark, image[..., :1])))[..., 0]
-    want = degrade.spline_weights(13, 3) @ image[..., 0] @ degrade.spline_weights(10, 2).T
+    want = spline_weights(13, 3) @ image[..., 0] @ spline_weights(10, 2).T
     assert np.allclose(down, np.clip(want, 0, 1))
     target = spark.createDataFrame([("a", 15, 8)], "image_id string, height int, width int")
     cut = dense(degrade.match_shape(grid(spark, image), target))
@@ -183,24 +197,31 @@ def test_components(spark):
     df = grid(spark, soft).withColumnRenamed("v", "alpha")
     got = {(r.y, r.x): r.label for r in stars.components(df).collect()}
     assert got[1, 1] == 1 and got[2, 2] == 2 and {got[y, x] for y, x in got if y > 3} == {3}
-    rng_ = np.random.default_rng(7)
-    for _ in range(20):
-        m = rng_.random((12, 12)) < 0.5
-        y, x = np.nonzero(m)
-        order = rng_.permutation(len(y))
-        lab = np.zeros((12, 12), int)
-        lab[y[order], x[order]] = stars.label_pixels(y[order], x[order])
-        want, n = np.zeros((12, 12), int), 0
-        for a, b in zip(y, x):
-            if not want[a, b]:
-                n += 1
-                todo = [(a, b)]
-                while todo:
-                    i, j = todo.pop()
-                    if 0 <= i < 12 and 0 <= j < 12 and m[i, j] and not want[i, j]:
-                        want[i, j] = n
-                        todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
-        assert (lab == want).all()
+
+
+def flood(m):
+    """Labels of 4-connected pixels in raster order."""
+    want, n = np.zeros(m.shape, int), 0
+    for a, b in zip(*np.nonzero(m)):
+        if not want[a, b]:
+            n += 1
+            todo = [(a, b)]
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < m.shape[0] and 0 <= j < m.shape[1] and m[i, j] and not want[i, j]:
+                    want[i, j] = n
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+    return want
+
+
+@pytest.mark.parametrize("shape,density", [((14, 150), 0.5), ((60, 9), 0.6), ((12, 12), 1.0), ((5, 5), 0.0), ((25, 140), 0.62)])
+def test_components_equal_a_flood_fill(spark, shape, density):
+    images = {name: np.random.default_rng(i).random(shape) < density for i, name in enumerate("ab")}
+    soft = grid(spark, images["a"] * 0.5, "a").union(grid(spark, images["b"] * 0.5, "b")).withColumnRenamed("v", "alpha").repartition(5)
+    got = {k: np.zeros(shape, int) for k in images}
+    for r in stars.components(soft).collect():
+        got[r.image_id][r.y, r.x] = r.label
+    assert all((got[k] == flood(m)).all() for k, m in images.items())
 
 
 def test_star_library(spark):
@@ -230,13 +251,27 @@ def test_paste_clips_and_centres(spark, size):
     assert (got[:n, :n] == 1).all() and got.sum() == 0.75 * 25 + 0.25 * n * n
 
 
-def test_greedy_placement_keeps_its_distance(spark):
+def test_greedy_placement_is_the_sequential_rule(spark):
     stars_ = spark.createDataFrame([(0, 4, 4), (1, 9, 5)], "star_id long, h int, w int")
-    size = spark.createDataFrame([("a", 60, 60), ("b", 40, 50)], "image_id string, height int, width int")
-    counts = spark.createDataFrame([("a", 200), ("b", 50)], "image_id string, n_stars long")
+    size = spark.createDataFrame([("a", 60, 60), ("NGC_1234_stack_001", 40, 50), ("NGC_1234_stack_002", 40, 50)], "image_id string, height int, width int")
+    counts = spark.createDataFrame([("a", 120), ("NGC_1234_stack_001", 20), ("NGC_1234_stack_002", 20), ("none", 3)], "image_id string, n_stars long")
     placed = inject.place(inject.valid_pixels(size), counts, stars_)
-    assert placed.where("image_id = 'a'").count() > 30 and inject.conflicts(placed).count() == 0
-    assert sorted(placed.collect()) == sorted(inject.place(inject.valid_pixels(size.repartition(3)), counts, stars_).collect())
+    rows = sorted(placed.collect())
+    assert len(rows) > 60 and inject.conflicts(placed).count() == 0
+    assert rows == sorted(inject.place(inject.valid_pixels(size.repartition(3)), counts.repartition(2), stars_).collect())
+    twin = {r.image_id: [(q.seq, q.cy, q.cx) for q in rows if q.image_id == r.image_id] for r in rows}
+    assert twin["NGC_1234_stack_001"] != twin["NGC_1234_stack_002"]  # the whole name counts
+    want, held = [], {}
+    for r in sorted(inject.tries(inject.valid_pixels(size), counts, stars_).collect(), key=lambda r: (r.image_id, r.seq, r.attempt)):
+        own = held.setdefault(r.image_id, {})
+        if r.seq not in own and all((r.cy - y) ** 2 + (r.cx - x) ** 2 >= (0.55 * (r.radius + o)) ** 2 for y, x, o in own.values()):
+            own[r.seq] = (r.cy, r.cx, r.radius)
+            want.append(tuple(r)[:-1])
+    assert [tuple(r) for r in rows] == sorted(want)
+
+
+def test_conflicts_and_open_pixels(spark):
+    size = spark.createDataFrame([("a", 60, 60), ("b", 40, 50)], "image_id string, height int, width int")
     close = spark.createDataFrame([("a", 0, 0, 5, 5, 2.0, False, False, 0, 1.0), ("a", 1, 0, 6, 6, 2.0, False, False, 0, 1.0), ("a", 2, 0, 30, 30, 2.0, False, False, 0, 1.0)], inject.PLACED)
     assert [(r.seq_a, r.seq_b) for r in inject.conflicts(close).collect()] == [(0, 1)]
     none = masked(spark, np.zeros((40, 50)), "b")
@@ -247,8 +282,52 @@ def test_keyed_choices(spark):
     k = spark.range(4000).select(rng.key(1, "x", "id").alias("k"))
     u = [r.u for r in k.select(rng.uniform(F.col("k")).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02
-    counts = [r.n for r in k.select(rng.poisson(F.col("k"), F.lit(4.0)).alias("n")).collect()]
-    assert abs(np.mean(counts) - 4) < 0.2
+
+
+def test_star_counts_are_poisson(spark):
+    rated = spark.range(3000).select(F.col("id").cast("string").alias("image_id"), F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, 4.0).otherwise(60.0).alias("rate"))
+    found = inject.arrivals(rated).join(rated, "image_id").groupBy("rate").agg(F.avg("n_stars").alias("mean"), F.var_samp("n_stars").alias("var"), F.count("*").alias("n")).collect()
+    assert {r.rate: r.n for r in found} == {0.0: 1000, 4.0: 1000, 60.0: 1000}
+    for r in found:
+        assert abs(r["mean"] - r.rate) <= 4 * math.sqrt(r.rate / 1000) and abs(r["var"] - r.rate) <= 0.2 * r.rate
+
+
+def test_densities_are_drawn_from_those_there_are(spark):
+    valid = spark.range(2000).select(F.concat(F.lit("i"), (F.col("id") % 200).cast("string")).alias("image_id"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"))
+    rich = spark.createDataFrame([("a", 5.0), ("b", 0.0)], "source string, density double")
+    n = [r.n_stars for r in inject.expected_counts(valid, rich).collect()]
+    assert len(n) == 200 and 60 < sum(v == 0 for v in n) < 140 and all(v == 0 or 15 < v < 100 for v in n)
+    assert {r.n_stars for r in inject.expected_counts(valid, rich.limit(0)).collect()} == {0}
+
+
+def test_numbering_is_that_of_one_window(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).cast("int").alias("o"), (F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    for block in (None, F.floor(F.col("o") / 16)):
+        got = numbering.running(numbering.numbered(rows, ["o"], ["g"], block), ["o"], ["g"], block, s=F.col("v")).collect()
+        by = {g: sorted((r for r in got if r.g == g), key=lambda r: r.o) for g in range(3)}
+        for own in by.values():
+            assert [r.k for r in own] == list(range(len(own))) and [r.s for r in own] == list(np.cumsum([r.v for r in own]))
+    assert [r.k for r in numbering.numbered(rows.limit(0), ["o"]).collect()] == []
+    assert sorted(r.k for r in numbering.numbered(rows, ["o"]).collect()) == list(range(500))
+
+
+@pytest.mark.parametrize("kind", ["normal", "steps", "outlier", "one", "equal", "infinite"])
+def test_quantiles_are_exact(spark, kind):
+    own = np.random.default_rng(3)
+    made = {
+        "normal": own.standard_normal(1001), "steps": own.integers(-3, 4, 500) / 4.0, "outlier": np.r_[own.random(300) * 1e-9, 1e300, -1e300, 5e-324],
+        "one": np.array([2.5]), "equal": np.full(37, 0.1), "infinite": np.r_[np.full(5, np.inf), np.full(5, -np.inf), own.random(90)],
+    }[kind]
+    df = spark.createDataFrame([("g", float(v)) for v in made] + [("g", None), ("h", 1.0), ("null", None)], "g string, v double").repartition(4)
+    shares = [0.0, 0.01, 0.5, 0.8, 0.997, 1.0]
+    got = {r.g: r.p for r in quantiles.quantiles(df, ["g"], F.col("v"), shares).collect()}
+    assert got.keys() == {"g", "h"} and got["h"] == [1.0] * 6
+    at = np.array(shares) * (len(made) - 1)
+    s = np.sort(made)
+    lo, hi = s[np.floor(at).astype(int)], s[np.ceil(at).astype(int)]
+    with np.errstate(invalid="ignore"):
+        want = np.where(lo == hi, lo, lo + (hi - lo) * (at - np.floor(at)))
+    assert np.allclose(got["g"], want, rtol=1e-12, atol=0, equal_nan=True)
 
 
 def test_combinations():
