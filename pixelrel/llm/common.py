@@ -1,4 +1,4 @@
-"""What the training-data operators share: lineage cuts, grouped Arrow streams, connected components."""
+"""What the training-data operators share: lineage cuts, grouped Arrow streams, and the library's connected components."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from ..storage import materialize, new_path, shared_dir
 
 __all__ = ["materialize", "new_path", "shared_dir", "sorted_runs", "runs", "connected_components"]
@@ -46,38 +45,3 @@ def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 def runs(keys: np.ndarray) -> np.ndarray:
     """Start offsets of the runs of equal neighbours, with the length at the end."""
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else np.zeros(1, int)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(a long, b long) links to (node, component): the smallest node that can be reached.
-
-    Contraction: in each round every label moves to its neighbour of smallest salted hash and on to that one's own,
-    links are relabelled and loops dropped, so the number of links falls by a constant factor a round whatever the
-    ids are. What a round needs is written to the shared folder. Nodes without links aren't in the result.
-    """
-    live = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-
-    def relabel(df: DataFrame, move: DataFrame, c: str) -> DataFrame:
-        return df.join(move.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-
-    salt = 0
-    while not live.isEmpty():
-        salt += 1
-        hash_of = lambda c, salt=salt: F.xxhash64(c, F.lit(salt))
-        both = live.union(live.select("b", "a"))
-        best = both.groupBy("a").agg(F.min_by("b", hash_of("b")).alias("to"), F.min(hash_of("b")).alias("h"))
-        move = best.where(F.col("h") < hash_of("a")).select("a", "to")
-        move = materialize(_twice(move), "moves")
-        live = relabel(relabel(live, move, "a"), move, "b").where("a <> b")
-        live = materialize(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        labels = relabel(labels, move, "label").select("node", "label")
-    labels = materialize(labels, "labels")
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return labels.join(least, "label").select("node", "component")
-
-
-def _twice(move: DataFrame) -> DataFrame:
-    """(a, to) followed once more where to moves as well."""
-    on = move.select(F.col("a").alias("to"), F.col("to").alias("further"))
-    return move.join(on, "to", "left").select("a", F.coalesce("further", "to").alias("to"))
