@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ SMALL, LIMB, HUGE, LONG = 1 << 27, 1 << 62, float(1 << 128), (1 << 63) - 1
 def kept(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
     """(vec_id long, x array<double>): floor(scale * component) of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") == components)
-    good = v.where(~F.exists("v", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) * scale >= HUGE)))
+    good = v.where(~F.exists("v", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) >= HUGE)))
     # floor() of a double is a long, so numbers beyond 2 ** 52, which are whole already, stay as they are
     return good.select("vec_id", F.transform("v", lambda a: F.when(F.abs(a * scale) < float(1 << 52), F.floor(a * scale).cast("double")).otherwise(a * scale)).alias("x"))
 
@@ -115,11 +116,12 @@ def next_centroids(rows: DataFrame, centroids: list[list[int]]) -> list[list[int
                     totals[c] += [int(a) for a in row]
         used = np.flatnonzero(counts)
         limbs = [[divmod(int(t), LIMB) for t in totals[c]] for c in used]
-        yield pd.DataFrame({"cluster": used.astype(np.int32), "n": counts[used], "high": [[float(h) for h, _ in row] for row in limbs], "low": [[lo for _, lo in row] for row in limbs]})
+        if limbs:
+            yield pd.DataFrame({"cluster": used.astype(np.int32), "n": counts[used], "high": [[Decimal(h) for h, _ in row] for row in limbs], "low": [[lo for _, lo in row] for row in limbs]})
 
-    parts = rows.select("x").mapInPandas(sums, "cluster int, n long, high array<double>, low array<long>")
+    parts = rows.select("x").mapInPandas(sums, "cluster int, n long, high array<decimal(38,0)>, low array<long>")
     flat = parts.select("cluster", "n", F.posexplode(F.arrays_zip("high", "low")).alias("at", "v"))
-    whole = flat.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum(F.col("v.high").cast("decimal(38,0)")).alias("high"), F.sum(F.col("v.low").cast("decimal(38,0)")).alias("low"))
+    whole = flat.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("v.high").alias("high"), F.sum(F.col("v.low").cast("decimal(38,0)")).alias("low"))
     out = [list(c) for c in centroids]
     for r in whole.collect():  # clusters x components
         out[r.cluster][r["at"]] = (int(r.high) * LIMB + int(r.low)) // r.n
