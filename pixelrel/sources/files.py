@@ -2,76 +2,50 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixel
-from ..model import CROPS, FRAMES, stem
-from . import codecs
-
-GLOBS = {"fits": "*.{fits,fit,FITS}", "npy": "*.npy", "tiff": "*.{tif,tiff}"}
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {
-    "fits": lambda b: codecs.channels_last(codecs.read_fits(b)),
-    "npy": lambda b: codecs.to_hwc(codecs.read_npy(b)),
-    "tiff": lambda b: codecs.to_hwc(codecs.read_tiff(b)),
-    "tiff-float": lambda b: codecs.to_hwc(codecs.read_tiff(b, allow_float=True)),
-}
-
+from ..model import CROPS, FRAMES, frames_from_pixels, stem
+from . import frames
+from .frames import SUFFIXES
 
 def listing(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """(image_id, suffix, path) of a folder's files of a kind."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind.split("-")[0]]).load(folder).select("path")
+    """(image_id, suffix, path) of a folder's files of a kind, whichever of its suffixes they have."""
+    globs = f"*.{{{','.join(s[1:] for s in SUFFIXES[kind])}}}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", globs).load(folder).select("path")
     return files.select(stem(F.col("path")).alias("image_id"), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("suffix"), "path")
 
 
-def read_frames(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """FRAMES and reject, the reason why a file has no data (null for good ones); no file is lost silently."""
-    decode = DECODERS[kind]
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for path_id, content in zip(f["image_id"], f["content"]):
-                try:
-                    image = decode(bytes(content))
-                    out.append((path_id, *image.shape, image.astype(np.float32).ravel(), None))
-                except (ValueError, KeyError, IndexError) as e:
-                    out.append((path_id, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data", "reject"]).astype({k: "Int32" for k in ("height", "width", "channels")})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind.split("-")[0]]).load(folder)
-    return files.select(stem(F.col("path")).alias("image_id"), "content").mapInPandas(rows, f"{FRAMES}, reject string")
-
-
-def write_frames(frames: DataFrame, folder: str, kind: str = "npy", rounding: bool = False) -> DataFrame:
-    """Writes a file a frame, <folder>/<image_id>.npy or .tif (16 bits, truncating or rounding); returns (image_id, path).
-    A file is written under another name first and then moved, so a task that runs again does no harm."""
-    from pyarrow import fs
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = fs.FileSystem.from_uri(folder)
-        for part in parts:
-            paths = []
-            for r in part.itertuples():
-                image = np.asarray(r.data, np.float32).reshape(r.height, r.width, r.channels)
-                if kind == "tiff":
-                    scaled = image.astype(float) * 65535
-                    image = (np.rint(np.clip(scaled, 0, 65535)) if rounding else np.clip(scaled, 0, 65535)).astype(np.uint16)
-                path = f"{root}/{r.image_id}.{'tif' if kind == 'tiff' else 'npy'}"
-                with system.open_output_stream(tmp := f"{path}.{uuid.uuid4().hex}.tmp", compression=None) as out:
-                    out.write(codecs.write_tiff(image) if kind == "tiff" else codecs.write_npy(image))
-                system.move(tmp, path)
-                paths.append(path)
-            yield pd.DataFrame({"image_id": part["image_id"], "path": paths})
-
-    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1])
-    return frames.mapInPandas(rows, "image_id string, path string")
+def listings(spark: SparkSession, *places: tuple[str, str]) -> DataFrame:
+    """The listings of several (folder, kind) one after the other, with their place from 0."""
+    parts = [listing(spark, folder, kind).withColumn("place", F.lit(i)) for i, (folder, kind) in enumerate(places)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_frames(spark: SparkSession, folder: str, kind: str, **options: str) -> DataFrame:
+    """FRAMES, reject and path: see sources.frames for kinds and options."""
+    return frames.register(spark).read.format("frames").options(path=folder, kind=kind, **options).load()
+
+
+def write_frames(rows: DataFrame, folder: str, kind: str = "npy", values: str = "float", mode: str = "append") -> None:
+    """Writes a file a frame, <folder>/<image_id> with the suffix of the kind."""
+    frames.register(rows.sparkSession)
+    rows.select(*[c.split()[0] for c in FRAMES.split(", ")]).write.format("frames").options(kind=kind, values=values).mode(mode).save(folder)
+
+
+def read_masks(spark: SparkSession, folder: str, kind: str = "npy") -> DataFrame:
+    """(image_id, y, x, valid) of mask files with one channel: what isn't 0 is valid."""
+    good = read_frames(spark, folder, kind).where("reject is null and channels = 1")
+    flat = good.select("image_id", "width", F.posexplode("data").alias("p", "v"))
+    return flat.select("image_id", F.expr("cast(p div width as int)").alias("y"), (F.col("p") % F.col("width")).alias("x"), (F.col("v") != 0).alias("valid"))
+
+
+def mask_frames(mask: DataFrame) -> DataFrame:
+    """A validity mask as FRAMES of one channel, 0 or 1; one mask meets in one task, as its file wants."""
+    return frames_from_pixels(mask.select("image_id", "y", "x", F.lit(0).alias("c"), F.col("valid").cast("double").alias("v")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +62,8 @@ def manifest_json(crops: DataFrame, p: int, seed: int) -> DataFrame:
     return crops.agg(F.to_json(whole).alias("value"))
 
 
-def missing_keys(text: str, required: list[str]) -> list[str]:
-    """Keys that a JSON object should have and hasn't."""
-    return sorted(set(required) - set(json.loads(text)))
-
-
 def keys_missing(value: Column, required: list[str]) -> Column:
-    """As missing_keys, for a column of JSON objects; null where a value is no object."""
+    """Keys that JSON objects should have and haven't; null where a value is no object."""
     return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.json_object_keys(value)))
 
 

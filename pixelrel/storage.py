@@ -30,3 +30,40 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    """A path and the store that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _located(spark, path)
+    return store.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and what is in it."""
+    at, store = _located(spark, path)
+    store.delete(at, True)
+
+
+class Scratch:
+    """Tables of one step: materialize(), and all of them deleted at the end of the with block, when what was made of
+    them has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(path := new_path(self.spark, name))
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.splits import pending
+from ..sources import ledger
 
 
 def arrivals(spark: SparkSession, folder: str, schema: str, kind: str = "parquet") -> DataFrame:
@@ -16,18 +16,10 @@ def arrivals(spark: SparkSession, folder: str, schema: str, kind: str = "parquet
 
 
 def process(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "image_id") -> StreamingQuery:
-    """Applies stage to what arrives and appends to out; keys that out already holds are left out, so a batch that is
-    run again adds nothing."""
+    """Applies stage to what arrives and adds it to out, a folder that ledger.read() reads. Keys that out holds already
+    are left out, so a batch that is run again adds nothing."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            done = spark.read.parquet(out)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = df.limit(0)
-        wanted = pending(df.select(key).distinct(), done, key=key)
-        stage(df.join(wanted, key, "left_semi")).write.mode("append").parquet(out)
+        ledger.append(df, out, [key], stage)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
