@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,8 @@ def choice(k: Column, n: Column) -> Column:
 
 def bits(k: Column, at: int, n: int = 1) -> Column:
     return F.shiftright(k, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+
+
+def normal(k1: Column, k2: Column) -> Column:
+    """A standard normal variable of two independent keys (Box and Muller)."""
+    return F.sqrt(F.log((k1 + 1) / F.lit(float(1 << 32))) * -2) * F.cos(uniform(k2) * (2 * math.pi))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-COSINE_SHIFT, BETA_MIN, BETA_MAX = 0.008, 1e-4, 0.9999
+from ..functions import rng
+
+COSINE_SHIFT, BETA_MIN, BETA_MAX, SEED = 0.008, 1e-4, 0.9999, 42
 
 
 def mse_psnr(a: DataFrame, b: DataFrame, peak: float = 1.0, *by: str) -> DataFrame:
@@ -96,3 +98,11 @@ def forward_noise(values: DataFrame, schedule: DataFrame, value: str, noise: str
     a, b = F.sqrt("alpha_bar"), F.sqrt(1 - F.col("alpha_bar"))
     joined = values.join(schedule.select("t", "alpha_bar"), "t")
     return joined.withColumn("noisy", a * F.col(value) + b * F.col(noise)).withColumn("v_target", a * F.col(noise) - b * F.col(value))
+
+
+def drawn_noise(pixels: DataFrame, steps: int = 200, seed: int = SEED) -> DataFrame:
+    """Adds t, an image's step, and noise, a pixel's standard normal variable: drawn by hash of their own keys, so they
+    are the same for every run and partitioning."""
+    at = ["image_id", "y", "x", "c"]
+    noise = rng.normal(rng.key(seed, "noise", *at), rng.key(seed, "turn", *at))
+    return pixels.withColumn("t", rng.choice(rng.key(seed, "step", "image_id"), F.lit(steps)).cast("int")).withColumn("noise", noise)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import pixel, rng
-from ..operators import crops, defects, degrade, inject, integral, mask, merging, metrics, splits, stars, stencil, stretch
-from ..storage import materialize
+from ..operators import crops, defects, degrade, inject, integral, mask, merging, metrics, overlay, pretext, search, splits, stars, stencil, stretch
+from ..sources import datasets, files
+from ..sources import library as star_files
+from ..storage import materialize, new_path
 from . import combos
 
 P, N_CROPS, SEED, TRIES = 8, 12, 42, 10
@@ -642,6 +644,102 @@ def _(spark, d):
     return combos.alignment(combos.merged_pairs(parts, clean, chosen, P))
 
 
+# files --------------------------------------------------------------------------------------------------------------
+def _through(spark, frames: DataFrame, kind: str, values: str = "float") -> DataFrame:
+    """Frames written as files and read again."""
+    files.write_frames(frames, folder := new_path(spark, "files"), kind, values)
+    return files.read_frames(spark, folder, kind, mode="FAILFAST")
+
+
+@query("npy_files", f"SELECT image_id, y, x, c, {s6('v')} FROM pixels")
+def _(spark, d):
+    return model.pixels_from_frames(_through(spark, model.frames_from_pixels(raw(spark, d)), "npy")).select("image_id", "y", "x", "c", *r6("v"))
+
+
+@query("fits_files", "SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS width, round(sum(v), 3) AS total, round(sum(v * (y * 7 + x * 3 + c)), 3) AS placed FROM pixels GROUP BY image_id")
+def _(spark, d):
+    back = model.pixels_from_frames(_through(spark, model.frames_from_pixels(raw(spark, d)), "fits"))
+    place = F.col("y") * 7 + F.col("x") * 3 + F.col("c")
+    return back.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.round(F.sum("v"), 3).alias("total"), F.round(F.sum(F.col("v") * place), 3).alias("placed"))
+
+
+@query("tiff_files", "SELECT image_id, y, x, c, CAST(round_even(greatest(0, least(1, CAST(CAST(v AS FLOAT) AS DOUBLE))) * 65535, 0) AS INTEGER) AS q FROM stretched")
+def _(spark, d):
+    back = model.pixels_from_frames(_through(spark, model.frames_from_pixels(stretched(spark, d)), "tiff", "rint16"))
+    return back.select("image_id", "y", "x", "c", F.rint(F.col("v") * 65535).cast("int").alias("q"))
+
+
+@query("mask_files", "SELECT image_id, y, x, valid FROM mask")
+def _(spark, d):
+    files.write_frames(files.mask_frames(valid(spark, d)), folder := new_path(spark, "files"), "npy", "bool")
+    return files.read_masks(spark, folder)
+
+
+def _sides_of(spark, d) -> DataFrame:
+    """Hosts of pages as patch files: the pages of even id are inputs, of ids that 3 divides targets."""
+    path = F.concat(F.regexp_extract("url", "://([^/]*)", 1), F.lit("/p"), F.expr("page_id div 4"), F.lit(".npy"))
+    return table(spark, d, "pages").select("page_id", path.alias("path"))
+
+
+block("patchfiles", "SELECT page_id, 'p' || (page_id // 4) AS stem, regexp_extract(url, '://([^/]*)', 1) || '/p' || (page_id // 4) || '.npy' AS path FROM pages")
+block("lefts", "SELECT stem, min(path) AS input, count(*) AS n FROM patchfiles WHERE page_id % 2 = 0 GROUP BY stem")
+block("rights", "SELECT stem, min(path) AS target, count(*) AS m FROM patchfiles WHERE page_id % 3 = 0 GROUP BY stem")
+
+
+@query("paired_dataset", "SELECT stem, input, target, CASE WHEN input IS NULL THEN 'no input' WHEN target IS NULL THEN 'no target' WHEN n > 1 OR m > 1 THEN 'duplicate' END AS issue FROM lefts FULL JOIN rights USING (stem)")
+def _(spark, d):
+    found = _sides_of(spark, d)
+    return datasets.paired(found.where("page_id % 2 = 0"), found.where("page_id % 3 = 0"))
+
+
+@query("patch_sink", "SELECT combo, side, image_id, crop_index, image_id || '_' || lpad(CAST(crop_index AS VARCHAR), 4, '0') AS name, CAST(count(*) AS INTEGER) AS n, round(sum(v), 3) AS total FROM (SELECT 'defects' AS combo, 'input' AS side, * FROM cut UNION ALL SELECT 'defects', 'target', * FROM cutfixed) GROUP BY ALL")
+def _(spark, d):
+    """Written twice; the second time all pairs are there already."""
+    frame, where, fixed = repaired(spark, d)
+    chosen = materialize(manifest(frame, where), "crops")
+    sides = [crops.patches(df, chosen, P).withColumn("side", F.lit(side)) for df, side in ((frame, "input"), (fixed, "target"))]
+    made = materialize(sides[0].unionByName(sides[1]).withColumn("combo", F.lit("defects")), "patches")
+    folder = new_path(spark, "sink")
+    datasets.write_patches(made, folder)
+    datasets.write_patches(made, folder)
+    total = F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 3)
+    return datasets.read_patches(spark, folder).select("combo", "side", "image_id", "crop_index", "name", F.size("data").alias("n"), total.alias("total"))
+
+
+def _library_files(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    frame, where = written(spark, d)
+    listed, cut = library(frame, where)
+    densities = stars.densities(listed, mask.valid_fraction(where).select("image_id", "valid_area"))
+    star_files.write_library(listed, cut, densities, folder := new_path(spark, "library"))
+    return star_files.read_library(spark, folder)
+
+
+@query("library_catalogue", f"SELECT star_id, 'star_' || lpad(CAST(star_id AS VARCHAR), 6, '0') || '.npz' AS file, h, w, {s6('peak', 'flux', 'density')}, source FROM starlist JOIN dens USING (source)")
+def _(spark, d):
+    listed, _, densities = _library_files(spark, d)
+    return listed.join(densities, "source").select("star_id", "file", "h", "w", *r6("peak", "flux", "density"), "source")
+
+
+@query("library_stamps", f"SELECT star_id, dy, dx, c, {s6('rgb', 'alpha')} FROM (SELECT star_id, dy, dx, c, CAST(CAST(rgb AS FLOAT) AS DOUBLE) AS rgb, CAST(CAST(t.alpha AS FLOAT) AS DOUBLE) AS alpha FROM stampcells t JOIN starlist s ON s.source = t.image_id AND s.label = t.label)")
+def _(spark, d):
+    return _library_files(spark, d)[1].select("star_id", "dy", "dx", "c", *r6("rgb", "alpha"))
+
+
+# previews -----------------------------------------------------------------------------------------------------------
+SMALL = 16
+block("greyed", "SELECT g.image_id, g.y, g.x, g.v, m.valid FROM green g JOIN mask m USING (image_id, y, x)")
+block("greyused", "SELECT image_id, v FROM (SELECT *, bool_or(valid) OVER (PARTITION BY image_id) AS any_valid FROM greyed) WHERE valid OR NOT any_valid")
+block("greyrange", "SELECT image_id, CASE WHEN lo < hi THEN b END AS black, CASE WHEN lo < hi THEN CASE WHEN w <= b THEN b + 1e-6 ELSE w END END AS white FROM (SELECT image_id, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.01) AS b, quantile_cont(v, 0.995) AS w FROM greyused GROUP BY image_id)")
+block("smalldims", f"SELECT image_id, height, width, CAST(greatest(1, floor(height * s)) AS INTEGER) AS th, CAST(greatest(1, floor(width * s)) AS INTEGER) AS tw FROM (SELECT *, least({SMALL} / height, {SMALL} / width, 1.0) AS s FROM dims)")
+block("smallcells", "SELECT image_id, CAST(y * th // height AS INTEGER) AS ty, CAST(x * tw // width AS INTEGER) AS tx, height, width, th, tw, y, x, valid, CASE WHEN black IS NULL THEN 0 ELSE floor(255 * greatest(0, least(1, (v - black) / (white - black)))) END AS level FROM greyed JOIN smalldims USING (image_id) JOIN greyrange USING (image_id)")
+block("smallpix", "SELECT image_id, ty, tx, CAST(floor(avg(level) + 0.5) AS INTEGER) AS level, bool_or(valid) FILTER (y = (2 * ty + 1) * height // (2 * th) AND x = (2 * tx + 1) * width // (2 * tw)) AS seen FROM smallcells GROUP BY image_id, ty, tx")
+
+
+@query("overlay_preview", "SELECT image_id, ty AS y, tx AS x, CASE WHEN seen THEN level ELSE 220 END AS red, CASE WHEN seen THEN level ELSE 50 END AS green, CASE WHEN seen THEN level ELSE 50 END AS blue FROM smallpix")
+def _(spark, d):
+    return overlay.preview(raw(spark, d), valid(spark, d), SMALL)
+
+
 # splits and set operations ------------------------------------------------------------------------------------------
 block("docsplit", f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_key('split', 'doc_id')}, doc_id) <= floor(count(*) OVER () * 0.1) THEN 'val' ELSE 'train' END AS role FROM documents")
 
@@ -655,6 +753,14 @@ def _(spark, d):
     return splits.exact_split(docs(spark, d).select("doc_id"), "doc_id")
 
 
+@query("split_manifest", "SELECT 'in/' || doc_id || '.npy' AS path, role, 'input' AS side FROM docsplit UNION ALL SELECT 'out/' || doc_id || '.npy', role, 'target' FROM docsplit")
+def _(spark, d):
+    name = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".npy"))
+    pairs = docs(spark, d).select(F.col("doc_id").alias("stem"), name("in").alias("input"), name("out").alias("target"))
+    datasets.write_split(datasets.split(pairs), folder := new_path(spark, "split"))
+    return datasets.read_split(spark, f"{folder}-none", folder)
+
+
 @query("leakage", "SELECT text FROM (SELECT text FROM documents JOIN docsplit USING (doc_id) WHERE role = 'train') INTERSECT SELECT text FROM (SELECT text FROM documents JOIN docsplit USING (doc_id) WHERE role = 'val')")
 def _(spark, d):
     whole = splits.exact_split(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
@@ -791,6 +897,24 @@ def _(spark, d):
     return metrics.forward_noise(rows, metrics.noise_schedule(spark), "s", "e").select("image_id", "y", "x", "c", *r6("noisy", "v_target"))
 
 
+_NOISE = f"sqrt(-2 * ln(({_key('noise', 'image_id', 'y', 'x', 'c')} + 1) / 4294967296.0)) * cos({_key('turn', 'image_id', 'y', 'x', 'c')} / 4294967296.0 * 2 * pi())"
+block("noised", f"SELECT image_id, y, x, c, 2 * v - 1 AS s, {_NOISE} AS e, CAST({_key('step', 'image_id')} % 200 AS INTEGER) AS t FROM stretched")
+
+
+@query("drawn_noise", "SELECT image_id, y, x, c, t, round(sqrt(alpha_bar) * s + sqrt(1 - alpha_bar) * e, 6) AS noisy, round(sqrt(alpha_bar) * e - sqrt(1 - alpha_bar) * s, 6) AS v_target FROM noised JOIN schedule USING (t)")
+def _(spark, d):
+    rows = metrics.drawn_noise(stretched(spark, d), seed=SEED).withColumn("s", pixel.to_signed_unit(F.col("v")))
+    return metrics.forward_noise(rows, metrics.noise_schedule(spark), "s", "noise").select("image_id", "y", "x", "c", "t", *r6("noisy", "v_target"))
+
+
+block("pretextops", " UNION ALL ".join(f"SELECT image_id, '{op}' AS operation, {_key(op, 'image_id')} AS k FROM dims" for op in pretext.OPERATIONS))
+
+
+@query("pretext_chains", f"SELECT image_id, {_key('zero', 'image_id')} / 4294967296.0 < 0.1 AS zeroed, CAST(n AS INTEGER) AS step, operation FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY k, operation) - 1 AS n FROM pretextops) WHERE n <= {_key('length', 'image_id')} % 3")
+def _(spark, d):
+    return pretext.chains(raw(spark, d).select("image_id").distinct(), SEED)
+
+
 # merging: labels as tasks ------------------------------------------------------------------------------------
 block("tasks", "SELECT image_id AS task, y AS param, x * 3 + c AS idx, v AS value FROM pixels")
 block("trimmed", "SELECT t.* FROM tasks t JOIN (SELECT task, quantile_cont(abs(value), 0.8) AS cut FROM tasks GROUP BY task) USING (task) WHERE abs(value) >= cut")
@@ -824,3 +948,28 @@ block("norms", "SELECT task, sqrt(sum(value ** 2)) AS norm FROM tasks GROUP BY t
 @query("task_cosine", "SELECT a, b, round(dot / na.norm / nb.norm, 6) AS cosine FROM (SELECT a.task AS a, b.task AS b, sum(a.value * b.value) AS dot FROM tasks a JOIN tasks b ON a.param = b.param AND a.idx = b.idx AND a.task < b.task GROUP BY ALL) JOIN norms na ON na.task = a JOIN norms nb ON nb.task = b")
 def _(spark, d):
     return merging.cosine(tasks(spark, d)).select("a", "b", *r6("cosine"))
+
+
+# merging: a grid of weights -------------------------------------------------------------------------------------------
+GRID, KEPT = (0.1, 0.3), 8
+block("gramdots", "SELECT a.task AS a, b.task AS b, sum(a.value * b.value) AS dot FROM tasks a JOIN tasks b ON a.param = b.param AND a.idx = b.idx GROUP BY ALL")
+block("tasklist", "SELECT task, row_number() OVER (ORDER BY task) - 1 AS i FROM (SELECT DISTINCT task FROM tasks)")
+block("points", f"SELECT candidate, task, CASE (candidate >> i) & 1 WHEN 0 THEN {GRID[0]} ELSE {GRID[1]} END AS w FROM (SELECT unnest(range(CAST(1 << (SELECT count(*) FROM tasklist) AS BIGINT))) AS candidate), tasklist")
+block("aims", "SELECT '1' AS stage, a.task AS folder, t.task, CASE WHEN t.task = a.task THEN 1.0 ELSE 0.0 END AS aim FROM tasklist a, tasklist t UNION ALL SELECT '2', a.task || '+' || b.task, t.task, CASE WHEN t.task IN (a.task, b.task) THEN 1.0 ELSE 0.0 END FROM tasklist a, tasklist b, tasklist t WHERE a.i < b.i")
+block("aimdots", "SELECT stage, folder, t.task, sum(g.dot * aim) AS d FROM aims JOIN tasklist t ON true JOIN gramdots g ON g.a = t.task AND g.b = aims.task GROUP BY ALL")
+block("aimnorms", "SELECT stage, folder, sum(a.aim * d.d) AS nn FROM aims a JOIN aimdots d USING (stage, folder, task) GROUP BY ALL")
+block("selfdots", "SELECT candidate, sum(p.w * q.w * dot) AS ww FROM points p JOIN points q USING (candidate) JOIN gramdots ON a = p.task AND b = q.task GROUP BY candidate")
+block("gridscores", "SELECT stage, folder, candidate, (any_value(ww) - 2 * sum(p.w * d.d) + any_value(nn)) / (SELECT count(DISTINCT (param, idx)) FROM tasks) AS score FROM points p JOIN aimdots d USING (task) JOIN aimnorms USING (stage, folder) JOIN selfdots USING (candidate) GROUP BY stage, folder, candidate")
+_Z = "SELECT candidate, avg(z) AS score FROM (SELECT candidate, coalesce((score - avg(score) OVER (PARTITION BY folder)) / nullif(stddev_pop(score) OVER (PARTITION BY folder), 0), 0) AS z FROM gridscores WHERE {}) GROUP BY candidate"
+block("gridfirst", f"SELECT candidate, score AS stage_one FROM ({_Z.format("stage = '1'")}) ORDER BY score, candidate LIMIT {KEPT}")
+block("gridsecond", _Z.format("stage = '2' AND candidate IN (SELECT candidate FROM gridfirst)"))
+
+
+@query("lambda_grid", f"SELECT candidate, {s6('stage_one', 'score')} FROM gridfirst JOIN gridsecond USING (candidate)")
+def _(spark, d):
+    return search.best_weights(tasks(spark, d), GRID, KEPT)[0].select("candidate", *r6("stage_one", "score"))
+
+
+@query("lambda_merge", "SELECT param, idx, round(sum(value * w), 6) AS value FROM tasks JOIN points USING (task) WHERE candidate = (SELECT candidate FROM gridsecond ORDER BY score, candidate LIMIT 1) GROUP BY param, idx")
+def _(spark, d):
+    return search.merge_best(tasks(spark, d), GRID, KEPT).select("param", "idx", *r6("value"))
