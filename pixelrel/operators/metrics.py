@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
+from . import numbering
 
 COSINE_SHIFT, BETA_MIN, BETA_MAX, SEED = 0.008, 1e-4, 0.9999, 42
+#: Steps of a block of an average, decimal digits that powers of beta may span in it, and those that a double can tell.
+BLOCK, DIGITS, SMALLEST = 256, 200, 17
 
 
 def mse_psnr(a: DataFrame, b: DataFrame, peak: float = 1.0, *by: str) -> DataFrame:
@@ -34,13 +37,22 @@ def best_so_far(history: DataFrame, by: list[str], order: str, value: str) -> Da
 
 
 def ema(steps: DataFrame, by: list[str], order: str, value: str, beta: float = 0.999) -> DataFrame:
-    """Adds ema: e_0 = v_0, e_t = beta e_(t-1) + (1 - beta) v_t, folded over each group's ordered values. A group's steps
-    meet in one task."""
-    series = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("s"))
-    start = F.array(F.get("s", F.lit(0))["v"])
-    fold = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), start, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) * beta + s["v"] * (1 - beta))))
-    both = series.select(*by, F.explode(F.arrays_zip(F.col("s"), fold.alias("e"))).alias("z"))
-    return both.select(*by, F.col(f"z.s.{order}").alias(order), F.col("z.s.v").alias(value), F.col("z.e").alias("ema"))
+    """Adds ema: e_0 = v_0, e_t = beta e_(t-1) + (1 - beta) v_t, for 0 < beta < 1. Steps are numbered and cut into blocks in
+    which powers of beta stay in range. A block's own average is a running sum; what came before it is an average of the
+    averages of as many earlier blocks as a double can tell. No task holds a whole run."""
+    size = max(1, min(BLOCK, int(DIGITS / -math.log10(beta))))
+    far = max(1, math.ceil(SMALLEST / -math.log10(beta) / size))
+    keyed = numbering.numbered(steps.select(*by, order, F.col(value).cast("double").alias(value)), [order], by, name="_t")
+    cut = keyed.withColumn("_b", F.floor(F.col("_t") / size)).withColumn("_i", F.col("_t") % size)
+    share = F.when(F.col("_t") == 0, 1.0).otherwise(1 - beta)
+    inside = Window.partitionBy(*by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(F.col(value) * share * F.pow(F.lit(beta), -F.col("_i"))).over(inside) * F.pow(F.lit(beta), F.col("_i"))
+    local = cut.withColumn("_own", own)
+    ends = local.groupBy(*by, "_b").agg(F.max_by("_own", "_i").alias("_end"))
+    earlier = F.collect_list("_end").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(-far, -1))  # full blocks
+    carried = ends.select(*by, "_b", F.aggregate(earlier, F.lit(0.0), lambda e, v: e * beta**size + v).alias("_carried"))
+    joined = local.join(carried, [*by, "_b"])
+    return joined.select(*by, order, value, (F.col("_own") + F.col("_carried") * F.pow(F.lit(beta), F.col("_i") + 1)).alias("ema"))
 
 
 def last_ema(steps: DataFrame, by: list[str], order: str, value: str, beta: float = 0.999) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
+from . import numbering
 
 VALIDATION, SEED, BUCKETS = 0.1, 42, 1024
 
@@ -71,7 +72,6 @@ def composites(files: DataFrame, stem: str, suffix: str) -> DataFrame:
 
 def wrapped(files: DataFrame, indices: DataFrame, order: str) -> DataFrame:
     """(i, ...) the file at each index modulo the number of files, in order: a fixed preview set."""
-    numbered = files.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)  # a directory listing
-    n = files.agg(F.count("*").alias("_n"))
-    asked = indices.crossJoin(n).withColumn("_k", F.pmod(F.col("i"), F.col("_n")))
-    return asked.join(numbered, "_k").drop("_k", "_n")
+    listed = numbering.numbered(files, [order], name="_k")
+    asked = indices.withColumn("_k", F.pmod(F.col("i"), F.lit(max(1, files.count()))))
+    return asked.join(listed, "_k").drop("_k")

@@ -622,9 +622,15 @@ block("combopairs", "SELECT combo, image_id, crop_index, 'input' AS side, y, x,
 block("targethash", "SELECT combo, image_id, crop_index, md5(string_agg(concat_ws(',', y, x, c, round(v, 9)), ';' ORDER BY y, x, c)) AS h FROM combopairs WHERE side = 'target' GROUP BY ALL")
 
 
-@query("combo_names", "SELECT CAST(mask AS INTEGER) AS mask, rtrim((CASE WHEN mask & 1 = 1 THEN 'stars_' ELSE '' END) || (CASE WHEN mask & 2 = 2 THEN 'defects_' ELSE '' END) || (CASE WHEN mask & 4 = 4 THEN 'lowres_' ELSE '' END), '_') AS combo FROM (SELECT unnest(range(1, 8)) AS mask)")
+_NAMED = "rtrim((CASE WHEN mask & 1 = 1 THEN 'stars_' ELSE '' END) || (CASE WHEN mask & 2 = 2 THEN 'defects_' ELSE '' END) || (CASE WHEN mask & 4 = 4 THEN 'lowres_' ELSE '' END), '_')"
+
+
+@query("combo_names", f"SELECT image_id, CAST(mask AS INTEGER) AS mask, {_NAMED} AS combo, height * width AS area FROM dims, (SELECT unnest(range(1, 8)) AS mask)")
 def _(spark, d):
-    return spark.createDataFrame(list(enumerate(combos.combo_names(), 1)), "mask int, combo string")
+    """What is to be made: each image in each combination."""
+    names = F.posexplode(F.array(*map(F.lit, combos.combo_names()))).alias("at", "combo")
+    planned = model.dims(raw(spark, d)).select("image_id", (F.col("height") * F.col("width")).alias("area"), names)
+    return planned.select("image_id", (F.col("at") + 1).alias("mask"), "combo", "area")
 
 
 @query("combo_union", "SELECT combo, image_id, count(*) AS n, round(avg(v), 6) AS mean, round(max(v), 6) AS hi FROM allparts GROUP BY ALL")
@@ -725,6 +731,64 @@ def _(spark, d):
     return _library_files(spark, d)[1].select("star_id", "dy", "dx", "c", *r6("rgb", "alpha"))
 
 
+@query("manifest_files", "SELECT image_id, crop_index, y, x, flip_h, flip_v, rot_k FROM crops")
+def _(spark, d):
+    files.manifest_json(manifest(*written(spark, d)), P, SEED).write.text(folder := new_path(spark, "manifest"))
+    return files.read_manifest(spark, folder)
+
+
+@query("frame_listing", "SELECT image_id, CASE WHEN image_id IN ('0', '1', '2') THEN 'fits' ELSE 'npy' END AS suffix, CASE WHEN image_id IN ('0', '1', '2') THEN 0 ELSE 1 END AS place FROM dims WHERE image_id <> '9'")
+def _(spark, d):
+    """Two folders with files of two kinds, one listing after the other."""
+    made = materialize(model.frames_from_pixels(raw(spark, d)), "made")
+    first = F.col("image_id").isin("0", "1", "2")
+    folder = new_path(spark, "files")
+    files.write_frames(made.where(first), f"{folder}/a", "fits")
+    files.write_frames(made.where(~first & (F.col("image_id") != "9")), f"{folder}/b", "npy")
+    return files.listings(spark, (f"{folder}/a", "fits"), (f"{folder}/b", "npy")).select("image_id", "suffix", "place")
+
+
+@query("required_keys", "SELECT event_id, CASE WHEN json_valid(props) THEN array_to_string(list_filter(['k', 'loss', 'step'], lambda x: NOT list_contains(json_keys(props), x)), ',') END AS missing FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(files.keys_missing(F.col("props"), ["k", "loss", "step"]), ",").alias("missing"))
+
+
+@query("preview_indices", "SELECT i, page_id FROM (SELECT DISTINCT user_id * 37 AS i FROM events) JOIN (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k, count(*) OVER () AS n FROM pages) ON i % n = k")
+def _(spark, d):
+    asked = events(spark, d).select((F.col("user_id") * 37).alias("i")).distinct()
+    return splits.wrapped(table(spark, d, "pages").select("page_id"), asked, "page_id")
+
+
+@query("star_pool", f"SELECT star_id, h, w FROM starlist ORDER BY {_key('pool', 'star_id')}, star_id LIMIT 7")
+def _(spark, d):
+    """A draw without replacement."""
+    return inject.pool(library(*written(spark, d))[0], 7, SEED)
+
+
+@query("widest_star", "SELECT source, max(greatest(h, w) / 2) AS radius, count(*) AS n FROM starlist GROUP BY source")
+def _(spark, d):
+    return library(*written(spark, d))[0].groupBy("source").agg(F.max(F.greatest("h", "w") / 2).alias("radius"), F.count("*").alias("n"))
+
+
+@query("open_pixels", "SELECT d.image_id, count(*) AS n, CAST(sum(m.y * 3 + m.x) AS BIGINT) AS placed FROM dims d JOIN mask m USING (image_id) WHERE d.image_id IN ('1', '4', '7') OR m.valid OR NOT EXISTS (SELECT 1 FROM mask o WHERE o.image_id = d.image_id AND o.valid) GROUP BY d.image_id")
+def _(spark, d):
+    """Where stars may go: two masks without a valid pixel and an image without a mask are open throughout."""
+    frame, where = written(spark, d)
+    part = where.where("image_id <> '7'").withColumn("valid", F.col("valid") & ~F.col("image_id").isin("1", "4"))
+    place = (F.col("y") * 3 + F.col("x")).cast("long")
+    return inject.valid_pixels(model.dims(frame), part).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(place).alias("placed"))
+
+
+@query("grey_and_rgba", "SELECT image_id, y, x, c, round(CASE WHEN CAST(image_id AS INTEGER) % 2 = 0 THEN g ELSE v END, 6) AS v FROM pixels JOIN (SELECT image_id, y, x, v AS g FROM pixels WHERE c = 0) USING (image_id, y, x)")
+def _(spark, d):
+    """Frames of one channel get three, of frames with four the last goes: even images lose all but the first channel, odd
+    ones get a fourth."""
+    rows, even = materialize(raw(spark, d), "raw"), F.col("image_id").cast("int") % 2 == 0
+    fourth = rows.where(~even & (F.col("c") == 2)).withColumn("c", F.lit(3))
+    made = rows.where(~even | (F.col("c") == 0)).unionByName(fourth)
+    return model.pixels_from_frames(_through(spark, model.frames_from_pixels(made), "npy")).select("image_id", "y", "x", "c", *r6("v"))
+
+
 # previews -----------------------------------------------------------------------------------------------------------
 SMALL = 16
 block("greyed", "SELECT g.image_id, g.y, g.x, g.v, m.valid FROM green g JOIN mask m USING (image_id, y, x)")
@@ -886,9 +950,11 @@ block("schedule", "SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS a
 block("schedule2", "SELECT *, lag(alpha_bar, 1, 1.0) OVER (ORDER BY t) AS alpha_bar_prev FROM schedule")
 
 
-@query("noise_schedule", f"SELECT t, {s6('beta', 'alpha_bar', 'alpha_bar_prev')}, round(beta * (1 - alpha_bar_prev) / (1 - alpha_bar), 6) AS posterior_variance FROM schedule2")
+@query("noise_schedule", f"SELECT event_id, t, {s6('beta', 'alpha_bar', 'alpha_bar_prev')}, round(beta * (1 - alpha_bar_prev) / (1 - alpha_bar), 6) AS posterior_variance FROM (SELECT event_id, CAST({_key('step', 'event_id')} % 200 AS INTEGER) AS t FROM events) JOIN schedule2 USING (t)")
 def _(spark, d):
-    return metrics.noise_schedule(spark).select("t", *r6("beta", "alpha_bar", "alpha_bar_prev", "posterior_variance"))
+    """Training steps (events) with the step of the diffusion that each draws."""
+    drawn = events(spark, d).select("event_id", rng.choice(rng.key(SEED, "step", "event_id"), F.lit(200)).cast("int").alias("t"))
+    return drawn.join(metrics.noise_schedule(spark), "t").select("event_id", "t", *r6("beta", "alpha_bar", "alpha_bar_prev", "posterior_variance"))
 
 
 @query("forward_noise", "SELECT image_id, y, x, c, round(sqrt(alpha_bar) * (2 * v - 1) + sqrt(1 - alpha_bar) * (v - 0.5), 6) AS noisy, round(sqrt(alpha_bar) * (v - 0.5) - sqrt(1 - alpha_bar) * (2 * v - 1), 6) AS v_target FROM stretched JOIN schedule ON t = (y * 7 + x * 3 + c) % 200")

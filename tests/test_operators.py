@@ -341,6 +341,17 @@ def test_ema_folds_like_its_closed_form(spark):
     assert math.isclose(folded["a", 19], last["a"]) and folded["b", 0] == last["b"] == 3.0
 
 
+@pytest.mark.parametrize("beta", [0.999, 0.5, 0.01])
+def test_ema_of_a_long_run_equals_the_recursion(spark, beta):
+    values = np.random.default_rng(8).standard_normal(3000)
+    df = spark.createDataFrame([("a", t * 3, float(v)) for t, v in enumerate(values)], "run string, t int, v double").repartition(4)
+    got = {r.t // 3: r.ema for r in metrics.ema(df, ["run"], "t", "v", beta).collect()}
+    e = values[0]
+    for t, v in enumerate(values):
+        e = v if t == 0 else beta * e + (1 - beta) * v
+        assert math.isclose(got[t], e, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_exact_split_is_exact(spark):
     out = splits.exact_split(spark.range(1003), "id", 0.15).groupBy("role").count().collect()
     assert {r.role: r["count"] for r in out} == {"val": 150, "train": 853}
