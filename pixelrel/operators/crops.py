@@ -43,8 +43,8 @@ def augmented(crops: DataFrame, seed: int) -> DataFrame:
 
 
 def crop_manifest(reference: DataFrame, mask: DataFrame, p: int = PATCH, crops: int = CROPS, seed: int = SEED, retries: int = RETRIES, inclusive_edge: bool = False) -> DataFrame:
-    """Crops of each image that has both a mask and a reference; the gate looks at the reference."""
-    pool = candidates(mask, p, inclusive_edge)
+    """Crops of each image that has both a mask and a reference of one shape; the gate looks at the reference."""
+    pool = candidates(mask.join(same_shape(dims(mask), dims(reference)), "image_id", "left_semi"), p, inclusive_edge)
     tries = attempts(pool.select("image_id").distinct(), crops, retries)
     return augmented(first_good(tries, pool, patch_stats(reference, p), seed), seed)
 

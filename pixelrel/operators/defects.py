@@ -64,9 +64,11 @@ def difference(a: DataFrame, b: DataFrame, eps: float = EPS) -> DataFrame:
 
 def transplant(composite: DataFrame, original: DataFrame, corrected: DataFrame, mode: str = "replace", eps: float = EPS) -> DataFrame:
     """Puts the original's defects onto a composite, all channels of a differing pixel. replace takes the original's value;
-    additive adds original - corrected, unclipped."""
+    additive adds original - corrected, unclipped. Images whose three frames aren't of one shape are left out."""
     keys = [*AT, "c"]
-    base = composite.select(*keys, "v").join(original.select(*keys, F.col("v").alias("o")), keys).join(corrected.select(*keys, F.col("v").alias("k")), keys)
+    shape = ["image_id", "height", "width"]
+    alike = dims(composite).join(dims(original), shape).join(dims(corrected), shape).select("image_id")
+    base = composite.join(alike, "image_id", "left_semi").select(*keys, "v").join(original.select(*keys, F.col("v").alias("o")), keys).join(corrected.select(*keys, F.col("v").alias("k")), keys)
     bad = difference(original, corrected, eps).withColumn("bad", F.lit(True))
     value = F.col("o") if mode == "replace" else F.col("v") + F.col("o") - F.col("k")
     return base.join(bad, AT, "left").select(*keys, F.when(F.col("bad"), value).otherwise(F.col("v")).alias("v"))

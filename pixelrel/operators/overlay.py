@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel
-from ..model import dims
+from ..model import dims, frames_from_pixels
 from .quantiles import quantiles
 
 LOW, HIGH, MAX_SIZE, CHANNEL = 0.01, 0.995, 1024, 1
@@ -40,3 +40,11 @@ def preview(pixels: DataFrame, mask: DataFrame, max_size: int = MAX_SIZE, channe
     made = cells.groupBy("image_id", "ty", "tx").agg(F.floor(F.avg("level") + 0.5).cast("int").alias("level"), F.bool_or("seen").alias("seen"))
     shade = [F.when(F.col("seen"), F.col("level")).otherwise(F.lit(c)).alias(name) for name, c in zip(("red", "green", "blue"), RED)]
     return made.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *shade)
+
+
+def preview_frames(made: DataFrame) -> DataFrame:
+    """A preview as FRAMES of 0 to 1, to be written as PNG; a preview is small, so each meets in one task."""
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).alias("level")) for i, n in enumerate(("red", "green", "blue"))]))
+    flat = made.select(*AT, at.alias("s"))
+    # a half above the level, so that truncating to 8 bits gives the level again
+    return frames_from_pixels(flat.select(*AT, "s.c", ((F.col("s.level") + 0.5) / 255).alias("v")))

@@ -804,6 +804,14 @@ def _(spark, d):
     return overlay.preview(raw(spark, d), valid(spark, d), SMALL)
 
 
+@query("preview_files", "SELECT image_id, ty AS y, tx AS x, CASE WHEN seen THEN level ELSE 220 END AS red, CASE WHEN seen THEN level ELSE 50 END AS green, CASE WHEN seen THEN level ELSE 50 END AS blue FROM smallpix")
+def _(spark, d):
+    made = overlay.preview_frames(overlay.preview(raw(spark, d), valid(spark, d), SMALL))
+    back = model.pixels_from_frames(_through(spark, made, "png", "u8"))
+    level = lambda c: F.max(F.when(F.col("c") == c, F.rint(F.col("v") * 255).cast("int")))
+    return back.groupBy("image_id", "y", "x").agg(level(0).alias("red"), level(1).alias("green"), level(2).alias("blue"))
+
+
 # splits and set operations ------------------------------------------------------------------------------------------
 block("docsplit", f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_key('split', 'doc_id')}, doc_id) <= floor(count(*) OVER () * 0.1) THEN 'val' ELSE 'train' END AS role FROM documents")
 
@@ -981,6 +989,11 @@ def _(spark, d):
     return pretext.chains(raw(spark, d).select("image_id").distinct(), SEED)
 
 
+@query("signed_unit", "SELECT image_id, y, x, c, round(greatest(0, least(1, (3 * v - 1.5 + 1) / 2)), 6) AS v FROM stretched")
+def _(spark, d):
+    return stretched(spark, d).select("image_id", "y", "x", "c", F.round(pixel.from_signed_unit(F.col("v") * 3 - 1.5), 6).alias("v"))
+
+
 # merging: labels as tasks ------------------------------------------------------------------------------------
 block("tasks", "SELECT image_id AS task, y AS param, x * 3 + c AS idx, v AS value FROM pixels")
 block("trimmed", "SELECT t.* FROM tasks t JOIN (SELECT task, quantile_cont(abs(value), 0.8) AS cut FROM tasks GROUP BY task) USING (task) WHERE abs(value) >= cut")

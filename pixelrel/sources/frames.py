@@ -1,9 +1,9 @@
 """A Spark data source for image files: spark.read.format("frames") and df.write.format("frames"), one frame a file.
 
-Options of both: path, kind (npy, fits or tiff). Reading also takes mode (PERMISSIVE puts the reason into the reject
+Options of both: path, kind (npy, fits, tiff or png). Reading also takes mode (PERMISSIVE puts the reason into the reject
 column, DROPMALFORMED leaves the file out, FAILFAST raises), allowFloat (unscaled float TIFFs) and maxPartitionBytes.
 Files are sorted by path and dealt into partitions by size. Writing also takes values: float, trunc16 or rint16 (16 bits,
-truncated or rounded half to even), mask (0 or 255) or bool. Tasks write into a staging folder of the run; the commit
+truncated or rounded half to even), mask (0 or 255), u8 (truncated, a preview) or bool. Tasks write into a staging folder of the run; the commit
 moves the files of the attempts that counted, an abort deletes the folder, so a task that runs twice leaves one file.
 The formats don't say which axis is which: an array whose first axis is 1, 3 or 4 long is read as channels first.
 """
@@ -24,7 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..model import FRAMES
 from . import codecs
 
-SUFFIXES = {"fits": (".fits", ".fit", ".FITS"), "npy": (".npy",), "tiff": (".tif", ".tiff")}
+SUFFIXES = {"fits": (".fits", ".fit", ".FITS"), "npy": (".npy",), "tiff": (".tif", ".tiff"), "png": (".png",)}
+VALUES = {"fits": ("float",), "npy": ("float", "bool"), "tiff": ("trunc16", "rint16", "mask"), "png": ("u8",)}
 SCHEMA = f"{FRAMES}, reject string, path string"
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 PARTITION_BYTES = 128 << 20
@@ -36,6 +37,7 @@ def decoder(kind: str, allow_float: bool = False) -> Callable[[bytes], np.ndarra
         "fits": lambda b: codecs.channels_last(codecs.read_fits(b)),
         "npy": lambda b: codecs.to_hwc(codecs.read_npy(b)),
         "tiff": lambda b: codecs.to_hwc(codecs.read_tiff(b, allow_float)),
+        "png": codecs.read_png,
     }[kind]
 
 
@@ -45,6 +47,8 @@ def encoded(image: np.ndarray, kind: str, values: str) -> bytes:
         image = (np.clip(wide * 65535, 0, 65535) if values == "trunc16" else np.rint(np.clip(wide, 0, 1) * 65535)).astype(np.uint16)
     elif values == "mask":
         image = np.where(image > 0, 255, 0).astype(np.uint8)
+    elif values == "u8":
+        return codecs.write_png(np.clip(image.astype(float) * 255, 0, 255).astype(np.uint8))
     elif values == "bool":
         image = (image > 0)[..., 0] if image.shape[-1] == 1 else image > 0
     if kind == "fits":
@@ -107,8 +111,8 @@ class FrameWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.kind = options["path"], options.get("kind", "npy")
         self.values, self.overwrite = options.get("values", "float"), overwrite
-        if self.kind not in SUFFIXES or self.values not in ("float", "trunc16", "rint16", "mask", "bool") or (self.kind == "tiff") != (self.values in ("trunc16", "rint16", "mask")):
-            raise ValueError("npy and fits take the values float or bool, tiff trunc16, rint16 or mask")
+        if self.values not in VALUES.get(self.kind, ()):
+            raise ValueError(f"kinds and their values: {VALUES}")
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:

@@ -70,6 +70,69 @@ def test_float_tiff_only_if_allowed(spark, tmp_path):
     assert np.allclose(files.read_frames(spark, str(tmp_path), "tiff", allowFloat="true").first().data, image.ravel())
 
 
+def packed_tiff(image, how, predictor=1):
+    """The plain TIFF of an image with its strip packed by another writer than the library's."""
+    import zlib
+
+    plain, wide = codecs.write_tiff(image), image.astype(image.dtype.newbyteorder("<"))
+    diff = np.diff(wide, axis=1, prepend=np.zeros_like(wide[:, :1])).astype(wide.dtype) if predictor == 2 else wide
+    raw = diff.tobytes()
+    if how == 8:
+        body = zlib.compress(raw)
+    elif how == 1:
+        body = raw
+    elif how == 32773:
+        body = b"".join(bytes([0, b]) for b in raw)
+    else:
+        table, codes, word = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+        n = 258
+        width = lambda n: 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        for b in raw:
+            if word + bytes([b]) in table:
+                word += bytes([b])
+                continue
+            codes.append((table[word], width(n)))
+            table[word + bytes([b])] = n
+            n, word = n + 1, bytes([b])
+            if n == 4094:
+                codes.append((256, 12))
+                table, n = {bytes([i]): i for i in range(256)}, 258
+        codes += [(table[word], width(n)), (257, width(n + 1))]
+        bits = "".join(format(c, f"0{w}b") for c, w in codes)
+        body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    count = int.from_bytes(plain[8:10], "little")
+    entries = [plain[10 + 12 * i : 22 + 12 * i] for i in range(count)] + [(317).to_bytes(2, "little") + b"\x03\x00\x01\x00\x00\x00" + predictor.to_bytes(4, "little")]
+    rest = 8 + 2 + 12 * len(entries) + 4
+    bits_at, strip = rest, rest + 8
+    value = {259: how, 273: strip, 279: len(body)} | ({258: bits_at} if image.shape[-1] > 2 else {})
+    entries = [e[:8] + value[t].to_bytes(4, "little") if (t := int.from_bytes(e[:2], "little")) in value else e for e in entries]
+    depth = (image.dtype.itemsize * 8).to_bytes(2, "little") * 3
+    return plain[:8] + len(entries).to_bytes(2, "little") + b"".join(entries) + bytes(4) + depth.ljust(8, b"\0") + body
+
+
+@pytest.mark.parametrize("how,predictor", [(1, 1), (1, 2), (8, 1), (8, 2), (32773, 1), (5, 1), (5, 2)])
+def test_packed_tiffs(how, predictor):
+    own = np.random.default_rng(9)
+    smooth = np.cumsum(own.integers(0, 3, (40, 50, 3)), axis=1)
+    for image in (smooth.astype(np.uint16) * 37, (smooth % 256).astype(np.uint8), own.integers(0, 65536, (30, 40, 3)).astype(np.uint16)):
+        data = packed_tiff(image, how, predictor)
+        assert (np.rint(codecs.read_tiff(data) * float(np.iinfo(image.dtype).max)) == image).all()
+    with pytest.raises(ValueError):
+        codecs.read_tiff(packed_tiff(image, 8)[:-40])
+
+
+def test_packbits_runs():
+    assert codecs._packbits(bytes([254, 7, 128, 2, 1, 2, 3, 129, 9])) == bytes([7] * 3 + [1, 2, 3] + [9] * 128)
+
+
+def test_png_round_trip():
+    for c in (1, 3):
+        image = np.random.default_rng(c).integers(0, 256, (5, 7, c)).astype(np.uint8)
+        assert (np.rint(codecs.read_png(codecs.write_png(image)) * 255) == image).all()
+    with pytest.raises(ValueError):
+        codecs.read_png(b"no")
+
+
 def test_commit_overwrite_and_abort(spark, tmp_path):
     one, two = frame_rows(spark, {"a": np.ones((1, 1, 3))}), frame_rows(spark, {"b": np.zeros((1, 1, 3))})
     out = f"file://{tmp_path}/out"
