@@ -1,11 +1,12 @@
-"""Main-text extraction: parser events, text-to-tag ratio per block, Gaussian smoothing, threshold clustering.
+"""Main-text extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events; each block-level boundary ends a line, whose ratio is its characters
-over its tags. Lines inside boilerplate containers (by element, role or being a comment section) have ratio zero. Class
-and id words only make a container doubtful: its lines go if enough of the page's text stands outside of it, so a
-wrapper named after a part of the page ("has-sidebar") loses nothing.
-Ratios are smoothed, and regions (an article or main element; else runs of neighbouring lines) whose smoothed peak
-reaches the threshold are content. A region is kept whole, short paragraphs included.
+outside of links over its tags. Lines in containers that hold no article text by element or role, and reader comments,
+are out. All else is a prior, a factor on the ratio: class and id words make a container doubtful, an article or main
+element makes what stands outside of it unlikely, as long as it holds a fair share of the page's text.
+Ratios are smoothed inside of their container. What is content then is up to the threshold: an article, or a run of
+neighbouring lines of one container, is one if its smoothed peak reaches it, and a cluster of lines that are nothing but
+links leaves it where the ratio falls below. A region is kept whole otherwise, short paragraphs included.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS, THRESHOLD, CHUNK = 1.0, 3, 0.5, 200
+#: Factors on ratios: for each doubtful container around a line, and outside of the article. The share of a page's text that
+#: articles hold for that, and the share of the largest article that another one has to hold.
+DOUBTFUL, OUTSIDE, ENOUGH, ANOTHER = 0.02, 0.02, 0.25, 0.1
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 # fixed values: element names of HTML
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -28,8 +33,6 @@ HIDDEN = frozenset("aside button canvas datalist dialog footer form head iframe
 MAIN = frozenset(("article", "main"))
 #: Elements that the next of their kind, or the end of their parent, closes.
 LOOSE = frozenset("dd dt li option p td th tr".split())
-#: The share of the page's ratios that text must have for text inside of more doubtful containers to go.
-ENOUGH = 0.25
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|"
     r"nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|signup|"
@@ -38,20 +41,32 @@ _BOILERPLATE = re.compile(
 _COMMENTS = re.compile(r"(?:^|\s|(?<!has)(?<!with)(?<!no)(?<!without)[_-])(?:comments?|disqus|replies)(?=$|[\s_-])", re.I)
 #: Words that inside an article name its own head.
 _HEAD = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
+#: A line that closes a page.
+_RIGHTS = re.compile(r"(?:\u00a9|\(c\)|copyright\b)", re.I)
 #: A tag that the end of the page cuts off.
 _UNFINISHED = re.compile(r"<[/!?A-Za-z][^<>]*$")
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside of links
+    region: int | None  # None: not article text; 0: in no article; n: in the n-th article or main
+    doubts: int  # doubtful containers around it
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, region (None: boilerplate, 0: no article, n: the n-th article), doubtful containers around."""
+    """The lines of a page in order. An article in a main element is a region of its own, one in an article isn't."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int | None, int]] = []
-        self.lines: list[tuple[str, int, int | None, int]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = self.mains = 0
+        self.regions: list[tuple[str, int]] = [("", 0)]  # element, and the region around it
+        self.tags = self.linked = 0
+        self.in_link = False
 
     @property
     def region(self) -> int | None:
@@ -63,14 +78,17 @@ class Lines(HTMLParser):
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.lines.append((text, self.tags, self.region, self.doubts))
+            self.lines.append(Line(text, self.tags, self.linked, self.region, self.doubts))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
+            self.in_link = False
         self.tags += 1
+        if tag == "a":
+            self.in_link = True
         if tag in VOID:
             return
         if tag in LOOSE and self.stack and self.stack[-1][0] == tag:
@@ -85,9 +103,9 @@ class Lines(HTMLParser):
                 doubts += 1
         if tag in HIDDEN or tag == "header" and region == 0:
             region = None
-        elif tag in MAIN and region == 0:
-            self.mains += 1
-            region = self.mains
+        elif tag in MAIN and region is not None and (region == 0 or tag == "article" and self.regions[region][0] == "main"):
+            self.regions.append((tag, region))
+            region = len(self.regions) - 1
         if tag in BLOCKS or tag in HIDDEN or (region, doubts) != (self.region, self.doubts):
             self.stack.append((tag, region, doubts))
 
@@ -99,6 +117,9 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
+            self.in_link = False
+        elif tag == "a":
+            self.in_link = False
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -109,10 +130,46 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.in_link:
+            self.linked += sum(map(len, data.split()))
+
+
+def _likely(page: Lines) -> set[int]:
+    """The regions that should hold the article: articles in main elements, else mains, else articles; none, if they hold
+    too little of the page's text."""
+    mass = [0] * len(page.regions)
+    for line in page.lines:
+        if line.region is not None and not line.doubts:
+            mass[line.region] += max(0, len(line.text) - line.linked)
+    kinds = [[i for i, (tag, around) in enumerate(page.regions) if i and mass[i] and (tag, around > 0) == kind] for kind in (("article", True), ("main", False), ("article", False))]
+    for found in kinds:
+        if found and sum(mass[i] for i in found) >= ENOUGH * sum(mass):
+            return {i for i in found if mass[i] >= ANOTHER * max(mass[i] for i in found)}
+    return set()
+
+
+def scores(page: Lines) -> tuple[np.ndarray, list[list[int]]]:
+    """The smoothed ratio of each line times its priors, and the groups: lines of one article, or neighbours, in one container."""
+    lines, likely = page.lines, _likely(page)
+    ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) if x.region is not None else 0.0 for x in lines])
+    if not ratio.any():  # nothing but links
+        ratio = np.array([len(x.text) / max(1, x.tags) if x.region is not None else 0.0 for x in lines])
+    prior = np.array([DOUBTFUL**x.doubts * (1.0 if not likely or x.region in likely else OUTSIDE) for x in lines])
+    names = [(x.region, x.doubts) for x in lines]
+    run = np.cumsum([0, *(a != b for a, b in zip(names, names[1:]))])
+    groups: dict[tuple, list[int]] = {}
+    for i, (x, r) in enumerate(zip(lines, run)):
+        if x.region is not None:
+            groups.setdefault((x.region, x.doubts) if x.region else (0, int(r)), []).append(i)
+    smooth = np.zeros(len(lines))
+    for at in groups.values():
+        weight = np.convolve(np.ones(len(at)), _KERNEL)[RADIUS:-RADIUS]
+        smooth[at] = np.convolve((ratio * prior)[at], _KERNEL)[RADIUS:-RADIUS] / weight
+    return smooth, list(groups.values())
 
 
 def main_text(html: str | None) -> str:
-    """The kept blocks in page order, joined by one space; empty for null or empty pages and pages without content."""
+    """The kept lines in page order, joined by one space; empty for null or empty pages and pages without content."""
     page = Lines()
     page.feed(_UNFINISHED.sub("", html or ""))
     page.close()
@@ -120,30 +177,26 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    region = [r if r is not None and (r or not page.mains) else None for _, _, r, _ in lines]
-    if all(r is None for r in region):  # an empty article: what stands outside of it
-        region = [r for _, _, r, _ in lines]
-    plain = np.array([len(t) / max(1, tags) if r is not None else 0.0 for (t, tags, _, _), r in zip(lines, region)])
-    doubts = np.array([d for *_, d in lines])
-    most = min((d for d in set(doubts.tolist()) if plain[doubts <= d].sum() >= ENOUGH * plain.sum()), default=0)
-    region = [r if d <= most else None for r, d in zip(region, doubts)]
-    ratio = np.where(doubts <= most, plain, 0.0)
-    weight = np.convolve(np.ones(len(ratio)), _KERNEL)[RADIUS:-RADIUS]
-    smooth = np.convolve(ratio, _KERNEL)[RADIUS:-RADIUS] / weight
+    smooth, groups = scores(page)
     least = THRESHOLD * smooth.std() if len(smooth) > 1 else 0.0
-    # an article is one region whatever stands in between; outside of articles, runs of neighbouring lines are
-    runs = np.cumsum([0, *(a != b for a, b in zip(region, region[1:]))])
-    names = [(r, 0 if r else int(run)) for r, run in zip(region, runs)]
-    peak: dict[tuple, float] = {}
-    for name, s in zip(names, smooth):
-        peak[name] = max(peak.get(name, 0.0), float(s))
-    keep = np.array([r is not None and peak[name] >= least for r, name in zip(region, names)])
-    for run in set(runs[[r == 0 for r in region]].tolist()):  # a run outside of articles: from its first to its last line of content
-        at = np.flatnonzero(runs == run)
-        content = at[smooth[at] >= least]
-        if len(content):
-            keep[at] = (at >= content[0]) & (at <= content[-1])
-    return " ".join(t for (t, *_), k in zip(lines, keep) if k)
+    only_link = [x.linked > 0 and x.linked >= sum(map(len, x.text.split())) for x in lines]
+    keep = np.zeros(len(lines), bool)
+    for at in groups:
+        if smooth[at].max() < least:
+            continue
+        if not lines[at[0]].region:  # a run outside of articles: from its first to its last line of content
+            content = [i for i in at if smooth[i] >= least and not only_link[i] and not _RIGHTS.match(lines[i].text)] or [i for i in at if smooth[i] >= least]
+            at = [i for i in at if content[0] <= i <= content[-1]]
+        keep[at] = True
+        start = 0
+        while start < len(at):  # clusters of links
+            end = start
+            while end < len(at) and only_link[at[end]] and at[end] == at[start] + end - start:
+                end += 1
+            if end > start and smooth[at[start:end]].min() < least:
+                keep[at[start:end]] = False
+            start = max(end, start + 1)
+    return " ".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
