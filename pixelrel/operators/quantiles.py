@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets for each doubling of a value, and a number above all bucket numbers of finite values.
-PER_OCTAVE, TOP = 4_096, 1 << 24
+#: Buckets for each doubling of a value (each holds no more than 2 ** 17 different single-precision values), and a number
+#: above all bucket numbers of finite values.
+PER_OCTAVE, TOP = 64, 1 << 18
 
 
 def bucket(v: Column) -> Column:
@@ -34,12 +35,11 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, shares: Sequenc
     at = lambda share: F.col("_last") * F.lit(float(share))
     ranks = [F.struct(F.lit(i).alias("i"), (F.floor(at(s)) + up).alias("rank"), (at(s) - F.floor(at(s))).alias("part"), F.lit(up).alias("up")) for i, s in enumerate(shares) for up in (0, 1)]
     here = lambda r: (r["rank"] < F.col("_to")) & (r["rank"] >= F.col("_to") - F.col("_n")) & ((r["up"] == 0) | (r["part"] > 0))
-    asked = placed.select(*by, "_b", (F.col("_to") - F.col("_n")).alias("_from"), F.explode(F.filter(F.array(*ranks), here)).alias("_r"))
-    within = keyed.join(asked.select(*by, "_b").distinct(), [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.count("*").alias("_n"))
+    asked = placed.select(*by, "_b", (F.col("_to") - F.col("_n")).alias("_from"), F.filter(F.array(*ranks), here).alias("_r")).where(F.size("_r") > 0)
+    within = keyed.join(asked, [*by, "_b"]).groupBy(*by, "_b", "_v").agg(F.count("*").alias("_n"), F.first("_from").alias("_from"), F.first("_r").alias("_r"))
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = within.withColumn("_end", F.sum("_n").over(inside))
-    rank = F.col("_r.rank") - F.col("_from")
-    hits = asked.join(ranked, [*by, "_b"]).where((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")))
+    ended = within.withColumn("_end", F.sum("_n").over(inside) + F.col("_from"))
+    hits = ended.select(*by, "_v", F.explode(F.filter("_r", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_n")))).alias("_r"))
     each = [F.min(F.when(F.col("_r.i") == i, F.struct(F.col("_r.rank").alias("rank"), F.col("_v").alias("v"), F.col("_r.part").alias("part")))).alias(f"_lo{i}") for i in range(len(shares))]
     each += [F.max(F.when(F.col("_r.i") == i, F.struct(F.col("_r.rank").alias("rank"), F.col("_v").alias("v")))).alias(f"_hi{i}") for i in range(len(shares))]
     between = [F.when(F.col(f"_lo{i}.v") == F.col(f"_hi{i}.v"), F.col(f"_lo{i}.v")).otherwise(F.col(f"_lo{i}.v") + (F.col(f"_hi{i}.v") - F.col(f"_lo{i}.v")) * F.col(f"_lo{i}.part")) for i in range(len(shares))]

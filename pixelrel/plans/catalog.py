@@ -90,7 +90,8 @@ def valid(spark: SparkSession, d: str) -> DataFrame:
 
 def written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The stretched frames and their masks as tables, for queries that read them more than once."""
-    return materialize(stretched(spark, d), "frames"), materialize(valid(spark, d), "masks")
+    rows = materialize(raw(spark, d), "raw")
+    return materialize(stretch.stretch(rows), "frames"), materialize(mask.validity_mask(rows, THRESHOLD), "masks")
 
 
 block("vectors", "SELECT CAST(label AS VARCHAR) AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS y, embedding FROM embeddings")
