@@ -56,9 +56,13 @@ def _rounded(size: str, factor: float) -> Column:
     return F.greatest(F.lit(1), F.rint(F.col(size) * factor).cast("int"))
 
 
+def shrunk(size: DataFrame, scale: int = SCALE) -> DataFrame:
+    """Adds new_height and new_width, a scale-th of (image_id, height, width)."""
+    return size.withColumn("new_height", _rounded("height", 1.0 / scale)).withColumn("new_width", _rounded("width", 1.0 / scale))
+
+
 def zoom_down(pixels: DataFrame, scale: int = SCALE) -> DataFrame:
-    sizes = dims(pixels).select("image_id", "height", "width", _rounded("height", 1.0 / scale).alias("new_height"), _rounded("width", 1.0 / scale).alias("new_width"))
-    return resize(pixels, sizes).withColumn("v", pixel.clip(F.col("v")))
+    return resize(pixels, shrunk(dims(pixels), scale)).withColumn("v", pixel.clip(F.col("v")))
 
 
 def zoom_to(pixels: DataFrame, target: DataFrame) -> DataFrame:
@@ -67,14 +71,19 @@ def zoom_to(pixels: DataFrame, target: DataFrame) -> DataFrame:
     return resize(pixels, dims(pixels).join(to, "image_id")).withColumn("v", pixel.clip(F.col("v")))
 
 
-def match_shape(pixels: DataFrame, target: DataFrame) -> DataFrame:
-    """Cut or zero-padded at the bottom and right to target's (image_id, height, width), channels as they are."""
+def match_shape(pixels: DataFrame, target: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """Cut or zero-padded at the bottom and right to target's (image_id, height, width), channels as they are; channels
+    (image_id, c) tells them without reading pixels twice."""
     grid = target.select("image_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), "width").select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    full = grid.join(pixels.select("image_id", "c").distinct(), "image_id")
+    full = grid.join((pixels if channels is None else channels).select("image_id", "c").distinct(), "image_id")
     keys = ["image_id", "y", "x", "c"]
     return full.join(pixels.select(*keys, "v"), keys, "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def degrade(pixels: DataFrame, scale: int = SCALE, sigma: float = BLUR) -> DataFrame:
+    """Blurred, made smaller and as large as before again. All sizes come from the input's, so nothing is made twice."""
     size = dims(pixels)
-    return match_shape(zoom_to(zoom_down(gaussian(pixels, sigma), scale), size), size)
+    small = shrunk(size, scale)
+    back = small.select("image_id", F.col("new_height").alias("height"), F.col("new_width").alias("width"), F.col("height").alias("new_height"), F.col("width").alias("new_width"))
+    low = resize(gaussian(pixels, sigma), small).withColumn("v", pixel.clip(F.col("v")))
+    return match_shape(resize(low, back).withColumn("v", pixel.clip(F.col("v"))), size, pixels)

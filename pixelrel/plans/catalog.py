@@ -597,7 +597,7 @@ def _branches(spark, d) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     original, where, clean = repaired(spark, d)
     placed, cut = field(original, where)
     starred = materialize(inject.paste(clean, materialize(placed, "placed"), cut, model.dims(clean)), "starred")
-    return {k: materialize(v, k) for k, v in combos.branches(clean, starred, original, clean).items()}, clean, manifest(original, where)
+    return combos.branches(clean, starred, original, clean), clean, manifest(original, where)
 
 
 def _blur_blocks(name: str, source: str) -> None:

@@ -11,6 +11,7 @@ from ..functions import pixel
 from ..operators import crops as cropping
 from ..operators.defects import transplant
 from ..operators.degrade import degrade
+from ..storage import materialize
 
 KINDS = ("stars", "defects", "lowres")
 
@@ -27,8 +28,8 @@ def requantised(pixels: DataFrame) -> DataFrame:
 
 def branches(clean: DataFrame, starred: DataFrame, original: DataFrame, corrected: DataFrame, scale: int = 4, sigma: float = 1.5) -> dict[str, DataFrame]:
     """Name to pixels. Stars come first, then low resolution, defects always last. starred is clean with injected stars;
-    callers that run several branches should persist it and clean."""
-    low, starred_low = degrade(clean, scale, sigma), degrade(requantised(starred), scale, sigma)
+    it and clean should be tables."""
+    low, starred_low = (materialize(degrade(df, scale, sigma), "low") for df in (clean, requantised(starred)))
     defect = lambda df: transplant(df, original, corrected)
     return {
         "stars": starred, "defects": defect(clean), "stars_defects": defect(starred), "lowres": low,
@@ -42,7 +43,7 @@ def union(parts: dict[str, DataFrame]) -> DataFrame:
 
 def merged_pairs(parts: dict[str, DataFrame], clean: DataFrame, crops: DataFrame, p: int) -> DataFrame:
     """(combo, image_id, crop_index, side, y, x, c, v): every combo's input, and the clean target, on the same crops."""
-    return cropping.combined_pairs(union(parts), clean, crops, p)
+    return cropping.combined_pairs(materialize(union(parts), "combos"), clean, crops, p)
 
 
 def alignment(pairs: DataFrame) -> DataFrame:
