@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
 1. A lexicon is mined from labelled rows outside the held-out fold (at most SAMPLE of them, drawn by hash): words and
-   word beginnings that mark toxic documents.
-2. Voters: VOTERS lexicon voters (each owns a share of the terms and votes if one of them occurs) and pattern voters.
+   word beginnings that mark toxic documents by occurring, or by occurring densely (once in DENSE words or more).
+2. Voters: a lexicon voter for each of the first VOTERS roots (it votes toxic if a term of its root occurs) and as many
+   for dense terms, and pattern voters.
 3. A generative label model (EM) estimates each voter's accuracy under either class and the correlations of voters
    within a class; a voter correlated with others counts for less. The given label is one more voter.
 4. A linear classifier is trained on the posterior labels and scores every whole text; labels, lang, source and
@@ -14,6 +15,7 @@ The sample's bound makes all fitted state (LEXICON terms, voters, weights) bound
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +25,29 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample, terms kept, toxic documents a term needs, how often likelier it must be in them.
 SAMPLE, LEXICON, MIN_TOXIC, LIFT = 12_000, 512, 4, 5
-VOTERS, PREFIXES = 16, (4, 5, 6)
+VOTERS, PREFIXES = 64, (4, 5, 6)
+#: A term is dense in a text if it makes up a DENSE-th of the words or more. Its name then begins with MARK.
+DENSE, MARK = 150, "+"
 ROUNDS, RIDGE, CUT = 25, 0.1, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _BURST = re.compile(r"[!?]{2,}")
 
 
 def terms(text: str) -> set[str]:
-    """The distinct words of a whole text and, marked by a final *, their beginnings."""
-    words = set(_WORD.findall(text.lower()))
-    return words.union(w[:n] + "*" for n in PREFIXES for w in words if len(w) > n)
+    """The distinct words of a whole text and, marked by a final *, their beginnings; those that are dense twice, marked and not."""
+    words = Counter(_WORD.findall(text.lower()))
+    found = Counter(words)
+    for w, c in words.items():
+        for n in PREFIXES:
+            if len(w) > n:
+                found[w[:n] + "*"] += c
+    least = words.total() / DENSE
+    return {*found, *(MARK + t for t, c in found.items() if c >= least)}
+
+
+def root(term: str) -> str:
+    """What terms of one voter share: the first letters, and whether they are dense."""
+    return term[: PREFIXES[0] + (term[0] == MARK)]
 
 
 def patterns(text: str) -> list[bool]:
@@ -120,18 +135,23 @@ class Model:
     def __init__(self, lexicon: list[str], weights: np.ndarray, voters: dict | None = None):
         self.weight = dict(zip(lexicon, weights[: len(lexicon)].tolist()))
         self.pattern, self.intercept, self.voters = weights[len(lexicon) : -1].tolist(), float(weights[-1]), voters
-        self.words = {t: w for t, w in self.weight.items() if t[-1] != "*"}
-        self.starts = {n: {t[:-1]: w for t, w in self.weight.items() if t[-1] == "*" and len(t) == n + 1} for n in PREFIXES}
+        known = {t.removeprefix(MARK) for t in self.weight}
+        #: (weight of a term that occurs, further weight if it is dense) by term
+        self.words = {t: (self.weight.get(t, 0.0), self.weight.get(MARK + t, 0.0)) for t in known}
+        self.starts = {n: {t[:-1] for t in known if t[-1] == "*" and len(t) == n + 1} for n in PREFIXES}
 
     def score(self, text: str) -> float:
-        hits: dict[str, float] = {}
-        for w in set(_WORD.findall(text.lower())):
+        hits: dict[str, int] = {}
+        words = Counter(_WORD.findall(text.lower()))
+        for w, c in words.items():
             if w in self.words:
-                hits[w] = self.words[w]
+                hits[w] = hits.get(w, 0) + c
             for n, known in self.starts.items():
                 if len(w) > n and w[:n] in known:
-                    hits[w[:n] + "*"] = known[w[:n]]
-        total = self.intercept + sum(hits.values()) + sum(w for w, v in zip(self.pattern, patterns(text)) if v)
+                    hits[w[:n] + "*"] = hits.get(w[:n] + "*", 0) + c
+        least = words.total() / DENSE
+        found = sum(self.words[t][0] + (self.words[t][1] if c >= least else 0.0) for t, c in hits.items())
+        total = self.intercept + found + sum(w for w, v in zip(self.pattern, patterns(text)) if v)
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
@@ -157,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     x, gold = np.zeros((len(got), len(lexicon) + PATTERNS), np.float32), np.array([r.toxic for r in got])
     for i, r in enumerate(got):
         x[i, r.hits] = 1
-    roots = {r: i for i, r in enumerate(dict.fromkeys(t[: PREFIXES[0]] for t in lexicon))}  # terms of one root share a voter
-    owner = np.array([roots[t[: PREFIXES[0]]] % VOTERS for t in lexicon])
-    votes = np.column_stack([x[:, : len(lexicon)][:, owner == k].any(axis=1) for k in range(VOTERS) if (owner == k).any()] + [x[:, len(lexicon) :]])
+    roots = list(dict.fromkeys(map(root, lexicon)))  # terms of one root share a voter
+    kept = [r for dense in (False, True) for r in [r for r in roots if (r[0] == MARK) == dense][:VOTERS]]
+    owner = np.array(list(map(root, lexicon)))
+    votes = np.column_stack([x[:, : len(lexicon)][:, owner == r].any(axis=1) for r in kept] + [x[:, len(lexicon) :]])
     post, voters = label_model(votes, gold)
     return Model(lexicon, fit_linear(x, post), voters)
 

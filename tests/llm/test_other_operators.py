@@ -114,6 +114,28 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 and 0 <= r.score <= 1 for r in none)
 
 
+def test_toxicity_of_words_that_count_only_when_dense(spark):
+    rnd = random.Random(11)
+    plain = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        words = [rnd.choice(plain) for _ in range(400)]
+        for _ in range(8 if i % 5 == 0 else rnd.randint(0, 1)):  # every clean text may have the word once
+            words[rnd.randrange(len(words))] = "mulmo" + rnd.choice(["", "rat", "sin"])
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, known)).where("held_out").collect()
+    assert len(got) > 200 and sum(r.predicted != int(r.doc_id % 5 == 0) for r in got) <= len(got) // 50
+
+
+def test_dense_terms():
+    assert toxicity.terms("") == set()
+    text = "Foobar " + "x " * (toxicity.DENSE - 1)
+    assert {"foobar", "+foobar", "foob*", "+foob*", "x", "+x"} <= toxicity.terms(text)
+    assert {"foobar", "foob*"} <= toxicity.terms(text + "x") and not {"+foobar", "+foob*"} & toxicity.terms(text + "x")
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
