@@ -5,9 +5,12 @@ squared norm, the added coordinate sqrt(M - |x|^2) turns the largest inner produ
 distance, so the triangle inequality holds: an entry at distance r from its nearest pivot lies no nearer to query q
 than |d(q, pivot) - r|. Entries are keyed by (pivot, distance ring); rings are cut to BLOCK rows.
 
-Search is in two steps over all blocks: the nearest annuli of each query give a lower bound of its k-th score, then
-the query goes to every annulus whose triangle bound reaches that score. Queries travel in packs, so the rows that
-are shuffled are packs times annuli, and a task scores one block against one pack.
+The directory has a row an annulus, PIVOTS x (RINGS + 1) at most, and only that reaches the driver and the tasks; an
+annulus of many entries is dealt by hash into blocks of about BLOCK, which are numbered and need no rows of their own.
+
+Search is in two steps: a block of each of the nearest annuli gives a lower bound of a query's k-th score, then the
+query goes to every block of every annulus whose triangle bound reaches that score. Queries travel in packs, so the rows
+that are shuffled are packs times blocks, and a task scores one block against one pack.
 """
 
 from __future__ import annotations
@@ -97,10 +100,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots, p2 = (p := _pivots(rows)), (p * p).sum(axis=1)
     index = materialize(build_index(rows, float(top), pivots), "index")
-    # the directory: a row for up to BLOCK entries
-    annuli = index.groupBy("pivot", "ring", "block").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n")).orderBy("pivot", "ring", "block").toPandas()
-    ap, lo, hi, n = (annuli[c].to_numpy() for c in ("pivot", "lo", "hi", "n"))
-    keys = (annuli["pivot"].to_numpy(np.int64) << 40) | (annuli["ring"].to_numpy(np.int64) << 20) | annuli["block"].to_numpy(np.int64)
+    # the directory: a row an annulus, so PIVOTS x (RINGS + 1) at most
+    annuli = index.groupBy("pivot", "ring").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n"), (F.max("block") + 1).alias("blocks")).orderBy("pivot", "ring").toPandas()
+    ap, lo, hi, blocks = (annuli[c].to_numpy() for c in ("pivot", "lo", "hi", "blocks"))
+    n = annuli["n"].to_numpy() // blocks  # about what a block holds
+    keys = (annuli["pivot"].to_numpy(np.int64) << 40) | (annuli["ring"].to_numpy(np.int64) << 20)
     asked = materialize(integers(queries, scale).where(F.size("x") == lengths.n).select(F.col("vec_id").alias("query_id"), "x").distinct(), "queries")
     parts = max(1, -(-asked.count() // (PACK * PACKS)))
 
@@ -126,7 +130,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
                     np.put_along_axis(go, order, some, axis=1)
                 ids, short, part = f["query_id"].to_numpy(), x.astype("<i2" if np.abs(x).max() < 32_000 else "<i8"), zlib.crc32(str(f["query_id"].iloc[0]).encode()) % parts
                 hit = np.flatnonzero(go.any(axis=0))
-                yield pd.DataFrame({"key": keys[hit], "part": part, "qids": [ids[go[:, j]].tolist() for j in hit], "qx": [short[go[:, j]].tobytes() for j in hit]})
+                first, last = (0, blocks[hit] - 1) if "least" in f else (at // PACK % blocks[hit],) * 2  # every block, or one
+                yield pd.DataFrame({"key": keys[hit], "first": first, "last": last, "part": part, "qids": [ids[go[:, j]].tolist() for j in hit], "qx": [short[go[:, j]].tobytes() for j in hit]})
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -150,7 +155,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, scale: int = 256)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def visit(some: DataFrame) -> DataFrame:
-        routed = materialize(some.mapInPandas(route, "key long, part int, qids array<long>, qx binary"), "routed")
+        sent = some.mapInPandas(route, "key long, first int, last int, part int, qids array<long>, qx binary")
+        opened = sent.select("key", F.explode(F.sequence("first", "last")).alias("block"), "part", "qids", "qx")
+        routed = materialize(opened.select((F.col("key") + F.col("block")).alias("key"), "part", "qids", "qx"), "routed")
         asked = routed.select(F.col("key").alias("asked"), F.col("part").alias("of")).distinct()  # annuli go where queries ask for them
         asked_of = held.join(asked, F.col("key") == F.col("asked")).select(F.col("asked").alias("key"), F.col("of").alias("part"), "x", "ids").groupBy("key", "part")
         found = routed.groupBy("key", "part").cogroup(asked_of).applyInPandas(score, "query_id long, vec_id long, score long")
