@@ -8,7 +8,7 @@ from pixelrel.llm import common, decontaminate, langid, lines, packing, simhash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the others teach."""
+    """Drops documents without a letter, and those whose profile has a negative cosine to every learned language."""
     return langid.keep_known(docs)
 
 
