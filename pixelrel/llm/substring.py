@@ -2,7 +2,8 @@
 
 A suffix starts at every word that WINDOW words follow; only its first WINDOW words matter here. Suffixes are grouped by
 the anchor of that prefix: the ANCHOR-gram of smallest hash in it, set by content, so equal prefixes always share a
-group, and a group is a bundle of subtrees. Groups that one document fills are dropped before any text is shipped;
+group, and a group is a bundle of subtrees. Groups that one document fills are dropped before any text is shipped (a
+first pass counts the documents of an anchor, a second one keeps the anchors that several have);
 neighbouring suffixes of one group travel as one passage. In a group the suffixes are sorted word by word; those that
 share their first WINDOW words are an internal node of that depth, and whatever starts in it after the node's smallest
 doc_id is a repeat. Runs of such starts along a document are its maximal repeats.
@@ -192,9 +193,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     sources = texts.where("not copy").select("doc_id", "row", "text")
     pairs = sources.select("doc_id", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, suffixes long")
-    group = Window.partitionBy("anchor")
-    shared = pairs.select("anchor", "doc_id", F.min("doc_id").over(group).alias("lo"), F.max("doc_id").over(group).alias("hi"), F.sum("suffixes").over(group).alias("n")).where("lo < hi")
-    known = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", (F.col("n") > GROUP).alias("large"))).alias("anchors"))
+    # counted where the rows are, then joined back: an anchor that a third of all documents share is sorted in no single task
+    shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("suffixes").alias("n")).where("lo < hi")
+    groups = shared.select("anchor", (F.col("n") > GROUP).alias("large"))
+    known = pairs.join(groups, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "large")).alias("anchors"))
     passages = materialize(sources.join(known, "doc_id").mapInArrow(_passages, "anchor long, large boolean, doc_id long, row long, start int, suffixes int, words string"), "passages")
     small = passages.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor")
     repeats = small.mapInArrow(_subtrees, "doc_id long, row long, start int, suffixes int").union(_large_groups(passages.where("large")))
