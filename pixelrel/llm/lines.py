@@ -9,8 +9,10 @@ by edit similarity, and of each connected group of lines one occurrence stays.
 In a first round each block's group compares one leader with all others, and what is similar takes the leader's mark
 (lines of one mark are connected). Groups with several marks then compare all pairs of different marks, if they are
 small; larger ones go in rounds: some of their nodes (LEADERS) are compared with all others of another mark and then
-leave, until a group's nodes have one mark. So the pairs made in a round grow with the nodes, no group is capped, and
-no link between components is missed.
+leave, until a group's nodes have one mark. The first rounds have few leaders, and what they join takes the mark of the
+group's main part at once, so that similar lines don't all lead; and a pair goes on to its texts only if the counts of
+its words (or of letter pairs) allow it to be similar. So the pairs verified grow with the nodes, no group is capped,
+and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql.window import Window
 from .common import connected_components, materialize
 
 SIMILARITY, SMALL = 0.8, 16
-#: Leaders of a group in a round: from 8 to 256, so that groups of up to ROUND_PAIRS / 8 nodes make at most ROUND_PAIRS pairs.
-LEADERS, ROUND_PAIRS = (8, 256), 262_144
+#: Leaders of a group in a round: 8 at first, twice as many in each next round up to 1,024, but from the second round on no
+#: more than compare ROUND_PAIRS pairs (8 at least).
+LEADERS, ROUND_PAIRS = (8, 1_024), 4_194_304
 #: Places of the blocks on the circle of word hashes, and words in a block.
 PLACES, FOLLOWING = tuple(i << 60 for i in range(8)), 4
 #: A line has a key for each place or, if it has fewer than LEAST_WORDS words, one for each word and one for all.
@@ -137,6 +140,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(f"if(greatest(size(x), size(y)) < {BY_WORDS}, {by_letters}, {by_words})").select(*pairs.columns)
 
 
+def with_counted(texts: DataFrame) -> DataFrame:
+    """(line_id, t array<int>): the line's words, hashed with how many equal ones come before; of lines under BY_WORDS words
+    the pairs of neighbouring letters instead."""
+    pair = F.transform(F.sequence(F.lit(1), F.length("line") - 1), lambda i: F.xxhash64(F.substr("line", i, F.lit(2))))
+    pairs_ = F.when(F.length("line") > 1, pair).otherwise(F.array().cast("array<long>"))
+    words = F.split("line", " ")
+    hashed = F.sort_array(F.when(F.size(words) >= BY_WORDS, F.transform(words, lambda w: F.xxhash64(w))).otherwise(pairs_))
+    counted = _with(hashed, lambda h: F.transform(h, lambda x, i: F.hash(x, i - F.array_position(h, x))))
+    return texts.select("line_id", counted.alias("t"))
+
+
+def _may_be_similar(na: str, nb: str, ta: str, tb: str) -> Column:
+    """False only for pairs that can't be similar: an edit takes away one of the words, or two of the letter pairs."""
+    most = lambda n: F.floor(n * (1 - SIMILARITY) + 1e-9)
+    by_words, by_letters = F.least(na, nb) >= BY_WORDS, F.greatest(na, nb) < BY_WORDS
+    limit = F.when(by_words, most(F.greatest(na, nb))).when(by_letters, 2 * most(F.greatest(F.size(ta), F.size(tb)) + 1))
+    return limit.isNull() | ((F.size(F.array_except(ta, tb)) <= limit) & (F.size(F.array_except(tb, ta)) <= limit))
+
+
 def nodes(lines: DataFrame) -> DataFrame:
     """(line_id, at, n_words, keys): each different line once, with the place of any one occurrence.
 
@@ -167,11 +189,14 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
         """(a, b, ca, cb, hub): pairs of different marks and like length within groups."""
-        a = left.select("key", F.col("line_id").alias("a"), F.col("c").alias("ca"), F.col("n_words").alias("na"))
+        counted = "t" in left.columns
+        a = left.select("key", F.col("line_id").alias("a"), F.col("c").alias("ca"), F.col("n_words").alias("na"), *[F.col("t").alias("ta")] * counted)
         hub = F.col("main" if "main" in right.columns else "c").alias("hub")
-        b = right.select("key", F.col("line_id").alias("b"), F.col("c").alias("cb"), F.col("n_words").alias("nb"), hub)
+        b = right.select("key", F.col("line_id").alias("b"), F.col("c").alias("cb"), F.col("n_words").alias("nb"), hub, *[F.col("t").alias("tb")] * counted)
         # a line under BY_WORDS words is compared by letters: its words may differ in number
         like = (F.greatest("na", "nb") < BY_WORDS) | (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - SIMILARITY) + 1e-9)
+        if counted:
+            like &= _may_be_similar("na", "nb", "ta", "tb")
         return a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & like).select("a", "b", "ca", "cb", "hub").dropDuplicates(["a", "b"])
 
     def linked(met: DataFrame) -> DataFrame:
@@ -182,7 +207,7 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def marked(rows: DataFrame, on: str, to: DataFrame) -> DataFrame:
         """rows with the mark that to (node, component) gives for column on, where it has one."""
-        return rows.join(to, rows[on] == to["node"], "left").select("key", "line_id", "n_words", F.coalesce("component", "c").alias("c"))
+        return rows.join(to, rows[on] == to["node"], "left").select(*[c for c in rows.columns if c != "c"], F.coalesce("component", "c").alias("c"))
 
     first = pending.groupBy("key").agg(F.min_by(F.struct("line_id", "n_words", "c"), F.xxhash64("line_id")).alias("l")).select("key", "l.*")
     to_leader = linked(crossed(first, pending)).groupBy(F.col("b").alias("node")).agg(F.min_by("ca", F.xxhash64("ca")).alias("component"))
@@ -191,20 +216,27 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     few = left.where(F.col("n") <= SMALL)
     linked(crossed(few, few).where("a < b"))
     many = left.where(F.col("n") > SMALL).select("key", "line_id", "n_words", "c")
-    pending = materialize(marked(many, "line_id", connected_components(reduce(DataFrame.union, found))), "pending")
+    many = materialize(marked(many, "line_id", connected_components(reduce(DataFrame.union, found))), "pending")
+    counts = with_counted(texts.join(many.select("line_id").distinct(), "line_id", "left_semi"))
+    pending = materialize(many.join(counts, "line_id"), "pending")
+    at_most = LEADERS[0]
     while True:
         rows = active()
         # lines without the group's commonest mark lead, the fewer the larger the group
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("line_id"), "line_id"))
-        most = F.greatest(F.lit(LEADERS[0]), F.least(F.lit(LEADERS[1]), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))))
+        most = F.greatest(F.lit(LEADERS[0]), F.least(F.lit(at_most), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))))
         lead = rows.where(F.col("c") != F.col("main")).withColumn("turn", turn).where(F.col("turn") <= most)
-        lead = materialize(lead.select("key", "line_id", "n_words", "c"), "leaders")
+        lead = materialize(lead.select(*pending.columns), "leaders")
         if lead.isEmpty():
             return reduce(DataFrame.union, found)
-        rest = rows.select("key", "line_id", "n_words", "c").join(lead.select("key", "line_id"), ["key", "line_id"], "left_anti")
-        # a mark that is linked with the commonest mark of a group becomes that one
-        to_hub = linked(crossed(lead, rows)).where("cb = hub").groupBy(F.col("ca").alias("node")).agg(F.min_by("hub", F.xxhash64("hub")).alias("component"))
+        rest = rows.select(*pending.columns).join(lead.select("key", "line_id"), ["key", "line_id"], "left_anti")
+        # a mark that is linked with the commonest mark of a group becomes that one, and so do those that its leader finds
+        met = linked(crossed(lead, rows))
+        near = met.where("cb = hub").select(F.col("ca").alias("node"), "hub")
+        further = met.where("cb <> hub").select("ca", F.col("cb").alias("node")).join(near.withColumnRenamed("node", "ca"), "ca").where("node <> hub").select("node", "hub")
+        to_hub = near.union(further).groupBy("node").agg(F.min_by("hub", F.xxhash64("hub")).alias("component"))
         pending = materialize(marked(rest, "c", to_hub), "pending")
+        at_most = min(2 * at_most, LEADERS[1])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

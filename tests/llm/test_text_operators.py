@@ -227,6 +227,41 @@ def test_line_dedup_finds_substitutions(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 250
 
 
+def test_line_dedup_verifies_few_pairs_of_a_common_passage(spark, monkeypatch):
+    """Lines around one passage meet in a few groups; some are similar, some not. Verified pairs grow with the lines."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aeiou") + rnd.choice("lmnrstvk") for _ in range(3))
+    passage, ends = [word() for _ in range(40)], [word() for _ in range(12)]
+    made = lambda k: [word() for _ in range(8)] + passage + ([word() for _ in range(9)] if k % 3 else rnd.sample(ends, 9))
+    rows = [(k, " ".join(made(k) if k % 2 else passage + [word() for _ in range(5)])) for k in range(160)]
+    verified, counts = lines._verified, []
+
+    def counted(pairs, texts):
+        counts.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    got = {r.doc_id: r.removed for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_lines(rows) and 60 < len(got) < 140
+    assert sum(counts) < 8 * len(rows)
+
+
+def test_line_dedup_counts_never_rule_out_similar_lines(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(300):
+        line = [rnd.choice(("aa", "ab", "ba", "bab", "abba")) for _ in range(rnd.choice((1, 2, 5, 14, 15, 16, 17, 20, 40)))]
+        other = [w for w in line if rnd.random() > 0.08] or line
+        other.insert(rnd.randrange(len(other) + 1), rnd.choice(("aa", "x")))
+        texts.append((" ".join(line), " ".join(other)))
+    flat = spark.createDataFrame([(2 * k + i, t) for k, both in enumerate(texts) for i, t in enumerate(both)], "line_id long, line string")
+    t = {r.line_id: list(r.t) for r in lines.with_counted(flat).collect()}
+    rows = [(k, len(a.split()), len(b.split()), t[2 * k], t[2 * k + 1]) for k, (a, b) in enumerate(texts)]
+    may = {r.k: r.may for r in spark.createDataFrame(rows, "k int, na int, nb int, ta array<int>, tb array<int>").select("k", lines._may_be_similar("na", "nb", "ta", "tb").alias("may")).collect()}
+    like = [k for k, (a, b) in enumerate(texts) if similar_lines(a, b)]
+    assert all(may[k] for k in like) and len(like) > 100 and not all(may.values())
+
+
 def test_line_dedup_rewrites_texts(spark):
     rows = [(1, "same line here\nother text", 26), (2, "--\nSame, line here!\n", 20), (2, "fresh words", 11), (None, "same line here", 14), (3, None, None)]
     got = {(str(r.doc_id), r.text, r.n_chars) for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
