@@ -159,6 +159,18 @@ def test_spline_zoom_equals_a_dense_solve(spark, shape, new):
     assert got.shape == want.shape and np.allclose(got, want, atol=1e-12)
 
 
+@pytest.mark.parametrize("shape,new", [((600, 3), (150, 9)), ((257, 2), (700, 2)), ((513, 1), (1, 2))])
+def test_long_lines_are_resized_in_blocks(spark, shape, new):
+    """Blocks make what a whole line makes; no window runs along a line, and borders give no rows of their own."""
+    image = np.random.default_rng(6).random((*shape, 1))
+    size = spark.createDataFrame([("a", *shape, *new)], "image_id string, height int, width int, new_height int, new_width int")
+    made = degrade.resize(grid(spark, image), size)
+    whole = lambda rows, n: degrade.resampled(rows, 0, 0, rows.shape[1], rows.shape[1], n)[1]
+    want = whole(whole(image[..., 0].T, new[0]).T, new[1])
+    assert np.allclose(dense(made)[..., 0], want, atol=1e-12)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_degrade_keeps_the_shape(spark):
     image = np.random.default_rng(5).random((13, 10, 3))
     got = dense(degrade.degrade(grid(spark, image)))
