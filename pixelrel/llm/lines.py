@@ -44,14 +44,14 @@ BY_WORDS, DIFFERENT = 16, 53_000
 SALTS = 32
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased runs of letters and digits. ASCII is named first: most characters then need one test."""
-    return F.array_remove(F.split(F.lower(line), r"[^a-z0-9\p{L}\p{N}]+"), "")
+def _words(lower: Column) -> Column:
+    """Runs of letters and digits of a lower-cased line. ASCII is named first: most characters then need one test."""
+    return F.array_remove(F.split(lower, r"[^a-z0-9\p{L}\p{N}]+"), "")
 
 
 def normalised(line: Column) -> Column:
-    """The words of a line, joined by one space."""
-    return F.array_join(_words(line), " ")
+    """The lower-cased words of a line, joined by one space."""
+    return F.array_join(_words(F.lower(line)), " ")
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,9 +81,11 @@ def with_keys(lines: DataFrame) -> DataFrame:
     # the circle: hashes in order, and in s the places among them, each after as many hashes as a block begins with
     rows = rows.select(*names, "words", F.size("h").alias("n_h"), F.sort_array("h").alias("h"), F.sort_array(F.concat("h", F.array(*map(_long, PLACES)))).alias("s"))
     before = [(F.array_position("s", _long(place)).cast("int") - (i + 1)).alias(f"q{i}") for i, place in enumerate(PLACES)]
-    rows = rows.select(*names, "words", "h", "n_h", *before)
-    after = lambda i, j: F.get("h", F.pmod(F.col(f"q{i}") + j, F.col("n_h")))
-    blocks = F.array(*[F.xxhash64(F.lit(i), simhash(*(after(i, j) for j in range(FOLLOWING)))) for i in range(len(PLACES))])
+    # the first hashes follow the last ones once more; what a block takes is in columns, else it would be taken at each use
+    rows = rows.select(*names, "words", F.concat("h", F.slice("h", 1, FOLLOWING)).alias("h"), "n_h", *before)
+    after = [F.get("h", F.col(f"q{i}") + j).alias(f"h{i}_{j}") for i in range(len(PLACES)) for j in range(FOLLOWING)]
+    rows = rows.select(*names, "words", "n_h", *after)
+    blocks = F.array(*[F.xxhash64(F.lit(i), simhash(*(F.col(f"h{i}_{j}") for j in range(FOLLOWING)))) for i in range(len(PLACES))])
     # short lines: the exclusive or of all hashes but one, and of all
     words = F.array_distinct("words")
     total = F.aggregate(words, _long(0), lambda a, w: a.bitwiseXOR(_hash(w)))
@@ -93,12 +95,20 @@ def with_keys(lines: DataFrame) -> DataFrame:
     return rows.select(*names, F.array_distinct(F.when(F.col("n_h") >= LEAST_WORDS, blocks).otherwise(F.array_compact(but_one))).alias("keys"))
 
 
+def _n_lines(text: Column) -> Column:
+    """The number of lines of a text, 0 of null: its line ends and one, without an array of lines."""
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.coalesce(ends + 1, F.lit(0))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line_id, line_check, n_words, keys) of every line with a word; row tells rows that repeat a doc_id apart."""
+    """(doc_id, row, n_lines, line_no, line_id, line_check, n_words, keys) of every line, n_words 0 if it has no word; row tells
+    rows that repeat a doc_id apart, n_lines is the document's."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    # words are made below the explode: a filter above it would else make them once more
-    lines = src.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("line_no", "words"))
-    named = lines.where(F.size("words") > 0)
+    src = src.select("doc_id", F.xxhash64("text").alias("row"), _n_lines(F.col("text")).alias("n_lines"), F.split(F.lower("text"), "\n").alias("parts"))
+    lines = src.select("doc_id", "row", "n_lines", F.posexplode("parts").alias("line_no", "line"))
+    # lines without a word go when this is read: a filter here would make the words once more
+    named = lines.select("doc_id", "row", "n_lines", "line_no", _words(F.col("line")).alias("words"))
     return with_keys(named.withColumns({"line_id": F.xxhash64("words"), "line_check": F.xxhash64(F.lit(1), "words"), "n_words": F.size("words")}))
 
 
@@ -109,7 +119,7 @@ def _texts(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     # the lines are taken out before the explode, which else copies the whole document for each of them
     taken = _with(F.split("text", "\n"), lambda x: F.transform("asked", lambda a: F.struct(a["line_id"].alias("line_id"), F.get(x, a["line_no"]).alias("line"))))
-    held = src.join(by_doc, ["doc_id", "row"]).select(F.explode(taken).alias("a"))
+    held = src.join(by_doc.hint("shuffle_hash"), ["doc_id", "row"]).select(F.explode(taken).alias("a"))
     return held.select("a.line_id", normalised(F.col("a.line")).alias("line")).dropDuplicates(["line_id"])
 
 
@@ -126,16 +136,18 @@ def _as_letters(words: str) -> str:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) of line ids whose edit similarity is SIMILARITY or more: 1 - distance / the longer length, in
     words (a word put in, left out or replaced is one edit) where a line has BY_WORDS words or more, else in letters."""
-    x = texts.select(F.col("line_id").alias("a"), F.split("line", " ").alias("x"), F.col("line").alias("lx"))
-    y = texts.select(F.col("line_id").alias("b"), F.split("line", " ").alias("y"), F.col("line").alias("ly"))
+    # dealt out as lines, once for both sides, and split where they arrive: arrays of words are a multiple of the line
+    dealt = texts.repartition("line_id")
+    x = dealt.select(F.col("line_id").alias("a"), F.split("line", " ").alias("x"), F.col("line").alias("lx"))
+    y = dealt.select(F.col("line_id").alias("b"), F.split("line", " ").alias("y"), F.col("line").alias("ly"))
     most = lambda a, b: f"int(floor(greatest({a}, {b}) * {1 - SIMILARITY:.6f} + 1e-9D))"
     by_letters = f"levenshtein(lx, ly, {most('length(lx)', 'length(ly)')}) >= 0"
     words = most("size(x)", "size(y)")
     # an edit changes one word, so it takes away no more than one of those that only one line has
     likely = " and ".join(f"{n} <= {words}" for n in ("abs(size(x) - size(y))", "size(array_except(x, y))", "size(array_except(y, x))"))
-    # as many words in the same places are as many edits; only what is left needs the distance itself
+    # as many words in the same places are as many edits, which is told first; only what is left needs the distance itself
     in_place = f"(size(x) = size(y) and size(filter(zip_with(x, y, (v, w) -> v = w), same -> not same)) <= {words})"
-    by_words = f"{likely} and ({in_place} or " + _let("d", "array_union(x, y)", f"levenshtein({_as_letters('x')}, {_as_letters('y')}, {words})") + " >= 0)"
+    by_words = f"{in_place} or ({likely} and " + _let("d", "array_union(x, y)", f"levenshtein({_as_letters('x')}, {_as_letters('y')}, {words})") + " >= 0)"
     both = pairs.join(x, "a").join(y, "b")
     return both.where(f"if(greatest(size(x), size(y)) < {BY_WORDS}, {by_letters}, {by_words})").select(*pairs.columns)
 
@@ -160,24 +172,28 @@ def _may_be_similar(na: str, nb: str, ta: str, tb: str) -> Column:
 
 
 def nodes(lines: DataFrame) -> DataFrame:
-    """(line_id, at, n_words, keys): each different line once, with the place of any one occurrence.
+    """(line_id, at, n_words, keys, n, clean): each line_id once, with the place of any one occurrence and their number.
 
-    An id that two different lines share by chance takes no part. Plain numbers, keys in columns of their own: so that
+    An id that two different lines share by chance is not clean. Plain numbers, keys in columns of their own: so that
     the aggregate hashes and doesn't sort.
     """
     keys = [f"k{i}" for i in range(MOST_KEYS)]
     flat = lines.select("line_id", "line_check", "n_words", "doc_id", "row", "line_no", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)])
     firsts = [F.first(c).alias(c) for c in ("n_words", "doc_id", "row", "line_no", *keys)]
-    once = flat.groupBy("line_id").agg(*firsts, (F.min("line_check") == F.max("line_check")).alias("clean")).where("clean")
-    return once.select("line_id", F.struct("doc_id", "row", "line_no").alias("at"), "n_words", F.array_compact(F.array(*keys)).alias("keys"))
+    once = flat.groupBy("line_id").agg(*firsts, F.count("*").alias("n"), (F.min("line_check") == F.max("line_check")).alias("clean"))
+    return once.select("line_id", F.struct("doc_id", "row", "line_no").alias("at"), "n_words", F.array_compact(F.array(*keys)).alias("keys"), "n", "clean")
 
 
-def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) line ids that connect all lines of similar text that meet."""
-    places = materialize(nodes(lines), "nodes", "lz4")
+def links(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b) line ids that connect all lines (nodes) of similar text that meet. Lines of unclean ids take no part."""
+    places = places.where("clean").drop("n", "clean")
     keyed = places.select("line_id", "n_words", F.explode("keys").alias("key"))
-    members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    pending = materialize(members.select("key", "line_id", "n_words", F.col("line_id").alias("c")), "members")
+    group = Window.partitionBy("key")
+    members = keyed.withColumn("n", F.count("*").over(group)).where("n > 1")
+    # the leader of the first round goes with each member: the group's line of least hash
+    led = members.withColumn("lead", F.min_by(F.struct("line_id", "n_words"), F.xxhash64("line_id")).over(group))
+    led = materialize(led.select("key", "line_id", "n_words", F.col("line_id").alias("c"), F.col("lead.line_id").alias("lead"), F.col("lead.n_words").alias("lead_words")), "members")
+    pending = led.drop("lead", "lead_words")
     texts = materialize(_texts(docs, places, pending.select("line_id").distinct()), "texts")
     found: list[DataFrame] = []
 
@@ -187,17 +203,20 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
         groups = sizes.groupBy("key").agg(F.max_by("c", "m").alias("main"), F.sum("m").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         return pending.join(groups, "key")
 
+    def like(na: str, nb: str) -> Column:
+        """Of like length. A line under BY_WORDS words is compared by letters: its words may differ in number."""
+        return (F.greatest(na, nb) < BY_WORDS) | (F.abs(F.col(na) - F.col(nb)) <= F.greatest(na, nb) * (1 - SIMILARITY) + 1e-9)
+
     def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
         """(a, b, ca, cb, hub): pairs of different marks and like length within groups."""
         counted = "t" in left.columns
         a = left.select("key", F.col("line_id").alias("a"), F.col("c").alias("ca"), F.col("n_words").alias("na"), *[F.col("t").alias("ta")] * counted)
         hub = F.col("main" if "main" in right.columns else "c").alias("hub")
         b = right.select("key", F.col("line_id").alias("b"), F.col("c").alias("cb"), F.col("n_words").alias("nb"), hub, *[F.col("t").alias("tb")] * counted)
-        # a line under BY_WORDS words is compared by letters: its words may differ in number
-        like = (F.greatest("na", "nb") < BY_WORDS) | (F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - SIMILARITY) + 1e-9)
+        may = like("na", "nb")
         if counted:
-            like &= _may_be_similar("na", "nb", "ta", "tb")
-        return a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & like).select("a", "b", "ca", "cb", "hub").dropDuplicates(["a", "b"])
+            may &= _may_be_similar("na", "nb", "ta", "tb")
+        return a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & may).select("a", "b", "ca", "cb", "hub").dropDuplicates(["a", "b"])
 
     def linked(met: DataFrame) -> DataFrame:
         """The pairs that are similar; keeps their links."""
@@ -209,16 +228,18 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
         """rows with the mark that to (node, component) gives for column on, where it has one."""
         return rows.join(to, rows[on] == to["node"], "left").select(*[c for c in rows.columns if c != "c"], F.coalesce("component", "c").alias("c"))
 
-    first = pending.groupBy("key").agg(F.min_by(F.struct("line_id", "n_words", "c"), F.xxhash64("line_id")).alias("l")).select("key", "l.*")
-    to_leader = linked(crossed(first, pending)).groupBy(F.col("b").alias("node")).agg(F.min_by("ca", F.xxhash64("ca")).alias("component"))
+    first = led.where((F.col("lead") != F.col("line_id")) & like("lead_words", "n_words"))
+    first = first.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct()
+    to_leader = linked(first).groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.xxhash64("a")).alias("component"))
     pending = materialize(marked(pending, "line_id", to_leader), "pending")
     left = materialize(active(), "active")
     few = left.where(F.col("n") <= SMALL)
     linked(crossed(few, few).where("a < b"))
     many = left.where(F.col("n") > SMALL).select("key", "line_id", "n_words", "c")
     many = materialize(marked(many, "line_id", connected_components(reduce(DataFrame.union, found))), "pending")
-    counts = with_counted(texts.join(many.select("line_id").distinct(), "line_id", "left_semi"))
-    pending = materialize(many.join(counts, "line_id"), "pending")
+    # the rounds read the texts again and again, so only those of their own lines
+    texts = materialize(texts.join(many.select("line_id").distinct(), "line_id", "left_semi"), "texts")
+    pending = materialize(many.join(with_counted(texts), "line_id"), "pending")
     at_most = LEADERS[0]
     while True:
         rows = active()
@@ -240,16 +261,24 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, removed array<int>) by judge()."""
+    return judge(docs, materialize(occurrences(docs), "lines", "lz4"))
+
+
+def judge(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, row, removed array<int>): the line numbers (from 0) that go, for documents that lose any.
 
     Of each connected group the first line of the smallest doc_id stays. Lines without a letter or digit stay, as do
     rows with a null doc_id or text; rows that repeat a doc_id are each judged against smaller doc_ids and themselves. Rows that repeat doc_id and text
     are judged as one row, and all of them keep the same lines.
     """
-    lines = materialize(occurrences(docs), "lines", "lz4")
-    groups = connected_components(links(docs, lines)).select(F.col("node").alias("line_id"), "component")
+    lines = lines.where("n_words > 0")
+    once = materialize(nodes(lines), "nodes", "lz4")
+    groups = connected_components(links(docs, once)).select(F.col("node").alias("line_id"), "component")
+    # a line that occurs once and has no link stays, whatever the others do
+    judged = once.where("n > 1").select("line_id").join(groups, "line_id", "full_outer")
     # lines without a link are named by both hashes, lines with one by their component
-    grouped = lines.drop("keys", "n_words").join(groups, "line_id", "left").select(
+    grouped = lines.drop("keys", "n_words", "n_lines").join(judged, "line_id").select(
         "doc_id", "row", "line_no", F.coalesce("component", "line_id").alias("g"), F.when(F.col("component").isNull(), F.col("line_check")).alias("g2")
     )
     # judged among the documents of one salt first; the first document of each salt goes on
@@ -282,7 +311,10 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row a document: its lines, how many of them go, and which."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = repeated_lines(docs)
-    mine = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    lines = materialize(occurrences(docs), "lines", "lz4")
+    gone = judge(docs, lines)
+    # every document has a first line, but for those that have no line at all or no id
+    others = docs.where("doc_id is null or text is null").select("doc_id", F.xxhash64("text").alias("row"), _n_lines(F.col("text")).alias("n_lines"))
+    mine = lines.where("line_no = 0").select("doc_id", "row", "n_lines").union(others)
     none = F.array().cast("array<int>")
     return mine.join(gone, ["doc_id", "row"], "left").select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).alias("n_removed"), F.coalesce("removed", none).alias("removed"))
