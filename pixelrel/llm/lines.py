@@ -38,15 +38,15 @@ MOST_KEYS = 8
 WORD_LETTERS, LEAST_WORDS = 4, 8
 #: What is left of a short line without one of its words must have so many letters and blanks.
 LEFT_LETTERS = 9
-#: Lines of so many words are compared word by word, in an alphabet of so many characters (all below the surrogates).
-BY_WORDS, DIFFERENT = 16, 53_000
+#: Lines of so many words are compared word by word, in an alphabet of so many characters (from 4096, all below the surrogates).
+BY_WORDS, DIFFERENT = 16, 51_000
 #: Groups are dealt by document to so many parts first, so that a line in a third of all documents is no single task.
 SALTS = 32
 
 
 def _words(lower: Column) -> Column:
-    """Runs of letters and digits of a lower-cased line. ASCII is named first: most characters then need one test."""
-    return F.array_remove(F.split(lower, r"[^a-z0-9\p{L}\p{N}]+"), "")
+    """Runs of letters and digits (\\p{L}, \\p{N}) of a lower-cased line. LD, letters and decimal digits, is one test for most characters."""
+    return F.array_remove(F.split(lower, r"[^\p{LD}\p{N}]+"), "")
 
 
 def normalised(line: Column) -> Column:
@@ -75,11 +75,17 @@ def _hash(word: Column) -> Column:
 def with_keys(lines: DataFrame) -> DataFrame:
     """Replaces words array<string> by keys array<long>: what similar lines have in common."""
     names = [c for c in lines.columns if c != "words"]
-    long_ = F.array_compact(F.transform("words", lambda w: F.when(F.length(w) >= WORD_LETTERS, _hash(w))))
-    rows = lines.withColumn("h", F.array_distinct(long_))
-    rows = rows.withColumn("h", F.when(F.size("h") >= LEAST_WORDS, F.col("h")).otherwise(F.array_distinct(F.transform("words", _hash))))
+    # words that don't count in blocks have the complement of their hash, which is negative and so comes first
+    marked = F.transform("words", lambda w: F.when(F.length(w) >= WORD_LETTERS, _hash(w)).otherwise(F.bitwise_not(_hash(w))))
+    rows = lines.select(*names, "words", F.sort_array(F.array_distinct(marked)).alias("h"))
+    # from here on only short lines need their words: arrays of words are most of a row
+    few = (F.array_position(F.sort_array(F.concat("h", F.array(_long(0)))), _long(0)).cast("int") - 1).alias("few")
+    rows = rows.select(*names, F.when(F.size("h") < LEAST_WORDS, F.col("words")).alias("words"), "h", few)
+    all_ = F.sort_array(F.array_distinct(F.transform("h", lambda x: F.greatest(x, F.bitwise_not(x)))))
+    n_long = F.size("h") - F.col("few")
+    rows = rows.select(*names, "words", F.when(n_long >= LEAST_WORDS, F.slice("h", F.col("few") + 1, n_long)).otherwise(all_).alias("h"))
     # the circle: hashes in order, and in s the places among them, each after as many hashes as a block begins with
-    rows = rows.select(*names, "words", F.size("h").alias("n_h"), F.sort_array("h").alias("h"), F.sort_array(F.concat("h", F.array(*map(_long, PLACES)))).alias("s"))
+    rows = rows.select(*names, "words", F.size("h").alias("n_h"), "h", F.sort_array(F.concat("h", F.array(*map(_long, PLACES)))).alias("s"))
     before = [(F.array_position("s", _long(place)).cast("int") - (i + 1)).alias(f"q{i}") for i, place in enumerate(PLACES)]
     # the first hashes follow the last ones once more; what a block takes is in columns, else it would be taken at each use
     rows = rows.select(*names, "words", F.concat("h", F.slice("h", 1, FOLLOWING)).alias("h"), "n_h", *before)
@@ -120,7 +126,8 @@ def _texts(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
     # the lines are taken out before the explode, which else copies the whole document for each of them
     taken = _with(F.split("text", "\n"), lambda x: F.transform("asked", lambda a: F.struct(a["line_id"].alias("line_id"), F.get(x, a["line_no"]).alias("line"))))
     held = src.join(by_doc.hint("shuffle_hash"), ["doc_id", "row"]).select(F.explode(taken).alias("a"))
-    return held.select("a.line_id", normalised(F.col("a.line")).alias("line")).dropDuplicates(["line_id"])
+    # dealt out first: the texts are then sorted once and not once more before they go
+    return held.select("a.line_id", normalised(F.col("a.line")).alias("line")).repartition("line_id").dropDuplicates(["line_id"])
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -128,9 +135,9 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _as_letters(words: str) -> str:
-    """A string with a character for each word: the word's place in the array d, so that an edit of a word is one of a letter."""
-    return f"decode(unhex(array_join(transform({words}, w -> lpad(hex(2048 + pmod(array_position(d, w), {DIFFERENT})), 4, '0')), '')), 'UTF-16BE')"
+def _as_letters(words: str, number: str) -> str:
+    """A string with a character for each word w, of its number, so that an edit of a word is one of a letter."""
+    return f"decode(unhex(array_join(transform({words}, w -> hex(4096 + {number})), '')), 'UTF-16BE')"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -143,11 +150,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     most = lambda a, b: f"int(floor(greatest({a}, {b}) * {1 - SIMILARITY:.6f} + 1e-9D))"
     by_letters = f"levenshtein(lx, ly, {most('length(lx)', 'length(ly)')}) >= 0"
     words = most("size(x)", "size(y)")
-    # an edit changes one word, so it takes away no more than one of those that only one line has
-    likely = " and ".join(f"{n} <= {words}" for n in ("abs(size(x) - size(y))", "size(array_except(x, y))", "size(array_except(y, x))"))
     # as many words in the same places are as many edits, which is told first; only what is left needs the distance itself
     in_place = f"(size(x) = size(y) and size(filter(zip_with(x, y, (v, w) -> v = w), same -> not same)) <= {words})"
-    by_words = f"{in_place} or ({likely} and " + _let("d", "array_union(x, y)", f"levenshtein({_as_letters('x')}, {_as_letters('y')}, {words})") + " >= 0)"
+    # letters by hash: words that share one make the distance smaller, so a pair with such words is measured by their places in d
+    hashed, place = f"pmod(xxhash64(w), {DIFFERENT})", f"pmod(array_position(d, w), {DIFFERENT})"
+    within = lambda number: f"levenshtein({_as_letters('x', number)}, {_as_letters('y', number)}, {words}) >= 0"
+    alone = f"size(array_distinct(transform(d, w -> {hashed}))) = size(d)"
+    exact = _let("d", "array_union(x, y)", f"({alone} or {within(place)})")
+    by_words = f"{in_place} or (abs(size(x) - size(y)) <= {words} and {within(hashed)} and {exact})"
     both = pairs.join(x, "a").join(y, "b")
     return both.where(f"if(greatest(size(x), size(y)) < {BY_WORDS}, {by_letters}, {by_words})").select(*pairs.columns)
 
@@ -184,8 +194,9 @@ def nodes(lines: DataFrame) -> DataFrame:
     return once.select("line_id", F.struct("doc_id", "row", "line_no").alias("at"), "n_words", F.array_compact(F.array(*keys)).alias("keys"), "n", "clean")
 
 
-def links(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(a, b) line ids that connect all lines (nodes) of similar text that meet. Lines of unclean ids take no part."""
+def components(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, component): the lines (nodes) linked with others, by the smallest line id that can be reached over lines of
+    similar text that meet. Lines of unclean ids take no part."""
     places = places.where("clean").drop("n", "clean")
     keyed = places.select("line_id", "n_words", F.explode("keys").alias("key"))
     group = Window.partitionBy("key")
@@ -219,10 +230,8 @@ def links(docs: DataFrame, places: DataFrame) -> DataFrame:
         return a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & may).select("a", "b", "ca", "cb", "hub").dropDuplicates(["a", "b"])
 
     def linked(met: DataFrame) -> DataFrame:
-        """The pairs that are similar; keeps their links."""
-        made = materialize(_verified(met, texts), "links")
-        found.append(made.select("a", "b"))
-        return made
+        """The pairs that are similar."""
+        return materialize(_verified(met, texts), "links")
 
     def marked(rows: DataFrame, on: str, to: DataFrame) -> DataFrame:
         """rows with the mark that to (node, component) gives for column on, where it has one."""
@@ -230,34 +239,44 @@ def links(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     first = led.where((F.col("lead") != F.col("line_id")) & like("lead_words", "n_words"))
     first = first.select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct()
-    to_leader = linked(first).groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.xxhash64("a")).alias("component"))
+    found.append(linked(first))
+    to_leader = found[0].groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.xxhash64("a")).alias("component"))
     pending = materialize(marked(pending, "line_id", to_leader), "pending")
     left = materialize(active(), "active")
     few = left.where(F.col("n") <= SMALL)
-    linked(crossed(few, few).where("a < b"))
+    found.append(linked(crossed(few, few).where("a < b")).select("a", "b"))
+    groups = connected_components(reduce(DataFrame.union, found))
+    found.clear()
     many = left.where(F.col("n") > SMALL).select("key", "line_id", "n_words", "c")
-    many = materialize(marked(many, "line_id", connected_components(reduce(DataFrame.union, found))), "pending")
+    many = materialize(marked(many, "line_id", groups), "pending")
     # the rounds read the texts again and again, so only those of their own lines
     texts = materialize(texts.join(many.select("line_id").distinct(), "line_id", "left_semi"), "texts")
     pending = materialize(many.join(with_counted(texts), "line_id"), "pending")
     at_most = LEADERS[0]
     while True:
-        rows = active()
+        rows = materialize(active(), "active")
         # lines without the group's commonest mark lead, the fewer the larger the group
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("line_id"), "line_id"))
         most = F.greatest(F.lit(LEADERS[0]), F.least(F.lit(at_most), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))))
         lead = rows.where(F.col("c") != F.col("main")).withColumn("turn", turn).where(F.col("turn") <= most)
         lead = materialize(lead.select(*pending.columns), "leaders")
         if lead.isEmpty():
-            return reduce(DataFrame.union, found)
+            break
         rest = rows.select(*pending.columns).join(lead.select("key", "line_id"), ["key", "line_id"], "left_anti")
         # a mark that is linked with the commonest mark of a group becomes that one, and so do those that its leader finds
         met = linked(crossed(lead, rows))
+        found.append(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         near = met.where("cb = hub").select(F.col("ca").alias("node"), "hub")
         further = met.where("cb <> hub").select("ca", F.col("cb").alias("node")).join(near.withColumnRenamed("node", "ca"), "ca").where("node <> hub").select("node", "hub")
         to_hub = near.union(further).groupBy("node").agg(F.min_by("hub", F.xxhash64("hub")).alias("component"))
         pending = materialize(marked(rest, "c", to_hub), "pending")
         at_most = min(2 * at_most, LEADERS[1])
+    if not found:
+        return groups
+    # the rounds linked marks, which are components or lines without one: only they are joined further
+    joined = connected_components(reduce(DataFrame.union, found)).select(F.col("node").alias("mark"), F.col("component").alias("joined"))
+    both = groups.join(joined, groups["component"] == joined["mark"], "full_outer")
+    return both.select(F.coalesce("node", "mark").alias("node"), F.coalesce("joined", "component").alias("component"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -274,7 +293,7 @@ def judge(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     lines = lines.where("n_words > 0")
     once = materialize(nodes(lines), "nodes", "lz4")
-    groups = connected_components(links(docs, once)).select(F.col("node").alias("line_id"), "component")
+    groups = components(docs, once).select(F.col("node").alias("line_id"), "component")
     # a line that occurs once and has no link stays, whatever the others do
     judged = once.where("n > 1").select("line_id").join(groups, "line_id", "full_outer")
     # lines without a link are named by both hashes, lines with one by their component

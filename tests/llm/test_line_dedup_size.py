@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pixelrel.llm import lines
+from pixelrel.operators import graph
 
 WORDS = [a + b + c for a in ("kal", "mor", "ven", "tis") for b in ("ade", "ilo", "uro", "ena", "oby") for c in ("st", "rn", "lk", "mp", "x", "d")]
 
@@ -42,3 +45,50 @@ def test_line_dedup_counts_lines_of_every_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(((r.doc_id or 0, r.n_lines, r.n_removed, r.removed) for r in lines.op10_line_dedup(spark, str(tmp_path)).collect()))
     assert got == [(0, 0, 0, []), (0, 3, 0, []), (1, 3, 0, []), (1, 3, 0, []), (2, 1, 0, []), (3, 0, 0, []), (4, 1, 0, []), (5, 3, 1, [0])]
+
+
+def test_a_star_of_links_is_contracted_in_few_rounds(spark, monkeypatch):
+    """Lines linked with one leader are a star: each round costs the driver some ten jobs."""
+    rounds, table = [], graph.materialize
+
+    def counted(df, name, *more):
+        rounds.append(name)
+        return table(df, name, *more)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    edges = [(1000, k) for k in range(1, 600)] + [(2000 + k, 2001 + k) for k in range(3)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in (*range(1, 600), 1000)}, **{2000 + k: 2000 for k in range(4)}}
+    assert rounds.count("moves") <= 4
+
+
+def test_line_dedup_contracts_its_links_once(spark, monkeypatch):
+    """What rounds over large groups link is joined to the components before, which aren't made once more."""
+    rnd = random.Random(5)
+    passage = rnd.sample(WORDS, 30)
+    rows = [(k, " ".join(rnd.sample(WORDS, 9) + passage + rnd.sample(WORDS, 9))) for k in range(60)]
+    same = [rnd.sample(WORDS, 40) for _ in range(40)]
+    rows += [(100 + 2 * k + i, " ".join(w if i == 0 or at != 7 else "other" for at, w in enumerate(words))) for k, words in enumerate(same) for i in (0, 1)]
+    sizes, contract = [], lines.connected_components
+
+    def counted(edges):
+        sizes.append(edges.count())
+        return contract(edges)
+
+    monkeypatch.setattr(lines, "connected_components", counted)
+    got = {r.doc_id: r.removed for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get(101 + 2 * k) == [0] for k in range(40))
+    assert sizes[0] >= 40 and sum(sizes[1:]) < sizes[0]
+
+
+def test_line_dedup_tells_words_of_one_letter_apart(spark):
+    """Words that share a character by hash are still different words."""
+    words = spark.range(4000).select(F.format_string("w%d", "id").alias("w"))
+    shared = words.groupBy(F.expr(f"pmod(xxhash64(w), {lines.DIFFERENT})")).agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1")
+    pairs = [r.w[:2] for r in shared.collect()][:20]
+    assert len(pairs) == 20
+    x, y = [a for a, _ in pairs], [b for _, b in pairs]
+    texts = {1: x + ["end"], 2: ["more"] + y + ["end"], 3: ["more"] + x + ["end"]}
+    flat = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "line_id long, line string")
+    met = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in lines._verified(met, flat).collect()] == [(1, 3)]
