@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import shuffles_freed
 from .common import connected_components, materialize
 
 SIMILARITY, SMALL = 0.8, 16
@@ -32,21 +33,29 @@ SIMILARITY, SMALL = 0.8, 16
 LEADERS, ROUND_PAIRS = (8, 1_024), 4_194_304
 #: Places of the blocks on the circle of word hashes, and words in a block.
 PLACES, FOLLOWING = tuple(i << 60 for i in range(8)), 4
+#: Named one by one, not as ranges, so that a pattern looks them up.
+COMMON = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: A line has a key for each place or, if it has fewer than LEAST_WORDS words, one for each word and one for all.
 MOST_KEYS = 8
+KEYS = [f"k{i}" for i in range(MOST_KEYS)]
 #: Words of fewer letters don't count in blocks, unless fewer than LEAST_WORDS are left; lines of still fewer words have no blocks.
 WORD_LETTERS, LEAST_WORDS = 4, 8
 #: What is left of a short line without one of its words must have so many letters and blanks.
 LEFT_LETTERS = 9
 #: Lines of so many words are compared word by word, in an alphabet of so many characters (from 4096, all below the surrogates).
 BY_WORDS, DIFFERENT = 16, 51_000
+#: Lines of fewer words are never similar to one of BY_WORDS words, so they have no code.
+LEAST_CODED = int(BY_WORDS * SIMILARITY)
+#: Random numbers gain nothing from a dictionary.
+PLAIN = "lz4", {"parquet.enable.dictionary": "false"}
 #: Groups are dealt by document to so many parts first, so that a line in a third of all documents is no single task.
 SALTS = 32
 
 
 def _words(lower: Column) -> Column:
-    """Runs of letters and digits (\\p{L}, \\p{N}) of a lower-cased line. LD, letters and decimal digits, is one test for most characters."""
-    return F.array_remove(F.split(lower, r"[^\p{LD}\p{N}]+"), "")
+    """Runs of letters and digits (\\p{L}, \\p{N}) of a lower-cased line. The common ones are told by a table of bits, and LD, letters
+    and decimal digits, is one test for most others."""
+    return F.array_remove(F.split(lower, rf"[^{COMMON}\p{{LD}}\p{{N}}]+"), "")
 
 
 def normalised(line: Column) -> Column:
@@ -73,17 +82,13 @@ def _hash(word: Column) -> Column:
 
 
 def with_keys(lines: DataFrame) -> DataFrame:
-    """Replaces words array<string> by keys array<long>: what similar lines have in common."""
+    """Replaces words array<string> by k0, k1, ..., MOST_KEYS longs (null where there are fewer): what similar lines have in common."""
     names = [c for c in lines.columns if c != "words"]
-    # words that don't count in blocks have the complement of their hash, which is negative and so comes first
-    marked = F.transform("words", lambda w: F.when(F.length(w) >= WORD_LETTERS, _hash(w)).otherwise(F.bitwise_not(_hash(w))))
-    rows = lines.select(*names, "words", F.sort_array(F.array_distinct(marked)).alias("h"))
+    hashes = lambda words: F.sort_array(F.array_distinct(F.transform(words, _hash)))
+    rows = lines.select(*names, "words", hashes(F.filter("words", lambda w: F.length(w) >= WORD_LETTERS)).alias("h"))
+    rows = rows.select(*names, "words", F.when(F.size("h") >= LEAST_WORDS, F.col("h")).otherwise(hashes("words")).alias("h"))
     # from here on only short lines need their words: arrays of words are most of a row
-    few = (F.array_position(F.sort_array(F.concat("h", F.array(_long(0)))), _long(0)).cast("int") - 1).alias("few")
-    rows = rows.select(*names, F.when(F.size("h") < LEAST_WORDS, F.col("words")).alias("words"), "h", few)
-    all_ = F.sort_array(F.array_distinct(F.transform("h", lambda x: F.greatest(x, F.bitwise_not(x)))))
-    n_long = F.size("h") - F.col("few")
-    rows = rows.select(*names, "words", F.when(n_long >= LEAST_WORDS, F.slice("h", F.col("few") + 1, n_long)).otherwise(all_).alias("h"))
+    rows = rows.select(*names, F.when(F.size("h") < LEAST_WORDS, F.col("words")).alias("words"), "h")
     # the circle: hashes in order, and in s the places among them, each after as many hashes as a block begins with
     rows = rows.select(*names, "words", F.size("h").alias("n_h"), "h", F.sort_array(F.concat("h", F.array(*map(_long, PLACES)))).alias("s"))
     before = [(F.array_position("s", _long(place)).cast("int") - (i + 1)).alias(f"q{i}") for i, place in enumerate(PLACES)]
@@ -91,14 +96,16 @@ def with_keys(lines: DataFrame) -> DataFrame:
     rows = rows.select(*names, "words", F.concat("h", F.slice("h", 1, FOLLOWING)).alias("h"), "n_h", *before)
     after = [F.get("h", F.col(f"q{i}") + j).alias(f"h{i}_{j}") for i in range(len(PLACES)) for j in range(FOLLOWING)]
     rows = rows.select(*names, "words", "n_h", *after)
-    blocks = F.array(*[F.xxhash64(F.lit(i), simhash(*(F.col(f"h{i}_{j}") for j in range(FOLLOWING)))) for i in range(len(PLACES))])
+    blocks = [F.xxhash64(F.lit(i), simhash(*(F.col(f"h{i}_{j}") for j in range(FOLLOWING)))) for i in range(len(PLACES))]
     # short lines: the exclusive or of all hashes but one, and of all
     words = F.array_distinct("words")
     total = F.aggregate(words, _long(0), lambda a, w: a.bitwiseXOR(_hash(w)))
     letters = F.aggregate("words", F.size("words") - 1, lambda a, w: a + F.length(w))
     left = lambda t, n: F.transform(words, lambda w: F.when(n - F.length(w) >= LEFT_LETTERS, F.xxhash64(F.lit(-1), t.bitwiseXOR(_hash(w)))))
     but_one = _with(F.struct(total.alias("t"), letters.alias("n")), lambda x: F.array_append(left(x["t"], x["n"]), F.xxhash64(F.lit(-1), x["t"])))
-    return rows.select(*names, F.array_distinct(F.when(F.col("n_h") >= LEAST_WORDS, blocks).otherwise(F.array_compact(but_one))).alias("keys"))
+    few_keys = F.when(F.col("n_h") < LEAST_WORDS, F.array_distinct(F.array_compact(but_one))).alias("few_keys")
+    rows = rows.select(*names, few_keys, *[F.when(F.col("n_h") >= LEAST_WORDS, b).alias(f"b{i}") for i, b in enumerate(blocks)])
+    return rows.select(*names, *[F.coalesce(f"b{i}", F.get("few_keys", F.lit(i))).alias(k) for i, k in enumerate(KEYS)])
 
 
 def _n_lines(text: Column) -> Column:
@@ -108,7 +115,7 @@ def _n_lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_lines, line_no, line_id, line_check, n_words, keys) of every line, n_words 0 if it has no word; row tells
+    """(doc_id, row, n_lines, line_no, line_id, line_check, n_words, k0, k1, ...) of every line, n_words 0 if it has no word; row tells
     rows that repeat a doc_id apart, n_lines is the document's."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     src = src.select("doc_id", F.xxhash64("text").alias("row"), _n_lines(F.col("text")).alias("n_lines"), F.split(F.lower("text"), "\n").alias("parts"))
@@ -140,26 +147,34 @@ def _as_letters(words: str, number: str) -> str:
     return f"decode(unhex(array_join(transform({words}, w -> hex(4096 + {number})), '')), 'UTF-16BE')"
 
 
+def with_codes(texts: DataFrame) -> DataFrame:
+    """(line_id, line, code): a letter by hash for each word, of lines of LEAST_CODED words or more; once a line, not once a pair."""
+    code = _let("x", "split(line, ' ')", f"if(size(x) >= {LEAST_CODED}, {_as_letters('x', f'pmod(xxhash64(w), {DIFFERENT})')}, null)")
+    return texts.select("line_id", "line", F.expr(code).alias("code"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) of line ids whose edit similarity is SIMILARITY or more: 1 - distance / the longer length, in
     words (a word put in, left out or replaced is one edit) where a line has BY_WORDS words or more, else in letters."""
-    # dealt out as lines, once for both sides, and split where they arrive: arrays of words are a multiple of the line
-    dealt = texts.repartition("line_id")
-    x = dealt.select(F.col("line_id").alias("a"), F.split("line", " ").alias("x"), F.col("line").alias("lx"))
-    y = dealt.select(F.col("line_id").alias("b"), F.split("line", " ").alias("y"), F.col("line").alias("ly"))
+    # dealt out as lines, once for both sides: arrays of words are a multiple of the line
+    dealt = (texts if "code" in texts.columns else with_codes(texts)).repartition("line_id")
+    x = dealt.select(F.col("line_id").alias("a"), F.col("line").alias("lx"), F.col("code").alias("cx"))
+    y = dealt.select(F.col("line_id").alias("b"), F.col("line").alias("ly"), F.col("code").alias("cy"))
     most = lambda a, b: f"int(floor(greatest({a}, {b}) * {1 - SIMILARITY:.6f} + 1e-9D))"
-    by_letters = f"levenshtein(lx, ly, {most('length(lx)', 'length(ly)')}) >= 0"
-    words = most("size(x)", "size(y)")
-    # as many words in the same places are as many edits, which is told first; only what is left needs the distance itself
-    in_place = f"(size(x) = size(y) and size(filter(zip_with(x, y, (v, w) -> v = w), same -> not same)) <= {words})"
+    words = most("length(cx)", "length(cy)")
+    # a pair with few edits is told in a narrow band
+    near = lambda x, y, limit: f"(levenshtein({x}, {y}, int({limit} div 4)) >= 0 or levenshtein({x}, {y}, {limit}) >= 0)"
+    by_letters = near("lx", "ly", most("length(lx)", "length(ly)"))
     # letters by hash: words that share one make the distance smaller, so a pair with such words is measured by their places in d
-    hashed, place = f"pmod(xxhash64(w), {DIFFERENT})", f"pmod(array_position(d, w), {DIFFERENT})"
-    within = lambda number: f"levenshtein({_as_letters('x', number)}, {_as_letters('y', number)}, {words}) >= 0"
-    alone = f"size(array_distinct(transform(d, w -> {hashed}))) = size(d)"
-    exact = _let("d", "array_union(x, y)", f"({alone} or {within(place)})")
-    by_words = f"{in_place} or (abs(size(x) - size(y)) <= {words} and {within(hashed)} and {exact})"
+    x_, y_ = "split(lx, ' ')", "split(ly, ' ')"
+    alone = f"size(array_union(split(cx, ''), split(cy, ''))) = size(array_union({x_}, {y_}))"
+    place = lambda of: _as_letters(of, f"pmod(array_position(d, w), {DIFFERENT})")
+    exact = _let("d", f"array_union({x_}, {y_})", f"levenshtein({place(x_)}, {place(y_)}, {words}) >= 0")
+    within = f"(abs(length(cx) - length(cy)) <= {words} and {near('cx', 'cy', words)})"
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(f"if(greatest(size(x), size(y)) < {BY_WORDS}, {by_letters}, {by_words})").select(*pairs.columns)
+    # a line without a code has few words
+    long = f"greatest(coalesce(length(cx), 0), coalesce(length(cy), 0)) >= {BY_WORDS}"
+    return both.where(f"if({long}, {within} and ({alone} or {exact}), {by_letters})").select(*pairs.columns)
 
 
 def with_counted(texts: DataFrame) -> DataFrame:
@@ -182,30 +197,28 @@ def _may_be_similar(na: str, nb: str, ta: str, tb: str) -> Column:
 
 
 def nodes(lines: DataFrame) -> DataFrame:
-    """(line_id, at, n_words, keys, n, clean): each line_id once, with the place of any one occurrence and their number.
+    """(line_id, at, n_words, k0, k1, ..., n, clean): each line_id once, with the place of any one occurrence and their number.
 
     An id that two different lines share by chance is not clean. Plain numbers, keys in columns of their own: so that
-    the aggregate hashes and doesn't sort.
+    the aggregate hashes and doesn't sort. Occurrences have the same keys, so any goes (max needs less room than first).
     """
-    keys = [f"k{i}" for i in range(MOST_KEYS)]
-    flat = lines.select("line_id", "line_check", "n_words", "doc_id", "row", "line_no", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)])
-    firsts = [F.first(c).alias(c) for c in ("n_words", "doc_id", "row", "line_no", *keys)]
-    once = flat.groupBy("line_id").agg(*firsts, F.count("*").alias("n"), (F.min("line_check") == F.max("line_check")).alias("clean"))
-    return once.select("line_id", F.struct("doc_id", "row", "line_no").alias("at"), "n_words", F.array_compact(F.array(*keys)).alias("keys"), "n", "clean")
+    firsts = [F.first(c).alias(c) for c in ("doc_id", "row", "line_no")] + [F.max(c).alias(c) for c in ("n_words", *KEYS)]
+    once = lines.groupBy("line_id").agg(*firsts, F.count("*").alias("n"), (F.min("line_check") == F.max("line_check")).alias("clean"))
+    return once.select("line_id", F.struct("doc_id", "row", "line_no").alias("at"), "n_words", *KEYS, "n", "clean")
 
 
 def components(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(node, component): the lines (nodes) linked with others, by the smallest line id that can be reached over lines of
     similar text that meet. Lines of unclean ids take no part."""
     places = places.where("clean").drop("n", "clean")
-    keyed = places.select("line_id", "n_words", F.explode("keys").alias("key"))
+    keyed = places.select("line_id", "n_words", F.explode(F.array(*KEYS)).alias("key")).where("key is not null")
     group = Window.partitionBy("key")
     members = keyed.withColumn("n", F.count("*").over(group)).where("n > 1")
     # the leader of the first round goes with each member: the group's line of least hash
     led = members.withColumn("lead", F.min_by(F.struct("line_id", "n_words"), F.xxhash64("line_id")).over(group))
     led = materialize(led.select("key", "line_id", "n_words", F.col("line_id").alias("c"), F.col("lead.line_id").alias("lead"), F.col("lead.n_words").alias("lead_words")), "members")
     pending = led.drop("lead", "lead_words")
-    texts = materialize(_texts(docs, places, pending.select("line_id").distinct()), "texts")
+    texts = materialize(with_codes(_texts(docs, places, pending.select("line_id").distinct())), "texts")
     found: list[DataFrame] = []
 
     def active() -> DataFrame:
@@ -281,7 +294,8 @@ def components(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, removed array<int>) by judge()."""
-    return judge(docs, materialize(occurrences(docs), "lines", "lz4"))
+    with shuffles_freed(docs.sparkSession):
+        return judge(docs, materialize(occurrences(docs), "lines", *PLAIN))
 
 
 def judge(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -292,12 +306,12 @@ def judge(docs: DataFrame, lines: DataFrame) -> DataFrame:
     are judged as one row, and all of them keep the same lines.
     """
     lines = lines.where("n_words > 0")
-    once = materialize(nodes(lines), "nodes", "lz4")
+    once = materialize(nodes(lines), "nodes", *PLAIN)
     groups = components(docs, once).select(F.col("node").alias("line_id"), "component")
     # a line that occurs once and has no link stays, whatever the others do
     judged = once.where("n > 1").select("line_id").join(groups, "line_id", "full_outer")
     # lines without a link are named by both hashes, lines with one by their component
-    grouped = lines.drop("keys", "n_words", "n_lines").join(judged, "line_id").select(
+    grouped = lines.select("doc_id", "row", "line_no", "line_id", "line_check").join(judged, "line_id").select(
         "doc_id", "row", "line_no", F.coalesce("component", "line_id").alias("g"), F.when(F.col("component").isNull(), F.col("line_check")).alias("g2")
     )
     # judged among the documents of one salt first; the first document of each salt goes on
@@ -330,8 +344,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row a document: its lines, how many of them go, and which."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = materialize(occurrences(docs), "lines", "lz4")
-    gone = judge(docs, lines)
+    with shuffles_freed(spark):
+        lines = materialize(occurrences(docs), "lines", *PLAIN)
+        gone = judge(docs, lines)
     # every document has a first line, but for those that have no line at all or no id
     others = docs.where("doc_id is null or text is null").select("doc_id", F.xxhash64("text").alias("row"), _n_lines(F.col("text")).alias("n_lines"))
     mine = lines.where("line_no = 0").select("doc_id", "row", "n_lines").union(others)

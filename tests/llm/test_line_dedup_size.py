@@ -1,12 +1,15 @@
 """What the steps of the line dedup carry along: only lines that they still need."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from pixelrel.llm import lines
 from pixelrel.operators import graph
 
+from test_text_operators import similar_lines
+
 WORDS = [a + b + c for a in ("kal", "mor", "ven", "tis") for b in ("ade", "ilo", "uro", "ena", "oby") for c in ("st", "rn", "lk", "mp", "x", "d")]
 
 
@@ -92,3 +95,35 @@ def test_line_dedup_tells_words_of_one_letter_apart(spark):
     flat = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "line_id long, line string")
     met = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     assert [tuple(r) for r in lines._verified(met, flat).collect()] == [(1, 3)]
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """What a table's shuffles wrote goes with its write; else all steps' files add up until the driver collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key, None)
+    gone = lines.repeated_lines(spark.createDataFrame([(k, f"line {k % 7} of some words\nother") for k in range(40)], "doc_id long, text string"))
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, None) == was
+    assert gone.count() == 39
+
+
+def test_line_dedup_codes_a_line_once(spark, monkeypatch):
+    """Pairs are measured by codes that the table of texts has, also where only one line has enough words to go by words."""
+    rnd = random.Random(6)
+    texts = []
+    for k in range(200):
+        line = rnd.sample(WORDS, rnd.choice((3, 11, 12, 13, 15, 16, 17, 18, 40)))
+        other = [w for w in line if rnd.random() > 0.12] or line
+        texts.append((" ".join(line), " ".join(other + rnd.sample(WORDS, k % 4))))
+    flat = spark.createDataFrame([(2 * k + i, t) for k, both in enumerate(texts) for i, t in enumerate(both)], "line_id long, line string")
+    coded = lines.with_codes(flat)
+    assert {r.line_id for r in coded.where("code is not null").collect()} == {2 * k + i for k, both in enumerate(texts) for i, t in enumerate(both) if len(t.split()) >= 12}
+    met = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(200)], "a long, b long")
+    want = sorted(2 * k for k, (x, y) in enumerate(texts) if similar_lines(x, y))
+    coded = spark.createDataFrame(coded.collect(), coded.schema)
+    monkeypatch.setattr(lines, "with_codes", None)
+    assert sorted(r.a for r in lines._verified(met, coded).collect()) == want and 40 < len(want) < 180
