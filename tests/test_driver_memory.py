@@ -31,7 +31,7 @@ def broadcast_rows(spark, run):
     return found
 
 
-@pytest.mark.parametrize("name", ["combo_union", "merged_crops"])
+@pytest.mark.parametrize("name", ["combo_union", "alignment_check", "merged_crops"])
 def test_no_pixels_are_broadcast(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
